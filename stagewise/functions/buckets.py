@@ -56,13 +56,21 @@ def bucketize(
         raise ValueError("bucketize needs one more edge than labels")
     if list(edges) != sorted(set(edges)):
         raise ValueError("bucketize edges must increase")
-    picked = None
-    for low, high, label in zip(edges, edges[1:], labels):
-        inside = (value > low) & (value <= high) if right else (value >= low) & (value < high)
-        picked = (F if picked is None else picked).when(inside, F.lit(label))
+
+    def below(edge: float) -> Column:
+        return value <= edge if right else value < edge
+
+    picked = F.when(below(edges[0]), F.lit(else_label))
+    for edge, label in zip(edges[1:], labels):
+        picked = picked.when(below(edge), F.lit(label))
     return picked.otherwise(F.lit(else_label))
 
 
+def bucket_index(value: Column, edges: Sequence[float]) -> Column:
+    """0-based number of the ``(low, high]`` bin that holds ``value``, else NULL."""
+    return bucketize(value, edges, range(len(edges) - 1))
+
+
 def range_label(
     value: Column,
     ranges: Sequence[tuple[int, int, str]],
@@ -75,6 +83,11 @@ def range_label(
     return picked.otherwise(F.lit(else_label))
 
 
+def range_index(value: Column, ranges: Sequence[tuple[int, int, str]]) -> Column:
+    """0-based number of the closed range that holds ``value``, else NULL."""
+    return range_label(value, [(low, high, i) for i, (low, high, _) in enumerate(ranges)])
+
+
 def label_order(label: Column, labels: Sequence[str]) -> Column:
     """1-based place of ``label`` in ``labels``, NULL for any other label."""
     picked = None

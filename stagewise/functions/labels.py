@@ -20,10 +20,14 @@ def boolean_label(flag: Column, labels: tuple[str, str]) -> Column:
     return F.when(flag, F.lit(labels[0])).when(~flag, F.lit(labels[1]))
 
 
+def in_peak_hours(ts: Column) -> Column:
+    low, high = PEAK_HOURS
+    return F.hour(ts).between(low, high)
+
+
 def peak_label(ts: Column) -> Column:
     """Peak or off-peak label of a timestamp, NULL for NULL."""
-    low, high = PEAK_HOURS
-    return boolean_label(F.hour(ts).between(low, high), PEAK_LABELS)
+    return boolean_label(in_peak_hours(ts), PEAK_LABELS)
 
 
 def reservation_status(approved_at: Column, paid_at: Column) -> Column:

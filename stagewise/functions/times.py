@@ -18,7 +18,8 @@ def hours_between(start: Column, end: Column) -> Column:
 
 
 def weekday_of(ts: Column) -> Column:
-    return F.date_format(ts, "EEEE")
+    """Name of the day, NULL for NULL."""
+    return F.element_at(F.array(*[F.lit(day) for day in WEEKDAYS]), F.weekday(ts) + F.lit(1))
 
 
 def hour_of(ts: Column) -> Column:

@@ -2,67 +2,97 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stagewise.functions import (
-    boolean_label,
-    bucketize,
-    hour_of,
-    peak_label,
-    range_label,
-    weekday_of,
-)
 from stagewise.functions import buckets as B
+from stagewise.functions import hour_of
 from stagewise.functions import labels as L
+from stagewise.functions.buckets import bucket_index, range_index
 from stagewise.functions.times import WEEKDAYS
 
 MAX_LABELS = 63
+_SEPARATOR = "\x1f"
 MONTHS = range(1, 13)
 
 
 @dataclass(frozen=True)
 class Dimension:
-    """A name and how to compute its value from a row.
+    """A name and how to read its value from a row.
 
-    ``labels`` lists every value of a closed dimension: a user's values then fit in one
-    bit mask, and no set of (value, user) pairs has to be shuffled. Values outside the
-    list count as NULL. Leave ``labels`` out for an open dimension.
+    An open dimension computes its ``value``. A closed one lists its ``labels`` and
+    computes the 0-based ``index`` of a row's label, so that all labels of a user fit in
+    one bit mask and no set of (value, user) pairs has to be shuffled. An index that is
+    NULL or outside the list means no value.
     """
 
     name: str
-    value: Callable[[], Column]
+    value: Callable[[], Column] | None = None
     labels: tuple[str, ...] | None = None
+    index: Callable[[], Column] | None = None
 
     def __post_init__(self):
+        if (self.value is None) == (self.index is None):
+            raise ValueError("a dimension has either a value or an index")
+        if (self.index is None) != (self.labels is None):
+            raise ValueError("labels and index go together")
         if self.labels is not None and not 0 < len(self.labels) <= MAX_LABELS:
             raise ValueError(f"a closed dimension has 1 to {MAX_LABELS} labels")
 
+    @property
+    def closed(self) -> bool:
+        return self.labels is not None
+
     def column(self) -> Column:
+        """The value as text."""
+        if self.closed:
+            return F.get(self.label_array(), self.index())
         return self.value().cast("string")
 
+    def label_array(self) -> Column:
+        """The labels as one literal; the split is folded when the query is planned."""
+        return F.split(F.lit(_SEPARATOR.join(self.labels)), _SEPARATOR)
+
     def mask(self) -> Column:
-        """The bit of the row's label, 0 for NULL and unlisted values."""
-        value, picked = self.column(), None
-        for i, label in enumerate(self.labels):
-            picked = (F if picked is None else picked).when(
-                value == label, F.lit(1 << i).cast("bigint"))
-        return picked.otherwise(F.lit(0).cast("bigint"))
+        """The bit of the row's label, 0 for no value."""
+        index = self.index()
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), index.cast("int"))
+        return F.when(index.between(0, len(self.labels) - 1), bit).otherwise(
+            F.lit(0).cast("bigint"))
 
 
 def open_dimension(name: str, column: str | None = None) -> Dimension:
     return Dimension(name, lambda: F.col(column or name))
 
 
-def flag_dimension(name: str, column: str | None = None) -> Dimension:
-    return Dimension(name, lambda: F.col(column or name), ("true", "false"))
+def closed_dimension(name: str, labels: tuple[str, ...], index: Callable[[], Column]) -> Dimension:
+    return Dimension(name, labels=tuple(labels), index=index)
+
+
+def flag_dimension(
+    name: str, flag: Callable[[], Column], labels: tuple[str, str] = ("true", "false")
+) -> Dimension:
+    return closed_dimension(name, labels, lambda: F.when(flag(), 0).when(~flag(), 1))
+
+
+def number_dimension(name: str, numbers: range, column: str | None = None) -> Dimension:
+    """Consecutive whole numbers."""
+    if not numbers or numbers.step != 1:
+        raise ValueError("numbers must be consecutive")
+    return closed_dimension(
+        name, tuple(map(str, numbers)), lambda: F.col(column or name) - numbers.start)
 
 
-def month_dimension(months: Sequence[int] = MONTHS) -> Dimension:
-    return Dimension("month", lambda: F.col("month"), tuple(str(m) for m in months))
+def month_dimension(months: range = MONTHS) -> Dimension:
+    return number_dimension("month", months)
+
+
+def position_dimension(last: int) -> Dimension:
+    """Result positions 1 to ``last``."""
+    return number_dimension("search_position", range(1, last + 1))
 
 
 SEARCH_TYPE = open_dimension("search_type")
@@ -72,46 +102,39 @@ SEARCH_DMA = open_dimension("dma", "search_dma")
 SEARCH_TERM = open_dimension("search_term")
 SOURCE = open_dimension("source", "first_attribution_source")
 CHANNEL = open_dimension("channel", "first_attribution_channel")
-RESULT_COUNT = Dimension(
-    "result_count",
-    lambda: bucketize(F.col("count_results"), B.RESULT_COUNT_EDGES, B.RESULT_COUNT_LABELS),
-    B.RESULT_COUNT_LABELS,
-)
-TERM_LENGTH = Dimension(
-    "term_length",
-    lambda: bucketize(F.length("search_term"), B.TERM_LENGTH_EDGES, B.TERM_LENGTH_LABELS),
-    B.TERM_LENGTH_LABELS,
-)
-USA_CANADA = flag_dimension("geo", "is_usa_canada")
-BOT = flag_dimension("bot", "is_bot")
-HOST = flag_dimension("host", "is_host")
-DAY_OF_WEEK = Dimension("day_of_week", lambda: weekday_of(F.col("event_time")), WEEKDAYS)
-HOUR_BIN = Dimension(
-    "hour",
-    lambda: bucketize(hour_of(F.col("event_time")), B.HOUR_EDGES, B.HOUR_LABELS),
-    B.HOUR_LABELS,
-)
-
-USER_TYPE = Dimension(
-    "user_type", lambda: boolean_label(F.col("is_host"), L.HOST_LABELS), L.HOST_LABELS)
-GEOGRAPHY = Dimension(
-    "geography", lambda: boolean_label(F.col("is_usa_canada"), L.GEO_LABELS), L.GEO_LABELS)
-PEAK = Dimension("time", lambda: peak_label(F.col("event_time")), L.PEAK_LABELS)
-
-POSITION_BUCKET = Dimension(
-    "position_bucket",
-    lambda: range_label(F.col("search_position"), B.POSITION_BUCKETS),
-    tuple(label for _, _, label in B.POSITION_BUCKETS),
-)
-
-
-def position_dimension(last: int) -> Dimension:
-    """Result positions 1 to ``last``."""
-    return Dimension("search_position", lambda: F.col("search_position"),
-                     tuple(str(p) for p in range(1, last + 1)))
+RESULT_COUNT = closed_dimension(
+    "result_count", B.RESULT_COUNT_LABELS,
+    lambda: bucket_index(F.col("count_results"), B.RESULT_COUNT_EDGES))
+TERM_LENGTH = closed_dimension(
+    "term_length", B.TERM_LENGTH_LABELS,
+    lambda: bucket_index(F.length("search_term"), B.TERM_LENGTH_EDGES))
+USA_CANADA = flag_dimension("geo", lambda: F.col("is_usa_canada"))
+BOT = flag_dimension("bot", lambda: F.col("is_bot"))
+HOST = flag_dimension("host", lambda: F.col("is_host"))
+DAY_OF_WEEK = closed_dimension("day_of_week", WEEKDAYS, lambda: F.weekday("event_time"))
+HOUR_BIN = closed_dimension(
+    "hour", B.HOUR_LABELS, lambda: bucket_index(hour_of(F.col("event_time")), B.HOUR_EDGES))
+
+USER_TYPE = flag_dimension("user_type", lambda: F.col("is_host"), L.HOST_LABELS)
+GEOGRAPHY = flag_dimension("geography", lambda: F.col("is_usa_canada"), L.GEO_LABELS)
+PEAK = flag_dimension("time", lambda: L.in_peak_hours(F.col("event_time")), L.PEAK_LABELS)
+POSITION_BUCKET = closed_dimension(
+    "position_bucket", tuple(label for _, _, label in B.POSITION_BUCKETS),
+    lambda: range_index(F.col("search_position"), B.POSITION_BUCKETS))
+
+LISTING_POSITION = closed_dimension(
+    "position", B.POSITION_LABELS,
+    lambda: bucket_index(F.col("search_position"), B.POSITION_EDGES))
+LISTING_ID_RANGE = closed_dimension(
+    "listing_id", B.LISTING_ID_LABELS,
+    lambda: bucket_index(F.col("listing_id").try_cast("double"), B.LISTING_ID_EDGES))
+SOURCE_SCREEN = open_dimension("source_screen")
+CLICK_DMA = open_dimension("dma", "click_dma")
+HEX_1 = open_dimension("hex_1", "hex_1_resolution")
+ALREADY_RESERVED = flag_dimension("is_listing_reserved", lambda: F.col("is_listing_reserved"))
 
 
-def search_dimensions(months: Sequence[int] = MONTHS) -> list[Dimension]:
+def search_dimensions(months: range = MONTHS) -> list[Dimension]:
     """Dimensions of the search characteristics analysis, search term and frequency apart."""
     return [SEARCH_TYPE, TERM_CATEGORY, SEARCH_SORT, SEARCH_DMA, RESULT_COUNT, TERM_LENGTH,
             USA_CANADA, BOT, HOST, month_dimension(months), DAY_OF_WEEK, HOUR_BIN]
@@ -121,24 +144,8 @@ def attribution_dimensions() -> list[Dimension]:
     return [SOURCE, CHANNEL]
 
 
-LISTING_POSITION = Dimension(
-    "position",
-    lambda: bucketize(F.col("search_position").try_cast("double"), B.POSITION_EDGES,
-                      B.POSITION_LABELS),
-)
-LISTING_ID_RANGE = Dimension(
-    "listing_id",
-    lambda: bucketize(F.col("listing_id").try_cast("double"), B.LISTING_ID_EDGES,
-                      B.LISTING_ID_LABELS),
-)
-SOURCE_SCREEN = open_dimension("source_screen")
-CLICK_DMA = open_dimension("dma", "click_dma")
-HEX_1 = open_dimension("hex_1", "hex_1_resolution")
-ALREADY_RESERVED = open_dimension("is_listing_reserved")
-
-
-def listing_dimensions() -> list[Dimension]:
+def listing_dimensions(months: range = MONTHS) -> list[Dimension]:
     """Dimensions of the listing analysis."""
     return [LISTING_POSITION, SOURCE_SCREEN, CLICK_DMA, SOURCE, CHANNEL, BOT, HOST,
-            month_dimension(), DAY_OF_WEEK, HOUR_BIN, HEX_1, ALREADY_RESERVED,
+            month_dimension(months), DAY_OF_WEEK, HOUR_BIN, HEX_1, ALREADY_RESERVED,
             LISTING_ID_RANGE]

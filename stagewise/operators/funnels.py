@@ -33,7 +33,12 @@ def funnel_counts(
     Each later stage is counted among searchers on its own: a reserver need not have
     viewed, so the counts need not fall from stage to stage.
     """
-    users = user_stages(searches, views, with_mapped_renters(reservations, identity_map))
+    if identity_map is not None:
+        # One row per renter before the map is joined, however often a renter reserved.
+        paid_at = "successful_payment_collected_at"
+        per_renter = reservations.groupBy(RENTER).agg(F.max(paid_at).alias(paid_at))
+        reservations = with_mapped_renters(per_renter, identity_map)
+    users = user_stages(searches, views, reservations)
     counts = users.agg(
         F.count_if(has("stages", SEARCHED)).alias("total_searchers"),
         F.count_if(has("stages", SEARCHED | CLICKED)).alias("total_viewers"),

@@ -25,59 +25,68 @@ TOP_N = 10
 
 
 def view_performance(
-    searches: DataFrame, views: DataFrame, segment: Sequence[str], min_searchers: int = 0
+    searches: DataFrame, views: DataFrame, segment: Sequence[str],
+    min_searchers: int = 0, averages: bool = False,
 ) -> DataFrame:
-    """Searchers, viewers of their searches, searches and mean results per segment.
+    """Searchers, viewers of their searches and searches per segment.
 
-    Searches meet views on ``search_id``. ``avg_results`` weighs a search by its number
-    of views (at least 1), as a mean over the joined rows does;
+    Searches meet views on ``search_id``. With ``averages``, ``avg_results`` weighs a
+    search by its number of views (at least 1), as a mean over the joined rows does, and
     ``avg_results_unweighted`` is the plain mean.
     """
     segment = list(segment)
+    results = F.col("count_results").cast("bigint")
+    means = [F.sum(results).alias("results"), F.count("count_results").alias("counted")]
     totals = searches.groupBy(*segment).agg(
         F.countDistinct(USER).alias("unique_searchers"),
         F.countDistinct("search_id").alias("total_searches"),
-        F.avg("count_results").alias("plain_mean"),
+        *(means if averages else []),
     )
-    per_search = searches.groupBy(*segment, "search_id").agg(
-        F.sum(F.col("count_results").cast("bigint")).alias("results"),
-        F.count("count_results").alias("counted"),
-    )
-    per_viewer = (
-        views.where(F.col("search_id").isNotNull())
-        .groupBy("search_id", F.col(USER).alias("viewer"))
-        .agg(F.count("*").alias("matches"))
-    )
-    weight = F.coalesce(F.col("matches"), F.lit(1))
-    linked = (
-        per_search.join(per_viewer, "search_id", "left")
-        .groupBy(*segment)
-        .agg(
+    known = views.where(F.col("search_id").isNotNull())
+    viewer = F.col(USER).alias("viewer")
+    if averages:
+        per_search = searches.groupBy(*segment, "search_id").agg(*means)
+        # A search without views still counts once, one with m views m times. The plain
+        # sums hold every search once, so a viewed search adds m - 1: its views, and one
+        # row of -1.
+        matches = known.groupBy("search_id", viewer).agg(F.count("*").alias("matches"))
+        once = known.select(
+            "search_id", F.lit(None).cast(known.schema[USER].dataType).alias("viewer"),
+            F.lit(-1).cast("bigint").alias("matches")).distinct()
+        linked = per_search.join(matches.unionByName(once), "search_id").groupBy(*segment).agg(
             F.countDistinct("viewer").alias("unique_viewers"),
-            F.sum(F.col("results") * weight).alias("weighted_results"),
-            F.sum(F.col("counted") * weight).alias("weighted_count"),
+            F.sum(F.col("results") * F.col("matches")).alias("more_results"),
+            F.sum(F.col("counted") * F.col("matches")).alias("more_counted"),
         )
-    )
-    return (
-        _join_segments(totals, linked, segment)
-        .where(F.col("unique_searchers") >= min_searchers)
-        .select(
-            *segment, "unique_searchers", "unique_viewers", "total_searches",
-            F.round(F.try_divide(F.col("weighted_results").cast("double"),
-                                 F.col("weighted_count")), 2).alias("avg_results"),
-            F.round("plain_mean", 2).alias("avg_results_unweighted"),
-            pct(F.col("unique_viewers"), F.col("unique_searchers")).alias("conversion_rate"),
-        )
-    )
+    else:
+        per_search = searches.select(*segment, "search_id").distinct()
+        viewers = known.select("search_id", viewer).distinct()
+        linked = per_search.join(viewers, "search_id").groupBy(*segment).agg(
+            F.countDistinct("viewer").alias("unique_viewers"))
+    result = _combine(segment, [totals, linked]).where(
+        F.col("unique_searchers") >= min_searchers)
+    viewed = F.coalesce("unique_viewers", F.lit(0))
+    columns = [*segment, "unique_searchers", viewed.alias("unique_viewers"), "total_searches"]
+    if averages:
+        weighted = _mean(
+            F.col("results") + F.coalesce("more_results", F.lit(0)),
+            F.col("counted") + F.coalesce("more_counted", F.lit(0)))
+        columns += [
+            weighted.alias("avg_results"),
+            _mean(F.col("results"), F.col("counted")).alias("avg_results_unweighted"),
+        ]
+    return result.select(
+        *columns, pct(viewed, F.col("unique_searchers")).alias("conversion_rate"))
 
 
 def search_type_performance(searches: DataFrame, views: DataFrame) -> DataFrame:
-    return view_performance(searches, views, ["search_type"]).orderBy(
+    return view_performance(searches, views, ["search_type"], averages=True).orderBy(
         F.desc("conversion_rate"), "search_type")
 
 
 def category_performance(searches: DataFrame, views: DataFrame) -> DataFrame:
-    return view_performance(searches, views, ["search_term_category"]).orderBy(
+    return view_performance(
+        searches, views, ["search_term_category"], averages=True).orderBy(
         F.desc("unique_searchers"), "search_term_category")
 
 
@@ -89,7 +98,6 @@ def attribution_performance(
     keys = ["first_attribution_source", "first_attribution_channel"]
     return (
         view_performance(searches, views, keys, min_searchers)
-        .drop("avg_results", "avg_results_unweighted")
         .orderBy(F.desc("unique_searchers"), *keys)
         .limit(n)
     )
@@ -100,7 +108,6 @@ def result_count_performance(cleaned_searches: DataFrame, views: DataFrame) -> D
     labels = [label for _, _, label in RESULT_COUNT_RANGES] + [RESULT_COUNT_ELSE]
     return (
         view_performance(cleaned_searches, views, ["result_count_category"])
-        .drop("avg_results", "avg_results_unweighted")
         .withColumn("label_order", label_order(F.col("result_count_category"), labels))
         .orderBy("label_order")
     )
@@ -201,10 +208,12 @@ def hourly_patterns(cleaned_searches: DataFrame, cleaned_views: DataFrame) -> Da
     )
 
 
-def _join_segments(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join on ``keys`` with NULL equal to NULL; the keys of ``left`` stay."""
-    left, right = left.alias("l"), right.alias("r")
-    same = reduce(
-        lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
-    kept = [F.col(f"r.{c}") for c in right.columns if c not in keys]
-    return left.join(right, same).select("l.*", *kept)
+def _combine(keys: Sequence[str], frames: Sequence[DataFrame]) -> DataFrame:
+    """Frames of one row per ``keys`` side by side; a NULL key is a key like any other."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return rows.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in rows.columns if c not in keys])
+
+
+def _mean(total: Column, count: Column) -> Column:
+    return F.round(F.try_divide(total.cast("double"), count), 2)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,28 +49,21 @@ def listing_segment_conversion(
 ) -> DataFrame:
     """Views per segment against all reservations of the listings seen in it.
 
-    Every dimension is handled in one pass: views are counted per (dimension, segment,
-    listing) with map-side combining, so a listing that holds a large part of all views
-    is a few rows by the time it is joined with the reservation counts.
+    Closed dimensions cost one grouping by listing that counts the views of every label
+    side by side. Open ones are counted per (dimension, segment, listing). Both combine
+    on the map side, so a listing that holds a large part of all views is a few rows by
+    the time it meets the reservation counts.
     """
     picked = listing_dimensions() if dimensions is None else dimensions
-    rows = views.select(
-        "listing_id",
-        F.inline(F.array(*[
-            F.struct(F.lit(d.name).alias("dimension"), d.column().alias("segment"))
-            for d in picked])),
-    ).where(F.col("segment").isNotNull())
-    per_listing = rows.groupBy("dimension", "segment", "listing_id").agg(
-        F.count("*").alias("views"))
+    booked = reservations_per_listing(reservations)
+    closed, opened = [d for d in picked if d.closed], [d for d in picked if not d.closed]
+    parts = []
+    if closed:
+        parts.append(_closed_views(views, closed, booked))
+    if opened:
+        parts.append(_open_views(views, opened, booked))
     result = (
-        per_listing.join(reservations_per_listing(reservations), "listing_id", "left")
-        .groupBy("dimension", "segment")
-        .agg(
-            F.sum("views").alias("total_views"),
-            F.coalesce(F.sum("total_reservations"), F.lit(0)).alias("total_reservations"),
-            F.count("listing_id").alias("unique_listings"),
-            F.count("total_reservations").alias("reserved_listings"),
-        )
+        reduce(DataFrame.unionByName, parts)
         .where(F.col("total_views") >= min_views)
         .withColumns({
             "conversion_rate": pct_or_zero(F.col("total_reservations"), F.col("total_views")),
@@ -81,6 +75,49 @@ def listing_segment_conversion(
         "dimension", F.desc("conversion_rate"), "segment") if ordered else result
 
 
+def _closed_views(
+    views: DataFrame, closed: Sequence[Dimension], booked: DataFrame
+) -> DataFrame:
+    numbered = views.select("listing_id", *[d.index().alias(f"i_{d.name}") for d in closed])
+    counts, rows = [], []
+    for d in closed:
+        for i, label in enumerate(d.labels):
+            name = f"n{len(counts)}"
+            counts.append(F.count_if(F.col(f"i_{d.name}") == i).alias(name))
+            rows += [F.lit(d.name), F.lit(label), F.col(name)]
+    per_listing = (
+        numbered.groupBy("listing_id").agg(*counts)
+        .join(booked, "listing_id", "left")
+        .select("listing_id", "total_reservations",
+                F.stack(F.lit(len(counts)), *rows).alias("dimension", "segment", "views"))
+        .where("views > 0")
+    )
+    return _sum_segments(per_listing, ["dimension", "segment"])
+
+
+def _open_views(views: DataFrame, opened: Sequence[Dimension], booked: DataFrame) -> DataFrame:
+    values = [c for i, d in enumerate(opened) for c in (F.lit(i).cast("tinyint"), d.column())]
+    per_listing = (
+        views.select("listing_id", F.stack(F.lit(len(opened)), *values)
+                     .alias("number", "segment"))
+        .where(F.col("segment").isNotNull())
+        .groupBy("number", "segment", "listing_id").agg(F.count("*").alias("views"))
+        .join(booked, "listing_id", "left")
+    )
+    names = F.array(*[F.lit(d.name) for d in opened])
+    return _sum_segments(per_listing, ["number", "segment"]).withColumn(
+        "dimension", F.get(names, F.col("number"))).drop("number")
+
+
+def _sum_segments(per_listing: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return per_listing.groupBy(*keys).agg(
+        F.sum("views").alias("total_views"),
+        F.coalesce(F.sum("total_reservations"), F.lit(0)).alias("total_reservations"),
+        F.count("listing_id").alias("unique_listings"),
+        F.count("total_reservations").alias("reserved_listings"),
+    )
+
+
 def high_volume_listings(
     stats: DataFrame, min_views: int = HIGH_VOLUME_VIEWS, n: int = 10
 ) -> DataFrame:

@@ -12,15 +12,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagewise.functions import bucketize, pct_or_zero
-from stagewise.functions.buckets import FREQUENCY_EDGES, FREQUENCY_LABELS
+from stagewise.functions import pct_or_zero
+from stagewise.functions.buckets import FREQUENCY_EDGES, FREQUENCY_LABELS, bucket_index
+from stagewise.functions.labels import HOST_LABELS
 from stagewise.functions.times import WEEKEND
 from stagewise.operators import dimensions as D
 from stagewise.operators.dimensions import Dimension
-from stagewise.operators.users import USER_ID, has, in_all, renters, user_ids
+from stagewise.operators.users import USER_ID, in_all, renters, user_ids
 from stagewise.schemas import USER
 
-FREQUENCY = "search_frequency"
+# Read from the profile of a user, not from an event.
+SEARCH_FREQUENCY = D.closed_dimension(
+    "search_frequency", FREQUENCY_LABELS,
+    lambda: bucket_index(F.col("events"), FREQUENCY_EDGES))
 MIN_USERS = 50
 MIN_TERM_USERS = 20
 
@@ -55,7 +59,7 @@ def segment_conversion(
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {sorted(METRICS)}")
-    closed = [d for d in dimensions if d.labels is not None and null_segment == "drop"]
+    closed = [d for d in dimensions if d.closed and null_segment == "drop"]
     opened = [d for d in dimensions if d not in closed]
     parts = []
     if closed or frequency:
@@ -77,7 +81,7 @@ def segment_conversion(
 
 def search_characteristics(
     searches: DataFrame, views: DataFrame, reservations: DataFrame,
-    months: Sequence[int] = D.MONTHS, **options,
+    months: range = D.MONTHS, **options,
 ) -> DataFrame:
     """Full-funnel conversion by every search characteristic."""
     return segment_conversion(
@@ -87,7 +91,7 @@ def search_characteristics(
 
 def non_converting_searches(
     searches: DataFrame, views: DataFrame, reservations: DataFrame,
-    months: Sequence[int] = D.MONTHS, **options,
+    months: range = D.MONTHS, **options,
 ) -> DataFrame:
     """Searchers outside the full funnel by every search characteristic and attribution."""
     return segment_conversion(
@@ -130,21 +134,21 @@ def spine_conversion(
 ) -> DataFrame:
     """Conversion per label of a closed dimension; labels without users have zeros.
 
-    One shuffle on the user and one single-row aggregate, which is then unfolded into a
-    row per label, so every label is present even for empty input.
+    A row without user and without labels is added to the users, so every label is
+    present even for empty input.
     """
-    profile = _profile(events, [dimension], evidence)
-    counts, rows = [], []
-    for i, label in enumerate(dimension.labels):
-        inside = has(_mask(dimension), 1 << i)
-        counts += [F.count_if(inside).alias(f"t{i}"),
-                   F.count_if(inside & F.col("hit")).alias(f"h{i}")]
-        rows += [F.lit(label), F.lit(i + 1), F.col(f"t{i}"), F.col(f"h{i}")]
+    profile = _profile(events, [dimension], evidence).select("hit", _mask(dimension))
+    nobody = events.sparkSession.range(1).select(
+        F.lit(False).alias("hit"), F.lit(0).cast("bigint").alias(_mask(dimension)))
+    place = f"{dimension.name}_order"
+    inside = F.getbit(_mask(dimension), F.col("bit")) == 1
     return (
-        profile.agg(*counts)
-        .select(F.stack(F.lit(len(dimension.labels)), *rows)
-                .alias(dimension.name, f"{dimension.name}_order", users, hits))
-        .withColumn("conversion_rate", pct_or_zero(F.col(hits), F.col(users)))
+        profile.unionByName(nobody)
+        .select("*", F.posexplode(dimension.label_array()).alias("bit", dimension.name))
+        .groupBy("bit", dimension.name)
+        .agg(F.count_if(inside).alias(users), F.count_if(inside & F.col("hit")).alias(hits))
+        .select(dimension.name, (F.col("bit") + 1).alias(place), users, hits,
+                pct_or_zero(F.col(hits), F.col(users)).alias("conversion_rate"))
     )
 
 
@@ -169,7 +173,7 @@ def weekday_weekend(by_weekday: DataFrame) -> DataFrame:
 
 def monthly_conversion(
     searches: DataFrame, views: DataFrame, reservations: DataFrame,
-    months: Sequence[int] = D.MONTHS,
+    months: range = D.MONTHS,
 ) -> DataFrame:
     """Conversion per month that has searchers, each placed against the mean of the months."""
     by_month = spine_conversion(
@@ -201,7 +205,7 @@ def host_conversion(searches: DataFrame, views: DataFrame, reservations: DataFra
 def host_gap(by_type: DataFrame) -> DataFrame:
     """Host minus non-host rate in points, and relative to the non-host rate."""
     rate = F.col("conversion_rate")
-    host, other = D.L.HOST_LABELS
+    host, other = HOST_LABELS
     return by_type.agg(
         F.max(F.when(F.col("user_type") == host, rate)).alias("host_rate"),
         F.max(F.when(F.col("user_type") == other, rate)).alias("non_host_rate"),
@@ -281,15 +285,16 @@ def _closed_segments(
     events: DataFrame, closed: Sequence[Dimension], evidence: Sequence[DataFrame], frequency: bool
 ) -> DataFrame:
     profile = _profile(events, closed, evidence)
-    segments = [
-        F.when(has(_mask(d), 1 << i), _segment(d.name, F.lit(label)))
-        for d in closed for i, label in enumerate(d.labels)
-    ]
+    masks = [F.col(_mask(d)) for d in closed]
     if frequency:
-        label = bucketize(F.col("events"), FREQUENCY_EDGES, FREQUENCY_LABELS)
-        segments.append(F.when(label.isNotNull(), _segment(FREQUENCY, label)))
+        closed = [*closed, SEARCH_FREQUENCY]
+        masks.append(SEARCH_FREQUENCY.mask())
+    rows = [c for d, m in zip(closed, masks) for c in (F.lit(d.name), m, d.label_array())]
     return (
-        profile.select("hit", F.inline(F.array_compact(F.array(*segments))))
+        profile.select("hit", F.stack(F.lit(len(closed)), *rows)
+                       .alias("dimension", "mask", "labels"))
+        .select("dimension", "hit", "mask", F.posexplode("labels").alias("bit", "segment"))
+        .where(F.getbit("mask", "bit") == 1)
         .groupBy("dimension", "segment")
         .agg(F.count("*").alias("total_searchers"), F.count_if("hit").alias("hits"))
     )
@@ -299,24 +304,28 @@ def _open_segments(
     events: DataFrame, opened: Sequence[Dimension], evidence: Sequence[DataFrame],
     null_segment: str,
 ) -> DataFrame:
-    rows = events.where(F.col(USER).isNotNull()).select(
+    """Distinct (segment, user) pairs of every dimension against the converted users.
+
+    The pairs carry the number of their dimension, its name is put back at the end.
+    """
+    values = [c for i, d in enumerate(opened) for c in (F.lit(i).cast("tinyint"), d.column())]
+    pairs = events.where(F.col(USER).isNotNull()).select(
         F.col(USER).alias(USER_ID),
-        F.inline(F.array(*[_segment(d.name, d.column()) for d in opened])))
+        F.stack(F.lit(len(opened)), *values).alias("number", "segment"))
     if null_segment == "drop":
-        rows = rows.where(F.col("segment").isNotNull())
+        pairs = pairs.where(F.col("segment").isNotNull())
     hits = in_all(evidence).withColumn("hit", F.lit(True))
+    names = F.array(*[F.lit(d.name) for d in opened])
     return (
-        rows.distinct()
+        pairs.distinct()
         .join(hits, USER_ID, "left")
-        .groupBy("dimension", "segment")
+        .groupBy("number", "segment")
         .agg(F.count("*").alias("total_searchers"), F.count_if("hit").alias("hits"))
+        .select(F.get(names, F.col("number")).alias("dimension"), "segment",
+                "total_searchers", "hits")
     )
 
 
-def _segment(dimension: str, label: Column) -> Column:
-    return F.struct(F.lit(dimension).alias("dimension"), label.alias("segment"))
-
-
 def _minimum(min_users: int | Mapping[str, int]) -> Column:
     if isinstance(min_users, int):
         return F.lit(min_users)

@@ -30,14 +30,12 @@ def renters(reservations: DataFrame) -> DataFrame:
     return user_ids(reservations, RENTER)
 
 
-def with_mapped_renters(reservations: DataFrame, identity_map: DataFrame | None) -> DataFrame:
+def with_mapped_renters(reservations: DataFrame, identity_map: DataFrame) -> DataFrame:
     """Reservations whose renter is named by the id that searches and views use.
 
-    Without a map both sides are taken to share their ids. With one, its ``user_id`` is
-    replaced by its ``merged_amplitude_id``; reservations of unmapped renters drop out.
+    The ``user_id`` of the map is replaced by its ``merged_amplitude_id``; reservations of
+    unmapped renters drop out.
     """
-    if identity_map is None:
-        return reservations
     pairs = (
         identity_map.select(USER, F.col("user_id").alias(RENTER))
         .where(F.col(USER).isNotNull())

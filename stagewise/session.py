@@ -10,6 +10,8 @@ ADAPTIVE = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
+    # Call sites in error messages double the time it takes to build a plan in Python.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

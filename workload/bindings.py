@@ -8,9 +8,11 @@ joins carry no broadcast hint: Spark broadcasts those that are small when it run
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stagewise.schemas import RENTER, USER
 from stagewise.sources.ingest import normalize_flags
@@ -32,7 +34,14 @@ _PART = {"search_term", "search_term_category"}
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    path = f"{folder}/{table}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
+
+
+@lru_cache(maxsize=None)
+def _schema(path: str) -> T.StructType:
+    """Schema in the file's footer, looked up once: each look-up is a job of its own."""
+    return SparkSession.active().read.parquet(path).schema
 
 
 def search_events(spark: SparkSession, folder: str, *columns: str) -> DataFrame:

@@ -570,7 +570,7 @@ def q51_listing_segments(spark, folder):
 def q51_listing_segments_events(spark, folder):
     return listings.listing_segment_conversion(
         B.listing_views(spark, folder), B.reservations(spark, folder, "listing_id"),
-        min_views=MIN_SEGMENT_VIEWS)
+        D.listing_dimensions(DAYS), min_views=MIN_SEGMENT_VIEWS)
 
 
 @query
