@@ -19,7 +19,8 @@ def hours_between(start: Column, end: Column) -> Column:
 
 def weekday_of(ts: Column) -> Column:
     """Name of the day, NULL for NULL."""
-    return F.element_at(F.array(*[F.lit(day) for day in WEEKDAYS]), F.weekday(ts) + F.lit(1))
+    # Not element_at: in ANSI mode it takes the result for non-NULL even if the index is NULL.
+    return F.get(F.array(*[F.lit(day) for day in WEEKDAYS]), F.weekday(ts))
 
 
 def hour_of(ts: Column) -> Column:

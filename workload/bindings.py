@@ -175,7 +175,7 @@ def _bind(spark, folder, rows, available, columns, typed: bool = True) -> DataFr
 
 
 def _pick(labels: tuple, count: int) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), (F.col("k") % count + 1).cast("int"))
+    return F.get(F.array(*[F.lit(x) for x in labels]), (F.col("k") % count).cast("int"))
 
 
 def _flag_text(condition: Column) -> Column:
