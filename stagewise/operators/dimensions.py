@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.functions import buckets as B
@@ -53,8 +53,7 @@ class Dimension:
         return self.value().cast("string")
 
     def label_array(self) -> Column:
-        """The labels as one literal; the split is folded when the query is planned."""
-        return F.split(F.lit(_SEPARATOR.join(self.labels)), _SEPARATOR)
+        return _literal(self.labels)
 
     def mask(self) -> Column:
         """The bit of the row's label, 0 for no value."""
@@ -86,6 +85,40 @@ def number_dimension(name: str, numbers: range, column: str | None = None) -> Di
         name, tuple(map(str, numbers)), lambda: F.col(column or name) - numbers.start)
 
 
+def close_dimensions(
+    events: DataFrame, dimensions: Sequence[Dimension], max_labels: int = MAX_LABELS
+) -> list[Dimension]:
+    """``dimensions`` with the open ones of few values closed over the values in ``events``.
+
+    Runs two small jobs: estimates of the number of values, then the values of the
+    dimensions that qualify. Where the exact number exceeds ``max_labels`` after all, or
+    is zero, a dimension stays open.
+    """
+    opened = [d for d in dimensions if not d.closed]
+    if not opened:
+        return list(dimensions)
+    estimates = events.agg(*[F.approx_count_distinct(d.column()) for d in opened]).first()
+    few = [d for d, n in zip(opened, estimates) if 0 < n <= max_labels]
+    if not few:
+        return list(dimensions)
+    values = events.agg(*[F.sort_array(F.collect_set(d.column())) for d in few]).first()
+    closed = {d: _over(d, tuple(v)) for d, v in zip(few, values) if 0 < len(v) <= max_labels}
+    return [closed.get(d, d) for d in dimensions]
+
+
+def _over(dimension: Dimension, labels: tuple[str, ...]) -> Dimension:
+    return closed_dimension(
+        dimension.name, labels,
+        lambda: F.array_position(_literal(labels), dimension.column()) - 1)
+
+
+def _literal(labels: tuple[str, ...]) -> Column:
+    """The labels as an array; one literal, whose split is folded when the query is planned."""
+    if any(_SEPARATOR in label for label in labels):
+        return F.array(*[F.lit(label) for label in labels])
+    return F.split(F.lit(_SEPARATOR.join(labels)), _SEPARATOR)
+
+
 def month_dimension(months: range = MONTHS) -> Dimension:
     return number_dimension("month", months)
 

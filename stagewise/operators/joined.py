@@ -35,48 +35,53 @@ def view_performance(
     ``avg_results_unweighted`` is the plain mean.
     """
     segment = list(segment)
-    results = F.col("count_results").cast("bigint")
-    means = [F.sum(results).alias("results"), F.count("count_results").alias("counted")]
-    totals = searches.groupBy(*segment).agg(
-        F.countDistinct(USER).alias("unique_searchers"),
-        F.countDistinct("search_id").alias("total_searches"),
-        *(means if averages else []),
-    )
+    sums = [F.sum(F.col("count_results").cast("bigint")).alias("results"),
+            F.count("count_results").alias("counted")]
+    users = searches.groupBy(*segment).agg(F.countDistinct(USER).alias("unique_searchers"))
+    # Both uses of the grouped searches have the same plan, so it is computed once.
+    linkable = searches.where(F.col("search_id").isNotNull())
+    keys = [*segment, "search_id"]
+    per_search = (linkable.groupBy(*keys).agg(*sums) if averages
+                  else linkable.select(*keys).distinct())
     known = views.where(F.col("search_id").isNotNull())
     viewer = F.col(USER).alias("viewer")
+    counted = [F.count("*").alias("searches")]
+    linked = [F.countDistinct("viewer").alias("viewers")]
+    frames = [users]
     if averages:
-        per_search = searches.groupBy(*segment, "search_id").agg(*means)
         # A search without views still counts once, one with m views m times. The plain
         # sums hold every search once, so a viewed search adds m - 1: its views, and one
         # row of -1.
-        matches = known.groupBy("search_id", viewer).agg(F.count("*").alias("matches"))
         once = known.select(
             "search_id", F.lit(None).cast(known.schema[USER].dataType).alias("viewer"),
             F.lit(-1).cast("bigint").alias("matches")).distinct()
-        linked = per_search.join(matches.unionByName(once), "search_id").groupBy(*segment).agg(
-            F.countDistinct("viewer").alias("unique_viewers"),
-            F.sum(F.col("results") * F.col("matches")).alias("more_results"),
-            F.sum(F.col("counted") * F.col("matches")).alias("more_counted"),
-        )
+        matches = known.groupBy("search_id", viewer).agg(
+            F.count("*").alias("matches")).unionByName(once)
+        linked += [F.sum(F.col(c) * F.col("matches")).alias(f"more_{c}")
+                   for c in ("results", "counted")]
+        counted += [F.sum(c).alias(c) for c in ("results", "counted")]
+        frames.append(
+            searches.where(F.col("search_id").isNull()).groupBy(*segment).agg(
+                *[total.alias(f"unlinked_{c}")
+                  for c, total in zip(("results", "counted"), sums)]))
     else:
-        per_search = searches.select(*segment, "search_id").distinct()
-        viewers = known.select("search_id", viewer).distinct()
-        linked = per_search.join(viewers, "search_id").groupBy(*segment).agg(
-            F.countDistinct("viewer").alias("unique_viewers"))
-    result = _combine(segment, [totals, linked]).where(
-        F.col("unique_searchers") >= min_searchers)
-    viewed = F.coalesce("unique_viewers", F.lit(0))
-    columns = [*segment, "unique_searchers", viewed.alias("unique_viewers"), "total_searches"]
+        matches = known.select("search_id", viewer).distinct()
+    frames.append(per_search.groupBy(*segment).agg(*counted))
+    frames.append(per_search.join(matches, "search_id").groupBy(*segment).agg(*linked))
+    result = _combine(segment, frames).where(F.col("unique_searchers") >= min_searchers)
+
+    viewers = _or_zero("viewers")
+    columns = [*segment, "unique_searchers", viewers.alias("unique_viewers"),
+               _or_zero("searches").alias("total_searches")]
     if averages:
-        weighted = _mean(
-            F.col("results") + F.coalesce("more_results", F.lit(0)),
-            F.col("counted") + F.coalesce("more_counted", F.lit(0)))
+        results, count = (_or_zero(c) + _or_zero(f"unlinked_{c}") for c in ("results", "counted"))
         columns += [
-            weighted.alias("avg_results"),
-            _mean(F.col("results"), F.col("counted")).alias("avg_results_unweighted"),
+            _mean(results + _or_zero("more_results"), count + _or_zero("more_counted"))
+            .alias("avg_results"),
+            _mean(results, count).alias("avg_results_unweighted"),
         ]
     return result.select(
-        *columns, pct(viewed, F.col("unique_searchers")).alias("conversion_rate"))
+        *columns, pct(viewers, F.col("unique_searchers")).alias("conversion_rate"))
 
 
 def search_type_performance(searches: DataFrame, views: DataFrame) -> DataFrame:
@@ -215,5 +220,9 @@ def _combine(keys: Sequence[str], frames: Sequence[DataFrame]) -> DataFrame:
         *[F.max(c).alias(c) for c in rows.columns if c not in keys])
 
 
+def _or_zero(name: str) -> Column:
+    return F.coalesce(name, F.lit(0))
+
+
 def _mean(total: Column, count: Column) -> Column:
     return F.round(F.try_divide(total.cast("double"), count), 2)

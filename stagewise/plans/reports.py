@@ -130,8 +130,11 @@ def cleaned_report(tables: Tables) -> Bundle:
 def characteristics_report(tables: Tables, min_users: int = segments.MIN_USERS) -> Bundle:
     """Conversion by each search characteristic, and the best search terms."""
     facts = tables.facts()
-    long = share(segments.search_characteristics(*facts, min_users=min_users, ordered=False))
-    names = [d.name for d in D.search_dimensions()] + [segments.SEARCH_FREQUENCY.name]
+    picked = D.close_dimensions(tables.searches, D.search_dimensions())
+    long = share(segments.segment_conversion(
+        tables.searches, picked, segments.full_funnel(tables.views, tables.reservations),
+        min_users=min_users, frequency=True, ordered=False))
+    names = [d.name for d in picked] + [segments.SEARCH_FREQUENCY.name]
     return _by_dimension(long, names, "conversion_rate") | {
         "top_terms": segments.search_terms(*facts)}
 
@@ -139,8 +142,12 @@ def characteristics_report(tables: Tables, min_users: int = segments.MIN_USERS)
 def non_converting_report(tables: Tables, min_users: int = segments.MIN_USERS) -> Bundle:
     """Non-conversion by each search characteristic, drop-off and users who never clicked."""
     facts = tables.facts()
-    long = share(segments.non_converting_searches(*facts, min_users=min_users, ordered=False))
-    names = [d.name for d in [*D.search_dimensions(), *D.attribution_dimensions()]]
+    picked = D.close_dimensions(
+        tables.searches, [*D.search_dimensions(), *D.attribution_dimensions()])
+    long = share(segments.segment_conversion(
+        tables.searches, picked, segments.full_funnel(tables.views, tables.reservations),
+        metric="non_converting", min_users=min_users, frequency=True, ordered=False))
+    names = [d.name for d in picked]
     never = share(segments.never_clicked(
         tables.searches, tables.views, min_users=min_users, ordered=False))
     clicked = _by_dimension(never, ["search_type", "search_term_category"], "never_clicked_rate")

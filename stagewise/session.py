@@ -9,6 +9,8 @@ ADAPTIVE = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # Hash joins without a sort wherever every partition of the build side is this small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128m",
     "spark.sql.session.timeZone": "UTC",
     # Call sites in error messages double the time it takes to build a plan in Python.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

@@ -56,6 +56,17 @@ def test_closed_and_open_forms_agree(data):
     assert by_segment(one) == by_segment(other)
 
 
+def test_open_dimensions_can_be_closed_over_their_values(data):
+    _, (s, v, r) = data
+    dims, evidence = D.search_dimensions(), segments.full_funnel(v, r)
+    closed = D.close_dimensions(s, dims)
+    assert [d.name for d in closed] == [d.name for d in dims] and all(d.closed for d in closed)
+    assert by_segment(segments.segment_conversion(s, closed, evidence, min_users=0)) == \
+        by_segment(segments.segment_conversion(s, dims, evidence, min_users=0))
+    assert not any(d.closed for d in D.close_dimensions(s, [D.SEARCH_TYPE], max_labels=1))
+    assert not any(d.closed for d in D.close_dimensions(s.limit(0), [D.SEARCH_TYPE]))
+
+
 def test_segments_match_sets(data):
     (searches, views, reservations), facts = data
     hits = users(views) & users(reservations, "renter_user_id")
