@@ -10,10 +10,6 @@ from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
 
-# Accepted spellings of a flag, compared in lower case.
-TRUE_WORDS = ("true", "t", "1", "1.0", "yes")
-FALSE_WORDS = ("false", "f", "0", "0.0", "no")
-
 
 def read_text_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     """Every column as text under its header name; broken lines go to ``_corrupt_record``.
@@ -79,16 +75,15 @@ def empty_to_null(text: Column) -> Column:
 
 
 def parse_flag(text: Column) -> Column:
-    """Boolean of a flag in any accepted spelling, NULL for anything else."""
-    word = F.lower(F.trim(text))
-    return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False))
+    """Boolean of ``True``, ``false``, ``1``, ``0``, ``t``, ``no`` and the like, else NULL."""
+    return text.try_cast("boolean")
 
 
 def _typed(column: Column, source: str, target: T.DataType) -> Column:
     if source == target.simpleString():
         return empty_to_null(column) if source == "string" else column
     if isinstance(target, T.BooleanType):
-        return parse_flag(column.cast("string"))
+        return parse_flag(column) if source == "string" else column.cast(target)
     if source != "string":
         if isinstance(target, T.TimestampType) and source == "timestamp_ntz":
             return column

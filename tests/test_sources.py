@@ -65,6 +65,15 @@ def test_normalize_accepts_typed_frames(spark):
         ("1", True, 5), ("2", None, None)]
 
 
+def test_flags_in_every_spelling(spark):
+    df = spark.createDataFrame(
+        [("True", 1), ("false", 0), (" 1 ", None), ("0", 1), ("", 0), ("maybe", 2), (None, 0)],
+        "is_bot string, is_host int")
+    got = ingest.normalize_flags(df, ["is_bot", "is_host", "absent"]).collect()
+    assert [r.is_bot for r in got] == [True, False, True, False, None, None, None]
+    assert [r.is_host for r in got] == [True, False, None, True, False, True, False]
+
+
 def test_table_sinks(spark, tmp_path):
     path = str(tmp_path / "table")
     tables.replace_table(spark.range(3), path)
