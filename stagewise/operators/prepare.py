@@ -20,6 +20,7 @@ from stagewise.functions.buckets import (
     RESULT_COUNT_ELSE,
     RESULT_COUNT_RANGES,
 )
+from stagewise.operators import dimensions as D
 from stagewise.schemas import RENTER, USER
 
 SEARCH_KEYS = (USER, "search_id", "event_time")
@@ -73,3 +74,16 @@ def clean_reservations(
         "hours_to_payment": hours_between(created, paid),
         "reservation_month": F.month(created),
     })
+
+
+def search_bins(searches: DataFrame) -> DataFrame:
+    """Searches with the label of every closed search dimension."""
+    dims = [D.RESULT_COUNT, D.TERM_LENGTH, D.DAY_OF_WEEK, D.HOUR_BIN, D.PEAK, D.USER_TYPE,
+            D.GEOGRAPHY]
+    return searches.withColumns({f"{d.name}_label": d.column() for d in dims})
+
+
+def view_bins(views: DataFrame) -> DataFrame:
+    """Listing views with position bin, position bucket and listing id range."""
+    dims = [D.LISTING_POSITION, D.POSITION_BUCKET, D.LISTING_ID_RANGE]
+    return views.withColumns({f"{d.name}_label": d.column() for d in dims})

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagewise.functions import pct_or_zero
+from stagewise.functions import bucketize, pct_or_zero
 from stagewise.functions.buckets import FREQUENCY_EDGES, FREQUENCY_LABELS, bucket_index
 from stagewise.functions.labels import HOST_LABELS
 from stagewise.functions.times import WEEKEND
@@ -120,6 +120,15 @@ def search_terms(
     )
 
 
+def search_frequency(searches: DataFrame) -> DataFrame:
+    """Searches of every user and the bin of that number."""
+    return (
+        user_ids(searches).groupBy(USER_ID).agg(F.count("*").alias("searches"))
+        .withColumn("search_frequency",
+                    bucketize(F.col("searches"), FREQUENCY_EDGES, FREQUENCY_LABELS))
+    )
+
+
 def full_funnel(views: DataFrame, reservations: DataFrame) -> list[DataFrame]:
     """Evidence that a searcher completed the funnel: a click and a reservation."""
     return [user_ids(views), renters(reservations)]

@@ -62,6 +62,18 @@ def in_all(sets: Sequence[DataFrame]) -> DataFrame:
     )
 
 
+def in_first_only(users: DataFrame, others: DataFrame) -> DataFrame:
+    """Distinct users of the first set that are not in the second."""
+    return (
+        users.select(USER_ID, F.lit(1).alias("bits"))
+        .unionByName(others.select(USER_ID, F.lit(2).alias("bits")))
+        .groupBy(USER_ID)
+        .agg(F.bit_or("bits").alias("bits"))
+        .where("bits = 1")
+        .select(USER_ID)
+    )
+
+
 def has(mask: Column | str, bits: int) -> Column:
     """Whether all of ``bits`` are set in ``mask``."""
     column = F.col(mask) if isinstance(mask, str) else mask

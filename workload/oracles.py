@@ -635,6 +635,27 @@ def _oracles() -> dict[str, str]:
     status = f"""SELECT payment_status, reservations,
       reservations / CAST(sum(reservations) OVER () AS BIGINT) * 100 AS share_pct FROM"""
     return {
+        "s03_filtered_scan": """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity
+          FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45""",
+        "s09_adhoc_sql": """SELECT search_type, search_sort, count(*) AS searches,
+          count(DISTINCT merged_amplitude_id) AS users FROM s WHERE search_sort IS NOT NULL
+          GROUP BY ALL HAVING searches >= 10""",
+        "p14_search_bins": f"""SELECT event_uuid, count_results, search_term, event_time,
+          is_host, is_usa_canada, {_RESULT_BIN} AS result_count_label,
+          {_LENGTH_BIN} AS term_length_label, {_WEEKDAY} AS day_of_week_label,
+          {_HOUR_BIN} AS hour_label, {_PEAK} AS time_label,
+          CASE WHEN is_host THEN 'Hosts' ELSE 'Non-Hosts' END AS user_type_label,
+          CASE WHEN is_usa_canada THEN 'USA/Canada' ELSE 'International' END
+            AS geography_label FROM search_events""",
+        "p18_view_bins": f"""SELECT listing_id, search_position, event_time,
+          {_POSITION_BIN} AS position_label, {_BUCKET} AS position_bucket_label,
+          {_LISTING_BIN} AS listing_id_label FROM item_views""",
+        "w02_search_frequency": f"""SELECT merged_amplitude_id AS user_id,
+          count(*) AS searches, any_value({_FREQUENCY_BIN}) AS search_frequency
+          FROM search_events e WHERE merged_amplitude_id IS NOT NULL GROUP BY 1""",
+        "u01_funnel_users": _RAW_SETS + " SELECT u AS user_id FROM scr",
+        "u02_never_clicked_users": _RAW_SETS
+        + " SELECT u AS user_id FROM ss EXCEPT SELECT u FROM cc",
         "q01_funnel_counts": _funnel_counts(by_renter),
         "q01_funnel_counts_mapped": _funnel_counts(by_map),
         "q02_user_journey": _JOURNEY + " SELECT * FROM journey",

@@ -26,8 +26,10 @@ from stagewise.operators import (
     segments,
     volume,
 )
+from stagewise.operators.users import funnel_users, in_first_only, user_ids
 from stagewise.schemas import RENTER, USER
-from stagewise.sources.catalog import table_profile
+from stagewise.sources.catalog import run_sql, table_profile
+from stagewise.sources.tables import read_table, register_views
 from workload import bindings as B
 from workload.bindings import DAYS
 
@@ -95,6 +97,56 @@ def all_views(spark, folder, *columns) -> DataFrame:
     return B.listing_views(spark, folder, *(columns or (USER,)))
 
 
+# Scans, bins and user sets
+
+
+@query
+def s03_filtered_scan(spark, folder):
+    return read_table(
+        spark, f"{folder}/lineitem.parquet", where="l_returnflag = 'R' AND l_quantity > 45",
+        columns=["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
+
+
+@query
+def s09_adhoc_sql(spark, folder):
+    register_views({"search_events": B.search_events(
+        spark, folder, USER, "search_type", "search_sort", "is_bot")})
+    return run_sql(spark, """
+        SELECT search_type, search_sort, count(*) AS searches,
+          count(DISTINCT merged_amplitude_id) AS users
+        FROM search_events WHERE NOT is_bot AND search_sort IS NOT NULL
+        GROUP BY search_type, search_sort HAVING count(*) >= :least""", {"least": 10})
+
+
+@query
+def p14_search_bins(spark, folder):
+    return prepare.search_bins(B.search_events(
+        spark, folder, "event_uuid", "count_results", "search_term", "event_time", "is_host",
+        "is_usa_canada"))
+
+
+@query
+def p18_view_bins(spark, folder):
+    return prepare.view_bins(B.item_views(spark, folder).select(
+        "listing_id", "search_position", "event_time"))
+
+
+@query
+def w02_search_frequency(spark, folder):
+    return segments.search_frequency(all_searches(spark, folder))
+
+
+@query
+def u01_funnel_users(spark, folder):
+    return funnel_users(
+        all_searches(spark, folder), all_views(spark, folder), renters(spark, folder))
+
+
+@query
+def u02_never_clicked_users(spark, folder):
+    return in_first_only(user_ids(all_searches(spark, folder)), user_ids(all_views(spark, folder)))
+
+
 # Funnels
 
 
