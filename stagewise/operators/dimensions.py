@@ -119,6 +119,20 @@ def _literal(labels: tuple[str, ...]) -> Column:
     return F.split(F.lit(_SEPARATOR.join(labels)), _SEPARATOR)
 
 
+def unfold(
+    df: DataFrame, closed: Sequence[Dimension], masks: Sequence[Column], keep: Sequence[str]
+) -> DataFrame:
+    """A row ``(*keep, dimension, segment)`` for every bit set in the masks of a row."""
+    columns = [c for d, m in zip(closed, masks) for c in (F.lit(d.name), m, d.label_array())]
+    return (
+        df.select(*keep, F.stack(F.lit(len(closed)), *columns)
+                  .alias("dimension", "mask", "labels"))
+        .select(*keep, "dimension", "mask", F.posexplode("labels").alias("bit", "segment"))
+        .where(F.getbit("mask", "bit") == 1)
+        .drop("mask", "bit")
+    )
+
+
 def month_dimension(months: range = MONTHS) -> Dimension:
     return number_dimension("month", months)
 

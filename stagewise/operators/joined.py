@@ -10,13 +10,13 @@ from sides that are aggregated before they are joined.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.functions import label_order, pct, pct_or_zero
 from stagewise.functions.buckets import RESULT_COUNT_ELSE, RESULT_COUNT_RANGES
+from stagewise.operators.combine import combine
 from stagewise.schemas import RENTER, USER
 
 MIN_ATTRIBUTION_USERS = 10
@@ -68,7 +68,7 @@ def view_performance(
         matches = known.select("search_id", viewer).distinct()
     frames.append(per_search.groupBy(*segment).agg(*counted))
     frames.append(per_search.join(matches, "search_id").groupBy(*segment).agg(*linked))
-    result = _combine(segment, frames).where(F.col("unique_searchers") >= min_searchers)
+    result = combine(segment, frames).where(F.col("unique_searchers") >= min_searchers)
 
     viewers = _or_zero("viewers")
     columns = [*segment, "unique_searchers", viewers.alias("unique_viewers"),
@@ -213,13 +213,6 @@ def hourly_patterns(cleaned_searches: DataFrame, cleaned_views: DataFrame) -> Da
     )
 
 
-def _combine(keys: Sequence[str], frames: Sequence[DataFrame]) -> DataFrame:
-    """Frames of one row per ``keys`` side by side; a NULL key is a key like any other."""
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return rows.groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in rows.columns if c not in keys])
-
-
 def _or_zero(name: str) -> Column:
     return F.coalesce(name, F.lit(0))
 

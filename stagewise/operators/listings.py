@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.functions import pct_or_zero
-from stagewise.operators.dimensions import Dimension, listing_dimensions
+from stagewise.operators.combine import combine
+from stagewise.operators.dimensions import Dimension, listing_dimensions, unfold
 
 MIN_VIEWS = 50
 MIN_TOP_VIEWS = 10
@@ -49,10 +50,10 @@ def listing_segment_conversion(
 ) -> DataFrame:
     """Views per segment against all reservations of the listings seen in it.
 
-    Closed dimensions cost one grouping by listing that counts the views of every label
-    side by side. Open ones are counted per (dimension, segment, listing). Both combine
-    on the map side, so a listing that holds a large part of all views is a few rows by
-    the time it meets the reservation counts.
+    Closed dimensions are one bit mask each in a grouping by listing, and their views are
+    counted per combination of labels. Open ones are counted per (dimension, segment,
+    listing). All combine on the map side, so a listing that holds a large part of all
+    views is a few rows by the time it meets the reservation counts.
     """
     picked = listing_dimensions() if dimensions is None else dimensions
     booked = reservations_per_listing(reservations)
@@ -78,21 +79,32 @@ def listing_segment_conversion(
 def _closed_views(
     views: DataFrame, closed: Sequence[Dimension], booked: DataFrame
 ) -> DataFrame:
-    numbered = views.select("listing_id", *[d.index().alias(f"i_{d.name}") for d in closed])
-    counts, rows = [], []
-    for d in closed:
-        for i, label in enumerate(d.labels):
-            name = f"n{len(counts)}"
-            counts.append(F.count_if(F.col(f"i_{d.name}") == i).alias(name))
-            rows += [F.lit(d.name), F.lit(label), F.col(name)]
+    keys = ["dimension", "segment"]
+    places = [f"i_{d.name}" for d in closed]
+    labels = [c for d, p in zip(closed, places)
+              for c in (F.lit(d.name), F.get(d.label_array(), F.col(p)))]
+    totals = (
+        views.select(*[d.index().cast("int").alias(p) for d, p in zip(closed, places)])
+        .groupBy(*places).agg(F.count("*").alias("views"))
+        .select("views", F.stack(F.lit(len(closed)), *labels).alias(*keys))
+        .where(F.col("segment").isNotNull())
+        .groupBy(*keys).agg(F.sum("views").alias("total_views"))
+    )
+    masks = [f"m_{d.name}" for d in closed]
     per_listing = (
-        numbered.groupBy("listing_id").agg(*counts)
+        views.where(F.col("listing_id").isNotNull())
+        .groupBy("listing_id")
+        .agg(*[F.bit_or(d.mask()).alias(m) for d, m in zip(closed, masks)])
         .join(booked, "listing_id", "left")
-        .select("listing_id", "total_reservations",
-                F.stack(F.lit(len(counts)), *rows).alias("dimension", "segment", "views"))
-        .where("views > 0")
     )
-    return _sum_segments(per_listing, ["dimension", "segment"])
+    seen = unfold(per_listing, closed, [F.col(m) for m in masks], ["total_reservations"])
+    listed = seen.groupBy(*keys).agg(
+        F.sum("total_reservations").alias("total_reservations"),
+        F.count("*").alias("unique_listings"),
+        F.count("total_reservations").alias("reserved_listings"),
+    )
+    return combine(keys, [totals, listed]).fillna(
+        0, ["total_reservations", "unique_listings", "reserved_listings"])
 
 
 def _open_views(views: DataFrame, opened: Sequence[Dimension], booked: DataFrame) -> DataFrame:
@@ -105,16 +117,16 @@ def _open_views(views: DataFrame, opened: Sequence[Dimension], booked: DataFrame
         .join(booked, "listing_id", "left")
     )
     names = F.array(*[F.lit(d.name) for d in opened])
-    return _sum_segments(per_listing, ["number", "segment"]).withColumn(
-        "dimension", F.get(names, F.col("number"))).drop("number")
-
-
-def _sum_segments(per_listing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return per_listing.groupBy(*keys).agg(
-        F.sum("views").alias("total_views"),
-        F.coalesce(F.sum("total_reservations"), F.lit(0)).alias("total_reservations"),
-        F.count("listing_id").alias("unique_listings"),
-        F.count("total_reservations").alias("reserved_listings"),
+    return (
+        per_listing.groupBy("number", "segment")
+        .agg(
+            F.sum("views").alias("total_views"),
+            F.coalesce(F.sum("total_reservations"), F.lit(0)).alias("total_reservations"),
+            F.count("listing_id").alias("unique_listings"),
+            F.count("total_reservations").alias("reserved_listings"),
+        )
+        .withColumn("dimension", F.get(names, F.col("number")))
+        .drop("number")
     )
 
 

@@ -298,12 +298,8 @@ def _closed_segments(
     if frequency:
         closed = [*closed, SEARCH_FREQUENCY]
         masks.append(SEARCH_FREQUENCY.mask())
-    rows = [c for d, m in zip(closed, masks) for c in (F.lit(d.name), m, d.label_array())]
     return (
-        profile.select("hit", F.stack(F.lit(len(closed)), *rows)
-                       .alias("dimension", "mask", "labels"))
-        .select("dimension", "hit", "mask", F.posexplode("labels").alias("bit", "segment"))
-        .where(F.getbit("mask", "bit") == 1)
+        D.unfold(profile, closed, masks, ["hit"])
         .groupBy("dimension", "segment")
         .agg(F.count("*").alias("total_searchers"), F.count_if("hit").alias("hits"))
     )
