@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stagewise.llm import fingerprints, packing, secrets, simhash
+from stagewise.llm import fingerprints, neighbours, packing, quality, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SIMHASH_WORDS, SIMHASH_BITS = 3, 3
 PACKED_TOKENS = 2048
+NEIGHBOURS = 20
+GOOD = 0.3
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +27,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(
+        table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, NEIGHBOURS)
+
+
 def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_with_edits(table(spark, folder, "documents"))
 
@@ -33,6 +41,11 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), SIMHASH_WORDS, SIMHASH_BITS)
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(
+        table(spark, folder, "documents"), table(spark, folder, "labels"), GOOD)
+
+
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, folder, "documents"))
 
@@ -43,5 +56,17 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_fingerprints, op3_simhash, op7_secrets, op9_packing)}
-ORACLES: dict[str, str] = {}
+    op1_neighbours, op2_fingerprints, op3_simhash, op6_quality, op7_secrets, op9_packing)}
+ORACLES: dict[str, str] = {
+    # A table of this size is searched whole, so the exact answer is the operator's.
+    "op1_neighbours": """
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+            SELECT q.vec_id AS query_id, e.vec_id, score,
+                   row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) AS rank
+            FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+                  WHERE vec_id % 20 = 0) q,
+                 (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e,
+                 LATERAL (SELECT list_inner_product(q.v, e.v) AS score)
+            WHERE e.vec_id <> q.vec_id)
+        WHERE rank <= 20""",
+}
