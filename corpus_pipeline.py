@@ -8,9 +8,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagewise.llm import packing, secrets, simhash
+from stagewise.llm import lines, packing, quality, secrets, simhash
 from stagewise.llm.common import stored
-from stagewise.llm.queries import PACKED_TOKENS, SIMHASH_BITS, SIMHASH_WORDS, tokenizer_path
+from stagewise.llm.queries import (
+    GOOD,
+    LINE_CHARS,
+    LINE_EDITS,
+    PACKED_TOKENS,
+    SIMHASH_BITS,
+    SIMHASH_WORDS,
+    tokenizer_path,
+)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{folder}/labels.parquet"), GOOD)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return lines.dedup_lines(docs, LINE_EDITS, LINE_CHARS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -26,6 +42,8 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_classifier", drop_low_quality),
+    ("line_dedup", drop_repeated_lines),
     ("simhash_near_dedup", drop_near_duplicates),
     ("secret_scan", mask_secrets),
     ("packing", pack_tokens),

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagewise.llm import fingerprints, neighbours, packing, quality, secrets, simhash
+from stagewise.llm import (
+    fingerprints,
+    lines,
+    lm,
+    neighbours,
+    packing,
+    pieces,
+    quality,
+    secrets,
+    simhash,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +25,7 @@ SIMHASH_WORDS, SIMHASH_BITS = 3, 3
 PACKED_TOKENS = 2048
 NEIGHBOURS = 20
 GOOD = 0.3
+LINE_EDITS, LINE_CHARS = 1, 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,6 +52,10 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), SIMHASH_WORDS, SIMHASH_BITS)
 
 
+def op4_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"))
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(
         table(spark, folder, "documents"), table(spark, folder, "labels"), GOOD)
@@ -50,13 +65,24 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, folder, "documents"))
 
 
+def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(
+        table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"),
                         tokenizer_path("word_bpe_49k.json"), PACKED_TOKENS)
 
 
+def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.deduplicated_digest(
+        table(spark, folder, "documents"), LINE_EDITS, LINE_CHARS)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_neighbours, op2_fingerprints, op3_simhash, op6_quality, op7_secrets, op9_packing)}
+    op1_neighbours, op2_fingerprints, op3_simhash, op4_lm, op6_quality, op7_secrets,
+    op8_pieces, op9_packing, op10_lines)}
 ORACLES: dict[str, str] = {
     # A table of this size is searched whole, so the exact answer is the operator's.
     "op1_neighbours": """
