@@ -66,7 +66,7 @@ class WordEncoder:
             else:
                 rest.append(w)
         if rest:
-            encoded = self.tokenizer.encode_batch(
+            encoded = self.tokenizer.encode_batch_fast(
                 [w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
             for w, e in zip(rest, encoded):
                 (new if len(w) <= CACHED_BYTES else long)[w] = np.array(e.ids, "<u4").tobytes()
