@@ -15,6 +15,7 @@ from stagewise.llm import (
     packing,
     pieces,
     quality,
+    repeats,
     secrets,
     simhash,
 )
@@ -23,6 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SIMHASH_WORDS, SIMHASH_BITS = 3, 3
 PACKED_TOKENS = 2048
+REPEATED_BYTES = 400
 NEIGHBOURS = 20
 GOOD = 0.3
 LINE_EDITS, LINE_CHARS = 1, 20
@@ -56,6 +58,10 @@ def op4_lm(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(table(spark, folder, "documents"))
 
 
+def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents"), REPEATED_BYTES)
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(
         table(spark, folder, "documents"), table(spark, folder, "labels"), GOOD)
@@ -81,8 +87,8 @@ def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_neighbours, op2_fingerprints, op3_simhash, op4_lm, op6_quality, op7_secrets,
-    op8_pieces, op9_packing, op10_lines)}
+    op1_neighbours, op2_fingerprints, op3_simhash, op4_lm, op5_repeats, op6_quality,
+    op7_secrets, op8_pieces, op9_packing, op10_lines)}
 ORACLES: dict[str, str] = {
     # A table of this size is searched whole, so the exact answer is the operator's.
     "op1_neighbours": """
