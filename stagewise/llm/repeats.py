@@ -8,7 +8,8 @@ them: positions that share the rank of their first bytes are ranked again by the
 rank and the rank of as many bytes after them; a position alone with its rank is unique and
 goes. Past the doubling, an anchor is ranked by all bytes of all strings it is the anchor of:
 where that reach is repeated, so are all of them. What is left are the anchors around the ends
-of repeats, whose strings are ranked one by one.
+of repeats. Their strings are ranked by runs of a few, in the same way, and those of the runs
+that are left one by one.
 
 Ranks are 64-bit digests, so that no global numbering is needed.
 """
@@ -26,6 +27,9 @@ from pyspark.sql import functions as F
 
 from stagewise.llm.common import column, documents_only, map_arrow, ship, stored, utf8
 
+#: Neighbouring strings of a run; bits of the filter that says which documents may be needed.
+RUN, FILTER_BITS = 16, 1 << 24
+
 _rng = np.random.Generator(np.random.PCG64(17))
 GEAR = _rng.integers(0, 2**32, 256, dtype=np.uint32)
 LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -97,6 +101,7 @@ def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner"
 
 
 MARK = ["doc_id", "digest"]
+POSITIONS = "doc_id bigint, digest bigint, first int, last int, anchor int, reach bigint"
 
 
 def repeated_strings(docs: DataFrame, length: int) -> DataFrame:
@@ -106,33 +111,54 @@ def repeated_strings(docs: DataFrame, length: int) -> DataFrame:
     A document is known by its doc_id and the digest of its text; equal rows share them, and
     then all their strings are repeated.
     """
-    rows = stored(map_arrow(docs, _positions(length), (
-        "doc_id bigint, digest bigint, first int, last int, half bigint, next bigint, "
-        "reach bigint")))
-    alive = rows
+    alive = stored(map_arrow(docs, _positions(length), POSITIONS + ", half bigint, next bigint"))
     # Doubling: the rank of the first bytes, then its pair with the rank of the next ones.
     for rank in (["half"], ["half", "next"]):
         shared = alive.groupBy(*rank).count().where("count > 1").select(*rank)
         alive = stored(alive.join(shared, rank, "left_semi"))
-    core, reach = ["half", "next"], ["half", "next", "reach"]
-    reaches = stored(alive.groupBy(*reach).agg(
-        F.count("*").alias("n"), F.min(F.struct(*MARK, "first", "last")).alias("one")))
-    whole = alive.join(reaches.where("n > 1").select(*reach), reach, "left_semi").select(
-        *MARK, F.col("first").alias("begin"), F.col("last").alias("end"))
-    # Around the ends of repeats: each reach once, under cores with a reach that is alone.
-    ends = reaches.where("n = 1").select(*core).distinct()
-    near_ends = reaches.join(ends, core, "left_semi").select("one.*", (F.col("n") == 1).alias("alone"))
-    wanted = near_ends.groupBy(*MARK).agg(
-        F.collect_list(F.struct("first", "last", "alone")).alias("at"))
-    strings = stored(map_arrow(_joined(_squeezed(docs), wanted, MARK), _strings(length), (
-        "doc_id bigint, digest bigint, begin int, alone boolean, string bigint")))
+    whole, around = _by_reach(alive, ["half", "next"])
+    runs = stored(map_arrow(_texts_with(docs, around), _runs(length), POSITIONS + ", core bigint"))
+    more, around = _by_reach(runs, ["core"])
+    strings = stored(map_arrow(_texts_with(docs, around), _strings(length),
+                               "doc_id bigint, digest bigint, begin int, string bigint"))
     twice = strings.groupBy("string").count().where("count > 1").select("string")
-    single = strings.where("alone").join(twice, "string", "left_semi").select(
+    single = strings.join(twice, "string", "left_semi").select(
         *MARK, "begin", F.col("begin").alias("end"))
-    return whole.union(single).groupBy(*MARK).agg(
+    return whole.union(more).union(single).groupBy(*MARK).agg(
         F.collect_list(F.struct("begin", "end")).alias("strings"))
 
 
+def _by_reach(rows: DataFrame, core: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The ranges of starts whose whole reach is repeated; and, of each shared core with a reach
+    that is alone, one position for each of its reaches, by document."""
+    reach = [*core, "reach"]
+    reaches = stored(rows.groupBy(*reach).agg(
+        F.count("*").alias("n"), F.min(F.struct(*MARK, "first", "last", "anchor")).alias("one")))
+    whole = rows.join(reaches.where("n > 1").select(*reach), reach, "left_semi").select(
+        *MARK, F.col("first").alias("begin"), F.col("last").alias("end"))
+    ends = reaches.groupBy(*core).agg(F.min("n").alias("least"), F.sum("n").alias("all")).where(
+        "least = 1 and all > 1").select(*core)
+    return whole, stored(reaches.join(ends, core, "left_semi").select("one.*").groupBy(*MARK).agg(
+        F.collect_list(F.struct("first", "last", "anchor")).alias("at")))
+
+
+def _filter(marks: DataFrame) -> np.ndarray:
+    """Bits of all documents in a filter of fixed size; a set bit may stand for others, too."""
+    words = marks.select(F.pmod("digest", F.lit(FILTER_BITS)).alias("bit")).groupBy(
+        (F.col("bit") / 32).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    for r in words.collect():  # FILTER_BITS / 32 at most
+        out[r["word"]] = r["bits"]
+    return out
+
+
+def _texts_with(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The documents that are marked, compressed, with their marks."""
+    chosen = docs.sparkSession.sparkContext.broadcast(_filter(marks))
+    return _joined(_squeezed(docs, chosen, True), marks, MARK)
+
+
 def _digest(text: bytes) -> int:
     return _signed(xxhash.xxh64_intdigest(text, 9))
 
@@ -153,53 +179,90 @@ def _positions(length: int):
                                             anchors.of(np.frombuffer(text, np.uint8)))):
                     # Where the anchor lies in its reach counts, too.
                     reach = digest(text[first:last + length], a - first)
-                    out.append((doc, own, first, last, _signed(digest(text[a:a + half])),
-                                _signed(digest(text[a + half:a + 2 * half])), _signed(reach)))
+                    out.append((doc, own, first, last, a, _signed(reach),
+                                _signed(digest(text[a:a + half])),
+                                _signed(digest(text[a + half:a + 2 * half]))))
                 if len(out) > 100_000:
-                    yield _rows(out)
+                    yield _rows(out, "half", "next")
                     out = []
-            yield _rows(out)
+            yield _rows(out, "half", "next")
 
     return run
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    names = ("doc_id", "digest", "first", "last", "half", "next", "reach")
+def _rows(rows: list[tuple], *ranks: str) -> pa.RecordBatch:
+    names = ("doc_id", "digest", "first", "last", "anchor", "reach", *ranks)
+    small = ("first", "last", "anchor")
     return pa.RecordBatch.from_arrays(
-        [pa.array(v, pa.int32() if n in ("first", "last") else pa.int64())
-         for v, n in zip(zip(*rows) if rows else [[]] * 7, names)], list(names))
+        [pa.array(v, pa.int32() if n in small else pa.int64())
+         for v, n in zip(zip(*rows) if rows else [[]] * len(names), names)], list(names))
 
 
-def _squeezed(docs: DataFrame) -> DataFrame:
-    """doc_id, digest and the compressed text, for shuffles."""
+def _squeezed(docs: DataFrame, chosen=None, wanted: bool = True) -> DataFrame:
+    """doc_id, digest and the compressed text, for shuffles; with a filter only of documents
+    that are in it, or only of those that are not."""
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            texts = utf8(batch)
-            yield pa.RecordBatch.from_arrays([
-                column(batch, "doc_id"), pa.array([_digest(t) for t in texts], pa.int64()),
-                pa.array([squeeze(t) for t in texts], pa.binary())], ["doc_id", "digest", "blob"])
+            rows = []
+            for doc, text in zip(column(batch, "doc_id").to_pylist(), utf8(batch)):
+                own = _digest(text)
+                if chosen is not None:
+                    bit = own % FILTER_BITS
+                    if bool(chosen.value[bit // 32] >> np.uint32(bit % 32) & 1) != wanted:
+                        continue
+                rows.append((doc, own, squeeze(text)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(
+                    zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()))],
+                ["doc_id", "digest", "blob"])
 
     return map_arrow(docs, run, "doc_id bigint, digest bigint, blob binary")
 
 
+def _marked(batches):
+    """Each document's id and digest, text and marked positions."""
+    expand = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for doc, own, blob, at in zip(*(column(batch, c).to_pylist()
+                                        for c in ("doc_id", "digest", "blob", "at"))):
+            yield doc, own, expand(blob), at
+
+
+def _runs(length: int):
+    """The strings of each marked position in runs, by their distance from the anchor, so that
+    equal strings fall into equal places of a run; with the bytes that all strings of a full
+    run hold, and all bytes of those that are there."""
+    def run(batches):
+        digest, out = xxhash.xxh3_64_intdigest, []
+        for doc, own, text, at in _marked(batches):
+            for x in at:
+                a, first = x["anchor"], x["first"]
+                while first <= x["last"]:
+                    near = (a - first) // RUN * RUN
+                    last = min(x["last"], a - near)
+                    core = digest(text[a - near:a - near - RUN + 1 + length], near)
+                    reach = digest(text[first:last + length], a - first)
+                    out.append((doc, own, first, last, a, _signed(reach), _signed(core)))
+                    first = last + 1
+            if len(out) > 100_000:
+                yield _rows(out, "core")
+                out = []
+        yield _rows(out, "core")
+
+    return run
+
+
 def _strings(length: int):
-    """Every string of the wanted anchors, with its digest."""
+    """Every string of the marked positions, with its digest."""
     def run(batches):
-        expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for k in range(batch.num_rows):
-                at = column(batch, "at")[k].as_py()
-                data = np.frombuffer(expand(column(batch, "blob")[k].as_py()), np.uint8)
-                starts = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in at])
-                alone = np.repeat([x["alone"] for x in at], [x["last"] - x["first"] + 1 for x in at])
-                n = len(starts)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([column(batch, "doc_id")[k].as_py()] * n, pa.int64()),
-                    pa.array(np.full(n, column(batch, "digest")[k].as_py(), np.int64)),
-                    pa.array(starts.astype(np.int32)), pa.array(alone.astype(bool)),
-                    pa.array(string_digests(data, length, starts))],
-                    ["doc_id", "digest", "begin", "alone", "string"])
+        for doc, own, text, at in _marked(batches):
+            starts = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in at])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([doc] * len(starts), pa.int64()),
+                pa.array(np.full(len(starts), own, np.int64)), pa.array(starts.astype(np.int32)),
+                pa.array(string_digests(np.frombuffer(text, np.uint8), length, starts))],
+                ["doc_id", "digest", "begin", "string"])
 
     return run
 
@@ -248,7 +311,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False)
     """
     ship(docs.sparkSession)
     rows = documents_only(docs)
-    found = repeated_strings(rows, length)
+    found = stored(repeated_strings(rows, length))
+    chosen = docs.sparkSession.sparkContext.broadcast(_filter(found))
+    none = F.lit(None).cast(found.schema["strings"].dataType).alias("strings")
+    texts = _squeezed(rows, chosen, False).select("doc_id", "digest", "blob", none).union(
+        _joined(_squeezed(rows, chosen, True), found, MARK, "left"))
     schema = ("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
               "kept_sha256 string" + ", kept binary" * keep_text)
-    return map_arrow(_joined(_squeezed(rows), found, MARK, "left"), _cut(length, keep_text), schema)
+    return map_arrow(texts, _cut(length, keep_text), schema)
