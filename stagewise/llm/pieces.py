@@ -143,30 +143,51 @@ class Transducer:
         return self._spelled(unit, came)
 
     def _only_path(self, unit: str) -> list[int]:
-        """All weights are zero; one state is left at each place, its last piece."""
-        arcs, whole, n, longest = self.arcs, self.whole, len(unit), self.longest
-        last, came = [-2] + [-1] * n, [0] * (n + 1)  # -2 the start, -1 a character without piece
-        follows, tried = self.follows, self.tried
-        for end in range(1, n + 1):
-            came[end] = end - 1
-            for begin in range(end - longest if end > longest else 0, end):
-                key = arcs.get(unit[begin:end])
-                if key is None or not whole[key]:
+        """All weights are zero and one path is left, so the first one found to the end is it.
+
+        The walk takes the longest arc first. A place from which it did not reach the end is
+        not tried again: all ways to a place end in the same piece.
+        """
+        n, follows, tried = len(unit), self.follows, self.tried
+        place, last, dead = 0, -1, set()
+        path, left = [], [self._arcs_at(unit, 0)]
+        while place < n:
+            while left[-1]:
+                end, key = left[-1].pop()
+                if end in dead:
                     continue
-                before = last[begin]
-                if before < 0:
-                    fits = True
-                else:
-                    pair = before << 32 | key
-                    fits = tried.get(pair)
-                    if fits is None:
-                        fits = tried[pair] = follows(before, key)
+                if last < 0 or key < 0:
+                    break
+                pair = last << 32 | key
+                fits = tried.get(pair)
+                if fits is None:
+                    fits = tried[pair] = follows(last, key)
                 if fits:
-                    last[end], came[end] = key, begin
                     break
+            else:
+                dead.add(place)
+                left.pop()
+                place, last = path.pop()
+                continue
+            path.append((place, last))
+            place, last = end, key
+            if place < n:
+                left.append(self._arcs_at(unit, place))
         if len(tried) > PAIRS:
             tried.clear()
-        return self._spelled(unit, came)
+        cuts = [p for p, _ in path] + [n]
+        return [k for a, b in zip(cuts, cuts[1:]) for k in self.spell(unit[a:b])]
+
+    def _arcs_at(self, unit: str, begin: int) -> list[tuple[int, int]]:
+        """End and id of every arc at a place, the longest last; -1: a character without piece."""
+        known, found = self.prefixes, []
+        for end in range(begin + 1, len(unit) + 1):
+            key = known.get(unit[begin:end])
+            if key is None:
+                break
+            if key >= 0:
+                found.append((end, key))
+        return found if found and found[0][0] == begin + 1 else [(begin + 1, -1), *found]
 
     def _spelled(self, unit: str, came: list[int]) -> list[int]:
         out, end = [], len(unit)
@@ -196,6 +217,8 @@ class Transducer:
             left, right = self._last_merge(self.pieces[k])
             if left + right == self.pieces[k] and left in self.arcs and right in self.arcs:
                 self.whole[k], self.parts[k] = True, (self.arcs[left], self.arcs[right])
+        self.prefixes = {p[:n]: -1 for p in self.arcs for n in range(1, len(p))}
+        self.prefixes |= {p: k for p, k in self.arcs.items() if self.whole[k]}
 
     def _last_merge(self, text: str) -> tuple[str, str]:
         """Greedy merging until two parts are left: always the best-scored pair, the first of
