@@ -14,7 +14,7 @@ from stagewise.functions import labels as L
 from stagewise.functions.buckets import bucket_index, range_index
 from stagewise.functions.times import WEEKDAYS
 
-MAX_LABELS = 63
+WORD = 63
 _SEPARATOR = "\x1f"
 MONTHS = range(1, 13)
 
@@ -25,22 +25,25 @@ class Dimension:
 
     An open dimension computes its ``value``. A closed one lists its ``labels`` and
     computes the 0-based ``index`` of a row's label, so that all labels of a user fit in
-    one bit mask and no set of (value, user) pairs has to be shuffled. An index that is
-    NULL or outside the list means no value.
+    bit masks and no set of (value, user) pairs has to be shuffled. A list of more than 63
+    labels takes several masks, one for each of its ``words``. An index that is NULL or
+    outside the list means no value, unless ``rest`` gives the values outside the list.
     """
 
     name: str
     value: Callable[[], Column] | None = None
     labels: tuple[str, ...] | None = None
     index: Callable[[], Column] | None = None
+    rest: Callable[[], Column] | None = None
+    word: int = 0
 
     def __post_init__(self):
         if (self.value is None) == (self.index is None):
             raise ValueError("a dimension has either a value or an index")
         if (self.index is None) != (self.labels is None):
             raise ValueError("labels and index go together")
-        if self.labels is not None and not 0 < len(self.labels) <= MAX_LABELS:
-            raise ValueError(f"a closed dimension has 1 to {MAX_LABELS} labels")
+        if self.labels is not None and not self.labels:
+            raise ValueError("a closed dimension has at least one label")
 
     @property
     def closed(self) -> bool:
@@ -55,8 +58,19 @@ class Dimension:
     def label_array(self) -> Column:
         return _literal(self.labels)
 
+    def words(self) -> list[Dimension]:
+        """The dimension in parts of labels that fit in one mask each."""
+        return [
+            Dimension(self.name, labels=self.labels[i:i + WORD], word=i // WORD,
+                      index=lambda i=i: self.index() - i)
+            for i in range(0, len(self.labels), WORD)]
+
+    def outside(self) -> list[Dimension]:
+        """An open dimension of the values outside the list, if there can be any."""
+        return [] if self.rest is None else [Dimension(self.name, self.rest)]
+
     def mask(self) -> Column:
-        """The bit of the row's label, 0 for no value."""
+        """The bit of the row's label, 0 for no value; for a dimension of one word."""
         index = self.index()
         bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), index.cast("int"))
         return F.when(index.between(0, len(self.labels) - 1), bit).otherwise(
@@ -86,13 +100,14 @@ def number_dimension(name: str, numbers: range, column: str | None = None) -> Di
 
 
 def close_dimensions(
-    events: DataFrame, dimensions: Sequence[Dimension], max_labels: int = MAX_LABELS
+    events: DataFrame, dimensions: Sequence[Dimension], max_labels: int = WORD
 ) -> list[Dimension]:
     """``dimensions`` with the open ones of few values closed over the values in ``events``.
 
     Runs two small jobs: estimates of the number of values, then the values of the
     dimensions that qualify. Where the exact number exceeds ``max_labels`` after all, or
-    is zero, a dimension stays open.
+    is zero, a dimension stays open. Results do not depend on which dimensions qualify:
+    values that were not there when the list was made are kept as values outside it.
     """
     opened = [d for d in dimensions if not d.closed]
     if not opened:
@@ -107,9 +122,13 @@ def close_dimensions(
 
 
 def _over(dimension: Dimension, labels: tuple[str, ...]) -> Dimension:
-    return closed_dimension(
-        dimension.name, labels,
-        lambda: F.array_position(_literal(labels), dimension.column()) - 1)
+    def outside() -> Column:
+        value = dimension.column()
+        return F.when(~F.array_contains(_literal(labels), value), value)
+
+    return Dimension(
+        dimension.name, labels=labels, rest=outside,
+        index=lambda: F.array_position(_literal(labels), dimension.column()) - 1)
 
 
 def _literal(labels: tuple[str, ...]) -> Column:

@@ -58,6 +58,7 @@ def listing_segment_conversion(
     picked = listing_dimensions() if dimensions is None else dimensions
     booked = reservations_per_listing(reservations)
     closed, opened = [d for d in picked if d.closed], [d for d in picked if not d.closed]
+    opened += [o for d in closed for o in d.outside()]
     parts = []
     if closed:
         parts.append(_closed_views(views, closed, booked))
@@ -80,24 +81,27 @@ def _closed_views(
     views: DataFrame, closed: Sequence[Dimension], booked: DataFrame
 ) -> DataFrame:
     keys = ["dimension", "segment"]
-    places = [f"i_{d.name}" for d in closed]
-    labels = [c for d, p in zip(closed, places)
-              for c in (F.lit(d.name), F.get(d.label_array(), F.col(p)))]
+    places = [c for i, d in enumerate(closed) for c in (F.lit(i), d.index().cast("int"))]
+    names = F.array(*[F.lit(d.name) for d in closed])
+    labels = F.array(*[d.label_array() for d in closed])
+    # One row per label leaves a task, whatever the combinations of labels.
     totals = (
-        views.select(*[d.index().cast("int").alias(p) for d, p in zip(closed, places)])
-        .groupBy(*places).agg(F.count("*").alias("views"))
-        .select("views", F.stack(F.lit(len(closed)), *labels).alias(*keys))
+        views.select(F.stack(F.lit(len(closed)), *places).alias("number", "place"))
+        .groupBy("number", "place").agg(F.count("*").alias("total_views"))
+        .select(F.get(names, F.col("number")).alias("dimension"),
+                F.get(F.get(labels, F.col("number")), F.col("place")).alias("segment"),
+                "total_views")
         .where(F.col("segment").isNotNull())
-        .groupBy(*keys).agg(F.sum("views").alias("total_views"))
     )
-    masks = [f"m_{d.name}" for d in closed]
+    words = [w for d in closed for w in d.words()]
+    masks = [f"m_{w.name}_{w.word}" for w in words]
     per_listing = (
         views.where(F.col("listing_id").isNotNull())
         .groupBy("listing_id")
-        .agg(*[F.bit_or(d.mask()).alias(m) for d, m in zip(closed, masks)])
+        .agg(*[F.bit_or(w.mask()).alias(m) for w, m in zip(words, masks)])
         .join(booked, "listing_id", "left")
     )
-    seen = unfold(per_listing, closed, [F.col(m) for m in masks], ["total_reservations"])
+    seen = unfold(per_listing, words, [F.col(m) for m in masks], ["total_reservations"])
     listed = seen.groupBy(*keys).agg(
         F.sum("total_reservations").alias("total_reservations"),
         F.count("*").alias("unique_listings"),

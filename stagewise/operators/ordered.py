@@ -15,19 +15,21 @@ def reservation_history(
 ) -> DataFrame:
     """Per reservation, the user's searches and clicks at or before ``created_at``.
 
-    Counting runs in two exact parts, so that no task ever sorts a user's whole
-    history. Events are first counted per user and minute; a running sum over those
-    minutes gives the events before the minute of the reservation, over at most one row
-    per minute of the calendar. Single events are only compared within the
-    reservation's own minute, and only for minutes in which the user reserved at all.
+    Only events of users who reserved at all are kept, and they are added up per user and
+    instant before anything is ordered. Running sums have two exact parts: over a user's
+    minutes, and over the instants of the minutes with a reservation. So a task holds at most
+    one row per minute of a user, or per instant of one minute, however many events there are.
     """
-    rows = _event_rows(searches, views, reservations)
+    reserved = reservations.select(
+        F.col(RENTER).alias(USER_ID), F.col("created_at").alias("at"), "reservation_id",
+        "listing_id").where(F.col(USER_ID).isNotNull() & F.col("at").isNotNull())
+    instants = _instants(searches, views, reserved)
     earlier = Window.partitionBy(USER_ID).orderBy("minute").rowsBetween(
         Window.unboundedPreceding, -1)
     minutes = (
-        rows.groupBy(USER_ID, "minute")
+        instants.groupBy(USER_ID, "minute")
         .agg(F.sum("s").alias("s"), F.sum("c").alias("c"),
-             F.bool_or("is_reservation").alias("reserved"))
+             F.bool_or("is_reserved").alias("reserved"))
         .select(
             USER_ID, "minute", "reserved",
             F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s_before"),
@@ -36,18 +38,20 @@ def reservation_history(
         .where("reserved")
         .drop("reserved")
     )
-    so_far = Window.partitionBy(USER_ID, "minute").orderBy("at").rangeBetween(
+    so_far = Window.partitionBy(USER_ID, "minute").orderBy("at").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    return (
-        rows.join(minutes, [USER_ID, "minute"])
-        .withColumns({
-            "searches": F.col("s_before") + F.sum("s").over(so_far),
-            "clicks": F.col("c_before") + F.sum("c").over(so_far),
-        })
-        .where("is_reservation")
-        .select("reservation_id", USER_ID, "searches", "clicks",
-                F.col("at").alias("reservation_time"), "listing_id")
+    counts = (
+        instants.join(minutes, [USER_ID, "minute"])
+        .select(
+            USER_ID, "at", "is_reserved",
+            (F.col("s_before") + F.sum("s").over(so_far)).alias("searches"),
+            (F.col("c_before") + F.sum("c").over(so_far)).alias("clicks"),
+        )
+        .where("is_reserved")
     )
+    return reserved.join(counts, [USER_ID, "at"]).select(
+        "reservation_id", USER_ID, "searches", "clicks",
+        F.col("at").alias("reservation_time"), "listing_id")
 
 
 def ordered_funnel(searches: DataFrame, views: DataFrame, reservations: DataFrame) -> DataFrame:
@@ -66,24 +70,17 @@ def ordered_funnel_summary(ordered: DataFrame) -> DataFrame:
     )
 
 
-def _event_rows(searches: DataFrame, views: DataFrame, reservations: DataFrame) -> DataFrame:
-    """The three facts as one event log; only reservations have the last two columns."""
-    types = {name: reservations.schema[name].dataType for name in ("reservation_id", "listing_id")}
-
+def _instants(searches: DataFrame, views: DataFrame, reserved: DataFrame) -> DataFrame:
+    """Per instant of a user who reserved: searches, clicks, and whether they reserved then."""
     def events(df: DataFrame, s: int, c: int) -> DataFrame:
         return df.select(
             F.col(USER).alias(USER_ID), F.col("event_time").alias("at"),
-            F.lit(s).alias("s"), F.lit(c).alias("c"), F.lit(False).alias("is_reservation"),
-            *[F.lit(None).cast(t).alias(name) for name, t in types.items()])
+            F.lit(s).alias("s"), F.lit(c).alias("c"))
 
-    reserved = reservations.select(
-        F.col(RENTER).alias(USER_ID), F.col("created_at").alias("at"),
-        F.lit(0).alias("s"), F.lit(0).alias("c"), F.lit(True).alias("is_reservation"),
-        *types)
-    return (
-        events(searches, 1, 0)
-        .unionByName(events(views, 0, 1))
-        .unionByName(reserved)
-        .where(F.col(USER_ID).isNotNull() & F.col("at").isNotNull())
-        .withColumn("minute", minute_index(F.col("at")))
-    )
+    log = events(searches, 1, 0).unionByName(events(views, 0, 1)).where(F.col("at").isNotNull())
+    log = log.join(reserved.select(USER_ID).distinct(), USER_ID, "left_semi")
+    rows = log.withColumn("is_reserved", F.lit(False)).unionByName(reserved.select(
+        USER_ID, "at", F.lit(0).alias("s"), F.lit(0).alias("c"), F.lit(True).alias("is_reserved")))
+    return rows.groupBy(USER_ID, "at").agg(
+        F.sum("s").alias("s"), F.sum("c").alias("c"),
+        F.bool_or("is_reserved").alias("is_reserved")).withColumn("minute", minute_index(F.col("at")))

@@ -51,7 +51,7 @@ def segment_conversion(
     ``evidence`` holds the user sets a user of ``events`` must all be in to have
     converted. ``metric`` reports those users, or for ``non_converting`` and
     ``never_clicked`` the others. ``min_users`` is a minimum for all dimensions or one
-    per dimension name. ``frequency`` adds the bins of the user's number of events.
+    per dimension name, with none for a dimension that is not named. ``frequency`` adds the bins of the user's number of events.
 
     Closed dimensions cost one grouping by user. Open ones cost a distinct over
     (dimension, segment, user) and a join with the converted users; after the distinct a
@@ -59,8 +59,14 @@ def segment_conversion(
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {sorted(METRICS)}")
+    if null_segment not in ("drop", "keep"):
+        raise ValueError("null_segment is drop or keep")
+    names = {d.name for d in dimensions} | ({SEARCH_FREQUENCY.name} if frequency else set())
+    if not isinstance(min_users, int) and set(min_users) - names:
+        raise ValueError(f"min_users names no dimension: {sorted(set(min_users) - names)}")
     closed = [d for d in dimensions if d.closed and null_segment == "drop"]
     opened = [d for d in dimensions if d not in closed]
+    opened += [o for d in closed for o in d.outside()]
     parts = []
     if closed or frequency:
         parts.append(_closed_segments(events, closed, evidence, frequency))
@@ -146,11 +152,13 @@ def spine_conversion(
     A row without user and without labels is added to the users, so every label is
     present even for empty input.
     """
-    profile = _profile(events, [dimension], evidence).select("hit", _mask(dimension))
+    masks = [_mask(w) for w in dimension.words()]
+    profile = _profile(events, dimension.words(), evidence).select("hit", *masks)
     nobody = events.sparkSession.range(1).select(
-        F.lit(False).alias("hit"), F.lit(0).cast("bigint").alias(_mask(dimension)))
+        F.lit(False).alias("hit"), *[F.lit(0).cast("bigint").alias(m) for m in masks])
     place = f"{dimension.name}_order"
-    inside = F.getbit(_mask(dimension), F.col("bit")) == 1
+    mask = F.get(F.array(*masks), (F.col("bit") / D.WORD).cast("int"))
+    inside = F.getbit(mask, F.col("bit") % D.WORD) == 1
     return (
         profile.unionByName(nobody)
         .select("*", F.posexplode(dimension.label_array()).alias("bit", dimension.name))
@@ -261,7 +269,7 @@ def _two_sided(searches, dimension, views, reservations) -> DataFrame:
 
 
 def _mask(dimension: Dimension) -> str:
-    return f"mask_{dimension.name}"
+    return f"mask_{dimension.name}_{dimension.word}"
 
 
 def _profile(
@@ -293,6 +301,7 @@ def _profile(
 def _closed_segments(
     events: DataFrame, closed: Sequence[Dimension], evidence: Sequence[DataFrame], frequency: bool
 ) -> DataFrame:
+    closed = [w for d in closed for w in d.words()]
     profile = _profile(events, closed, evidence)
     masks = [F.col(_mask(d)) for d in closed]
     if frequency:
@@ -338,4 +347,4 @@ def _minimum(min_users: int | Mapping[str, int]) -> Column:
     for name, minimum in min_users.items():
         picked = (F if picked is None else picked).when(
             F.col("dimension") == name, F.lit(minimum))
-    return F.lit(MIN_USERS) if picked is None else picked.otherwise(F.lit(MIN_USERS))
+    return F.lit(0) if picked is None else picked.otherwise(F.lit(0))

@@ -90,6 +90,7 @@ def _typed(column: Column, source: str, target: T.DataType) -> Column:
         return column.cast(target) if isinstance(target, T.StringType) else column.try_cast(target)
     text = empty_to_null(column)
     if isinstance(target, T.IntegerType):
-        # Integers with gaps are often written as 3.0.
-        return text.try_cast("double").try_cast(target)
+        # Integers with gaps are often written as 3.0; a number with a fraction is none.
+        number = text.try_cast("double")
+        return F.when(number == F.floor(number), number).try_cast(target)
     return text.try_cast(target)
