@@ -233,15 +233,17 @@ def _runs(length: int):
     """The strings of each marked position in runs, by their distance from the anchor, so that
     equal strings fall into equal places of a run; with the bytes that all strings of a full
     run hold, and all bytes of those that are there."""
+    size = max(1, min(RUN, length // 4))
+
     def run(batches):
         digest, out = xxhash.xxh3_64_intdigest, []
         for doc, own, text, at in _marked(batches):
             for x in at:
                 a, first = x["anchor"], x["first"]
                 while first <= x["last"]:
-                    near = (a - first) // RUN * RUN
+                    near = (a - first) // size * size
                     last = min(x["last"], a - near)
-                    core = digest(text[a - near:a - near - RUN + 1 + length], near)
+                    core = digest(text[a - near:a - near - size + 1 + length], near)
                     reach = digest(text[first:last + length], a - first)
                     out.append((doc, own, first, last, a, _signed(reach), _signed(core)))
                     first = last + 1
