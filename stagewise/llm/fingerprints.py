@@ -118,13 +118,15 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     """
     docs = documents_only(docs)
     count = partitions(docs)
-    shares = [(k + 1) / count for k in range(count)]
-    splits = docs.agg(F.percentile_approx("doc_id", shares, 20 * count)).first()[0]
-    splits = sorted(set(splits or [0]))
-    bucket = _bucket(F.col("doc_id"), splits)
-    tops = F.array(*[F.lit(x).cast("bigint") for x in splits])
-    visits = F.when(F.get(tops, bucket) == F.col("doc_id"),
-                    F.array((bucket + 1) % len(splits)))
+    tops = _tops(docs, count)
+    bucket = _bucket(F.col("doc_id"), tops or [0])
+    if tops:
+        ends = F.array(*[F.lit(x).cast("bigint") for x in tops])
+        visits = F.when(F.get(ends, bucket) == F.col("doc_id"),
+                        F.array((bucket + 1) % len(tops)))
+    else:  # ids are null in all rows, so the first by text follows the last
+        first = docs.agg(F.min("text")).first()[0]
+        visits = F.when(F.col("text") == F.lit(first), F.array(F.lit(0)))
     dealt = docs.select("doc_id", "text", F.explode(F.concat(
         F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("guest"))),
         F.transform(F.coalesce(visits, F.array().cast("array<int>")),
@@ -137,6 +139,20 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
         "edited_fingerprint string, near_edited double, near_next double"))
 
 
+def _tops(docs: DataFrame, count: int) -> list[int]:
+    """The largest doc_id of each of at most ``count`` + 1 ranges of about equal size.
+
+    Quantiles are doubles and may miss a large id, so they only part the ids into ranges; the
+    ends are looked up.
+    """
+    shares = [(k + 1) / count for k in range(count)]
+    splits = docs.agg(F.percentile_approx("doc_id", shares, 20 * count)).first()[0]
+    ranges = _bucket(F.col("doc_id"), sorted(set(splits or [0])))
+    rows = docs.where("doc_id is not null").groupBy(ranges.alias("range")).agg(
+        F.max("doc_id").alias("top")).collect()  # a row per range
+    return sorted(r["top"] for r in rows)
+
+
 def _bucket(value, splits: list[int]):
     """How many splits are smaller, by binary search; 0 for null."""
     array = F.array(*[F.lit(x).cast("bigint") for x in splits])

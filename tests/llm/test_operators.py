@@ -149,6 +149,20 @@ def test_fingerprints(spark, rows):
     assert fingerprints.read(want[0][3]) == fingerprints.chunk_sets([(ordered[0][1] or "").encode()])[0]
 
 
+@pytest.mark.parametrize("ids", [
+    [2**62 + 3 * k + 1 for k in range(60)], [None] * 60, [7] * 59 + [None]])
+def test_every_document_has_a_successor(spark, ids):
+    rows = [(d, f"text {k} " * 9) for k, d in enumerate(ids)]
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = []
+    for (d, t), (_, after) in zip(ordered, ordered[1:] + ordered[:1]):
+        third = len(t) // 3
+        want.append((d, hashlib.sha256((t[:len(t) - third] + after[:third]).encode()).hexdigest()))
+    got = fingerprints.fingerprint_with_edits(documents(spark, rows))
+    assert sorted(map(key, map(tuple, got.select("doc_id", "edited_sha256").collect()))) == sorted(
+        map(key, want))
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(2)
     text = bytes(rng.randrange(97, 123) for _ in range(20_000))
