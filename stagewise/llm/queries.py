@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from stagewise.llm import (
     fingerprints,
+    htmltext,
+    importance,
     lines,
     lm,
     neighbours,
@@ -18,6 +20,7 @@ from stagewise.llm import (
     repeats,
     secrets,
     simhash,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +31,8 @@ REPEATED_BYTES = 400
 NEIGHBOURS = 20
 GOOD = 0.3
 LINE_EDITS, LINE_CHARS = 1, 20
+DRAWN_PERCENT, DRAWN_WORDS, FEATURE_BUCKETS, DRAW_SEED = 25, 20, 10_000, 7
+COMPONENTS = 8
 
 
 def tokenizer_path(name: str) -> str:
@@ -86,9 +91,24 @@ def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), LINE_EDITS, LINE_CHARS)
 
 
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"),
+        DRAWN_PERCENT, DRAWN_WORDS, FEATURE_BUCKETS, DRAW_SEED)
+
+
+def op12_html(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.extract(table(spark, folder, "pages"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"), COMPONENTS)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_neighbours, op2_fingerprints, op3_simhash, op4_lm, op5_repeats, op6_quality,
-    op7_secrets, op8_pieces, op9_packing, op10_lines)}
+    op7_secrets, op8_pieces, op9_packing, op10_lines, op11_importance, op12_html,
+    op13_whitening)}
 ORACLES: dict[str, str] = {
     # A table of this size is searched whole, so the exact answer is the operator's.
     "op1_neighbours": """
