@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import column, map_arrow, ship, stored
-
-#: Vectors that the codebooks are fitted on, rounds of fitting, and the largest codebook.
-SAMPLE, ROUNDS, CODEWORDS = 20_000, 10, 1024
-#: Entries per cell aimed at, entries a query sees at least, entries of a search group.
-PER_CELL, SEEN, GROUP = 16, 1024, 8192
+from stagewise.llm.common import column, map_arrow, partitions, ship, stored
+
+#: Vectors that the codebooks are fitted on, and rounds of fitting.
+SAMPLE, ROUNDS = 20_000, 10
+#: Codewords of a half: about as many cells as entries, within these bounds.
+FEWEST, CODEWORDS = 64, 1024
+#: Entries a query sees at least; entries and queries of a search group.
+SEEN, GROUP, ASKED = 1024, 8192, 4096
 #: Recall aimed at, and the queries it is measured on.
 RECALL, PROBES = 0.96, 64
 #: Candidates of a query and group whose score is computed component by component; pairs of
@@ -39,12 +41,13 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, recall: float = RE
     ``vectors`` has vec_id and embedding; the score is the inner product in double precision,
     summed from the first component to the last; ties go to the smaller vec_id. Rows with a
     null id, and vectors that are null, empty, zero, hold null or non-finite components, or
-    have another length than most, take no part. A query never finds its own vec_id; with
-    fewer than k others it gets them all. No valid query: an empty result.
+    have another length than most, take no part. A query never finds a row with its own vec_id;
+    with fewer than k others it gets them all. Rows with the same id are candidates each for
+    itself. No valid query: an empty result.
     """
     ship(vectors.sparkSession)
     rows = stored(_valid(vectors))
-    entries = stored(_entries(rows, k + 1))
+    entries = stored(_entries(rows, k))
     facts = entries.agg(F.count("*"), F.max("norm2")).first()
     asked = stored(rows.where(queries).join(
         entries.select("hash", "vector", "entry"), ["hash", "vector"]).select(
@@ -57,21 +60,24 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, recall: float = RE
     counts = np.zeros(index.size ** 2, np.int64)
     for cell, n in placed.groupBy("cell").count().collect():  # at most CODEWORDS ** 2
         counts[cell] = n
-    query_entries = stored(entries.join(asked.select("entry").distinct(), "entry", "left_semi"))
-    seen = index.walk_length(placed, query_entries, counts, recall, k)
-    found = index.search(placed, query_entries, counts, seen, k + 1)
-    best = found.withColumn("place", F.row_number().over(
-        Window.partitionBy("query").orderBy(F.desc("score"), "entry"))).where(F.col("place") <= k + 1)
-    members = best.join(entries.select("entry", "ids"), "entry").select(
-        "query", "score", F.explode("ids").alias("vec_id"))
-    ranked = members.withColumn("place", F.row_number().over(
-        Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
-    lists = ranked.groupBy("query").agg(F.sort_array(F.collect_list(
-        F.struct("place", "vec_id", "score"))).alias("best"))  # k + 1 at most
-    others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return asked.join(lists, F.col("entry") == F.col("query")).select(
-        "query_id", F.posexplode(others).alias("position", "hit")).select(
-        "query_id", (F.col("position") + 1).alias("rank"), "hit.vec_id", "hit.score")
+    distinct = stored(asked.distinct().withColumn("query", F.monotonically_increasing_id()))
+    wanted = stored(distinct.join(entries.select("entry", "vector"), "entry"))
+    seen = index.walk_length(placed, wanted, counts, recall, k)
+    best = index.search(placed, wanted, counts, seen, k)
+    members = _first(best, "entry", k).join(entries.select("entry", "ids"), "entry").join(
+        distinct.select("query", "query_id"), "query").select(
+        "query", "score", F.explode("ids").alias("vec_id"), "query_id").where(
+        "vec_id <> query_id")
+    ranked = _first(members, "vec_id", k).select(
+        "query", F.col("place").alias("rank"), "vec_id", "score")
+    return asked.join(distinct, ["query_id", "entry"]).join(ranked, "query").select(
+        "query_id", "rank", "vec_id", "score")
+
+
+def _first(found: DataFrame, tie: str, k: int) -> DataFrame:
+    """Each query's k best rows by score, ties by a column."""
+    return found.withColumn("place", F.row_number().over(
+        Window.partitionBy("query").orderBy(F.desc("score"), tie))).where(F.col("place") <= k)
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
@@ -88,15 +94,24 @@ def _valid(vectors: DataFrame) -> DataFrame:
         "hash", F.xxhash64("vector"))
 
 
-def _entries(rows: DataFrame, ids: int) -> DataFrame:
-    """Distinct vectors with their smallest ids; ``entry`` is the smallest. The rank limit is
-    applied before the shuffle too, so a very frequent vector sends few rows per task."""
+def _entries(rows: DataFrame, k: int) -> DataFrame:
+    """Distinct vectors, numbered in the order of their smallest ids, with the first ids that a
+    result can need: no more than k times the same, and 2 k in all, so that k are left of
+    whichever is a query's own. ``sole`` is the id of a vector that has one only. The limits
+    are applied before the shuffle too, so a very frequent vector sends few rows per task."""
+    same = Window.partitionBy("hash", "vector", "vec_id").orderBy("vec_id")
     own = Window.partitionBy("hash", "vector").orderBy("vec_id")
-    few = rows.withColumn("place", F.row_number().over(own)).where(F.col("place") <= ids)
+    few = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k) \
+        .withColumn("place", F.row_number().over(own)).where(F.col("place") <= 2 * k)
     norm2 = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    return few.groupBy("hash", "vector").agg(
-        F.sort_array(F.collect_list("vec_id")).alias("ids")).select(
-        "hash", "vector", "ids", F.get("ids", 0).alias("entry"), norm2.alias("norm2"))
+    vectors = few.groupBy("hash", "vector").agg(
+        F.sort_array(F.collect_list("vec_id")).alias("ids"),
+        F.min("vec_id").alias("least"), F.max("vec_id").alias("most"))
+    return vectors.repartitionByRange(partitions(rows), "least", "hash").sortWithinPartitions(
+        "least", "hash").select(
+        "hash", "vector", "ids", F.monotonically_increasing_id().alias("entry"),
+        F.when(F.col("least") == F.col("most"), F.col("least")).alias("sole"),
+        norm2.alias("norm2"))
 
 
 def _matrix(arrays: pa.Array) -> np.ndarray:
@@ -108,7 +123,7 @@ def _matrix(arrays: pa.Array) -> np.ndarray:
 class Index:
     def __init__(self, entries: DataFrame, count: int, longest2: float):
         self.count, self.longest2 = count, longest2
-        self.size = int(np.clip(np.sqrt(count / PER_CELL), 1, CODEWORDS))
+        self.size = int(np.clip(np.sqrt(count), FEWEST, CODEWORDS))
         self.groups = -(-count // GROUP)
         sample = entries.orderBy(F.xxhash64("entry", F.lit(1)), "entry").limit(SAMPLE)
         halves = self._halves(np.array([r[0] for r in sample.select("vector").collect()]))
@@ -125,7 +140,7 @@ class Index:
                 for h, b in zip(self._halves(vectors, query), self.books)]
 
     def place(self, entries: DataFrame) -> DataFrame:
-        """entry, vector, cell."""
+        """entry, vector, sole, cell."""
         index = self
 
         def run(batches):
@@ -134,11 +149,11 @@ class Index:
                     one, two = index._distances(_matrix(column(batch, "vector")))
                     cells = one.argmin(1) * index.size + two.argmin(1)
                     yield pa.RecordBatch.from_arrays(
-                        [column(batch, "entry"), column(batch, "vector"),
-                         pa.array(cells.astype(np.int64))], ["entry", "vector", "cell"])
+                        [column(batch, "entry"), column(batch, "vector"), column(batch, "sole"),
+                         pa.array(cells.astype(np.int64))], ["entry", "vector", "sole", "cell"])
 
-        return map_arrow(entries.select("entry", "vector"), run,
-                         "entry bigint, vector array<double>, cell bigint")
+        return map_arrow(entries.select("entry", "vector", "sole"), run,
+                         "entry bigint, vector array<double>, sole bigint, cell bigint")
 
     def cells(self, one: np.ndarray, two: np.ndarray, counts: np.ndarray, seen: int) -> list[int]:
         """Cells in the order of summed distance until they hold enough entries."""
@@ -159,18 +174,18 @@ class Index:
 
     def walk_length(self, placed: DataFrame, queries: DataFrame, counts, recall: float, k: int) -> int:
         """Entries to see so that the sampled queries find this share of their true k nearest."""
-        chosen = queries.orderBy(F.xxhash64("entry", F.lit(2)), "entry").limit(PROBES).collect()
+        chosen = queries.orderBy(F.xxhash64("query", F.lit(2)), "query").limit(PROBES).collect()
         if not chosen:
             return SEEN
         wanted = np.array([r["vector"] for r in chosen])
-        own = np.array([r["entry"] for r in chosen])
+        own = np.array([r["query_id"] for r in chosen])
 
         def scan(batches):
             for batch in batches:
                 if batch.num_rows:
                     scores = wanted @ _matrix(column(batch, "vector")).T
-                    entry, cell = (column(batch, c).to_numpy() for c in ("entry", "cell"))
-                    scores[own[:, None] == entry[None, :]] = -np.inf
+                    cell = column(batch, "cell").to_numpy()
+                    scores[own[:, None] == _sole(column(batch, "sole"))[None, :]] = -np.inf
                     best = np.argsort(-scores, 1)[:, :k]
                     q = np.repeat(np.arange(len(own)), best.shape[1])
                     yield pa.RecordBatch.from_arrays(
@@ -192,47 +207,77 @@ class Index:
     def search(self, placed: DataFrame, queries: DataFrame, counts, seen: int, k: int) -> DataFrame:
         """query, entry, score: the k best of every query in each search group.
 
-        A group is the cells of one bucket; buckets of more than GROUP entries are split.
+        A group is the cells of one bucket and the queries that walk them. Buckets of more than
+        GROUP entries are split, and so are the queries of one where they are more than ASKED.
         """
         index, buckets = self, self.groups
         held = np.bincount(np.arange(len(counts)) % buckets, weights=counts, minlength=buckets)
         parts = np.maximum(1, -(-held.astype(np.int64) // GROUP))
-        shared = queries.sparkSession.sparkContext.broadcast((counts, parts))
+        context = queries.sparkSession.sparkContext
+        shared = context.broadcast((counts, parts))
 
         def ask(batches):
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                counts, parts = shared.value
+                counts, _ = shared.value
                 one, two = index._distances(_matrix(column(batch, "vector")), query=True)
                 rows, lists, goes = [], [], []
                 for q in range(batch.num_rows):
                     cells = np.array(index.cells(one[q], two[q], counts, seen))
-                    for bucket in np.unique(cells % buckets):
-                        own = cells[cells % buckets == bucket]
-                        for part in range(parts[bucket]):
-                            rows.append(q)
-                            lists.append(own)
-                            goes.append(part * buckets + bucket)
+                    order = np.argsort(cells % buckets, kind="stable")
+                    marks, begins = np.unique((cells % buckets)[order], return_index=True)
+                    rows += [q] * len(marks)
+                    lists += np.split(cells[order], begins[1:])
+                    goes += marks.tolist()
                 taken = batch.take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(goes, pa.int64()), column(taken, "entry"),
-                     column(taken, "vector"), pa.array(lists, pa.list_(pa.int64()))],
-                    ["goes", "query", "vector", "cells"])
-
-        def sort(batches):
+                    [pa.array(goes, pa.int64()), *(column(taken, c) for c in (
+                        "query", "query_id", "vector")),
+                     pa.array(lists, pa.list_(pa.int64()))],
+                    ["goes", "query", "query_id", "vector", "cells"])
+
+        asked = stored(map_arrow(
+            queries.select("query", "query_id", "vector"), ask,
+            "goes bigint, query bigint, query_id bigint, vector array<double>, cells array<bigint>"))
+        crowds = np.ones(buckets, np.int64)
+        for bucket, n in asked.groupBy("goes").count().collect():  # one row per bucket
+            crowds[bucket] = -(-n // ASKED)
+        offsets = np.r_[0, np.cumsum(parts * crowds)]
+        dealt = context.broadcast((parts, crowds, offsets))
+
+        def spread(batches, entries: bool):
             for batch in batches:
-                cells = column(batch, "cell").to_numpy()
-                part = column(batch, "entry").to_numpy() % shared.value[1][cells % buckets]
-                yield batch.append_column("goes", pa.array(part * buckets + cells % buckets))
-
-        asked = map_arrow(queries.select("entry", "vector"), ask,
-                          "goes bigint, query bigint, vector array<double>, cells array<bigint>")
-        kept = map_arrow(placed, sort, "entry bigint, vector array<double>, cell bigint, goes bigint")
-        return asked.groupBy("goes").cogroup(kept.groupBy("goes")).applyInPandas(
+                parts, crowds, offsets = dealt.value
+                if entries:
+                    at = column(batch, "cell").to_numpy() % buckets
+                    own, copies = column(batch, "entry").to_numpy() % parts[at], crowds[at]
+                else:
+                    at = column(batch, "goes").to_numpy()
+                    own, copies = column(batch, "query").to_numpy() % crowds[at], parts[at]
+                row = np.repeat(np.arange(len(at)), copies)
+                turn = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+                part, crowd = (own[row], turn) if entries else (turn, own[row])
+                groups = offsets[at[row]] + part * crowds[at[row]] + crowd
+                taken = batch.take(pa.array(row)) if len(row) != len(at) else batch
+                yield taken.append_column("part", pa.array(groups.astype(np.int64)))
+
+        wanted = map_arrow(asked, lambda b: spread(b, False), (
+            "goes bigint, query bigint, query_id bigint, vector array<double>, "
+            "cells array<bigint>, part bigint"))
+        kept = map_arrow(placed, lambda b: spread(b, True), (
+            "entry bigint, vector array<double>, sole bigint, cell bigint, part bigint"))
+        return wanted.groupBy("part").cogroup(kept.groupBy("part")).applyInPandas(
             _best_of(k), "query bigint, entry bigint, score double")
 
 
+NOBODY = -(2 ** 63)
+
+
+def _sole(ids: pa.Array) -> np.ndarray:
+    return ids.fill_null(NOBODY).to_numpy(zero_copy_only=False)
+
+
 def _best_of(k: int):
     def best(asked: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(kept):
@@ -240,6 +285,8 @@ def _best_of(k: int):
                 {"query": "int64", "entry": "int64", "score": "float64"})
         kept = kept.sort_values("cell", kind="stable")
         vectors, cells = np.stack(kept["vector"].to_list()), kept["cell"].to_numpy()
+        sole = pa.array(kept["sole"], pa.int64(), from_pandas=True)
+        sole, mine = _sole(sole), asked["query_id"].to_numpy()
         wanted = np.stack(asked["vector"].to_list())
         ids, out = kept["entry"].to_numpy(), []
         lists, sizes = asked["cells"].to_list(), np.diff(np.searchsorted(
@@ -249,7 +296,8 @@ def _best_of(k: int):
         for turn in np.unique(load):
             low, high = np.searchsorted(load, [turn, turn + 1])
             q, e, score = _scored(wanted, lists, low, high, vectors, cells)
-            q, e, _ = _top(q, e, score, k + SPARE)
+            other = sole[e] != mine[q]
+            q, e, _ = _top(q[other], e[other], score[other], k + SPARE)
             exact = np.zeros(len(q))
             for d in range(wanted.shape[1]):  # summed in order, as a plain loop would
                 exact += wanted[q, d] * vectors[e, d]

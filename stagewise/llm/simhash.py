@@ -167,24 +167,51 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataF
     """
     ship(docs.sparkSession)
     marked = stored(fingerprints(docs, words))
-    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(classes, classes.count(), distance))
-    named = classes.join(found, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = stored(named)
+    named = _grouped(marked, distance)
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = named.join(ids, "component").select("fp", "component_id")
     return marked.join(labels, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _grouped(marked: DataFrame, distance: int) -> DataFrame:
+    """fp, least (the smallest doc_id with it) and component, for every distinct fingerprint."""
+    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(links(classes, classes.count(), distance))
+    return stored(classes.join(found, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component")))
+
+
 def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
-    """The documents without near-duplicates: of each group the one with the smallest doc_id
-    stays, with all its columns; of repeated rows with that id one stays. Documents without
-    an id stay only where their group has no id at all, one of them.
+    """The documents without near-duplicates: one of each group stays, with all its columns.
+
+    It is the one with the smallest doc_id; a document without an id only where its whole group
+    has none. Which of several rows with that id and fingerprint stays is not defined. An id
+    names no document here: unlike documents with the same id, or without one, all stay.
     """
-    found = near_duplicates(docs, words, distance).select(
-        F.col("doc_id").alias("_id"), F.col("component_id").alias("_keep"))
-    kept = found.where(F.col("_id").eqNullSafe(F.col("_keep"))).select("_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(
-        ["doc_id"])
+    ship(docs.sparkSession)
+    mark = F.pandas_udf(_fingerprint_series(words), "bigint")
+    tagged = stored(docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        docs["doc_id"].cast("bigint").alias("doc_id"),
+        mark(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("fp")))
+    named = _grouped(tagged.select("doc_id", "fp"), distance)
+    keep = named.groupBy("component").agg(
+        F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("best")).select(
+        _row_key(F.col("best.fp"), F.col("best.least")).alias("key"))
+    # Copies with one id meet before the shuffle; the join needs no further one.
+    single = tagged.groupBy(_row_key(F.col("fp"), F.col("doc_id")).alias("key")).agg(
+        F.first("row").alias("row"))
+    return single.join(keep, "key", "left_semi").select("row.*")
+
+
+def _row_key(fp, doc_id):
+    return F.concat_ws("/", fp.cast("string"), doc_id.cast("string"))
+
+
+def _fingerprint_series(words: int):
+    def marks(texts):  # a series of texts
+        found = np.array([fingerprint(t.encode(), words) for t in texts], np.uint64)
+        return pd.Series(found.view(np.int64))
+
+    return marks

@@ -257,6 +257,84 @@ def test_secrets(spark):
     assert out.columns == df.columns and out.collect()[1].text is None
 
 
+def layers_by_hand():
+    """Texts that hide a secret with the span that must be found."""
+    import base64
+    import bz2
+    import gzip
+    import lzma
+    from urllib.parse import quote
+
+    import zstandard
+
+    hidden = "password=hunter22"
+    b64 = base64.b64encode(hidden.encode()).decode()
+    yield "x " + b64 + " y", 2, 2 + len(b64)
+    # After other characters of the alphabet; the spare bits of the last character may go with it.
+    yield "/a/b/" + b64, 5, 5 + len(b64.rstrip("="))
+    yield "id_" + b64 + "!", 3, 3 + len(b64.rstrip("="))
+    long = "é" * 60 + " token=abcdef123 " + "z" * 200
+    whole = base64.b64encode(long.encode()).decode()
+    yield whole, 121 * 4 // 3, -(-136 * 4 // 3)
+    wrapped = "\r\n".join(whole[i:i + 76] for i in range(0, len(whole), 76))
+    yield wrapped, 121 * 4 // 3 + 2 * (161 // 76), -(-136 * 4 // 3) + 2 * (181 // 76)
+    # Not readable in front of it.
+    raw = bytes(range(256)) + b" secret: swordfish "
+    blob = base64.b64encode(raw).decode()
+    yield blob, 257 * 4 // 3, -(-274 * 4 // 3)
+    yield raw.hex(), 257 * 2, 274 * 2
+    wide = base64.b64encode(hidden.encode("utf-16-le")).decode()
+    yield wide, 0, len(wide.rstrip("="))
+    for pack in (zlib.compress, gzip.compress, bz2.compress, lzma.compress,
+                 zstandard.ZstdCompressor().compress):
+        one = base64.b64encode(pack(hidden.encode() * 3)).decode()
+        yield one, 0, len(one.rstrip("="))
+    escaped = "".join(f"\\u{ord(c):04x}" for c in hidden)
+    yield "- " + escaped, 2, 2 + len(escaped)
+    twice = quote(quote("é " + b64, safe=""), safe="")
+    yield twice, twice.index("cGFz"), twice.rindex("%")
+
+
+def test_secrets_in_layers():
+    for text, start, end in layers_by_hand():
+        base, found = secrets.scan(text)
+        spans = [(a, b) for a, kind, b in found if kind == 0]
+        assert any(a - 2 <= start <= a + 2 and b - 3 <= end <= b + 3 for a, b in spans), (text, spans)
+        masked = secrets.redact(text, found, "*")
+        assert not [s for s in secrets.scan(masked)[1] if s[1] == 0]
+
+
+def test_unfolded_data_has_no_limit(monkeypatch):
+    import base64
+
+    monkeypatch.setattr(secrets, "PIECE", 1 << 16)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 8)
+    blob = base64.b64encode(zlib.compress(b"ab " * 400_000 + b"token=abcdef123 ")).decode()
+    assert [s for s in secrets.scan("- " + blob)[1] if s[1] == 0] == [(2, 0, 2 + len(blob.rstrip("=")))]
+
+
+def test_one_of_each_keeps_unlike_documents(spark):
+    a, b, c = "one two three four five", "six seven eight nine ten", "red blue green black white"
+    rows = [(None, a), (None, b), (1, a + " x"), (1, c), (2, c), (2, c), (3, c), (None, b), (9, None),
+            (8, ""), (None, None)]
+    out = simhash.one_of_each(documents(spark, rows))
+    assert out.columns == documents(spark, rows).columns
+    marks = {t: simhash.fingerprint((t or "").encode(), 3) for _, t in rows}
+    assert all(bin(marks[x] ^ marks[y]).count("1") > 3 for x in (a, b, c, a + " x", "")
+               for y in (a, b, c, a + " x", "") if x != y)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert got == sorted([(None, a), (None, b), (1, a + " x"), (1, c), (8, "")], key=repr)
+
+
+def test_components_with_a_hub(spark):
+    from stagewise.llm.components import components
+
+    pairs = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
+    df = spark.createDataFrame(pairs, "u long, v long")
+    got = {r.node: r.component for r in components(df).collect()}
+    assert got == {**{i: 0 for i in range(300)}, **{1000 + i: 1000 for i in range(41)}}
+
+
 def test_lines_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(lines, "PAIRED", 3)  # so that shared segments are refined
     rng = random.Random(8)
@@ -328,6 +406,48 @@ def test_neighbours(spark):
     assert sorted(r.score for r in got) == pytest.approx(sorted(w[3] for w in want))
 
 
+def near_by_force(rows, k, asks):
+    """query_id, rank, vec_id, score by plain loops."""
+    want = []
+    for q, v in rows:
+        if asks(q):
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+    return sorted(want)
+
+
+def test_neighbours_with_repeated_ids(spark):
+    rng = np.random.Generator(np.random.PCG64(2))
+    rows = [(i, rng.integers(-9, 9, 4).astype(float).tolist()) for i in range(60)]
+    rows += [(20, [30.0, 1.0, 2.0, 3.0]), (20, [0.0, 31.0, 2.0, 3.0])]  # one id, three vectors
+    rows += [(40, rows[40][1])] * 9 + [(7, rows[40][1])] * 3  # an id many times at one vector
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, 4).collect()
+    assert sorted(map(tuple, got)) == near_by_force(rows, 4, lambda q: q % 20 == 0)
+
+
+def test_neighbours_with_an_index_that_prunes(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ASKED", 16)  # so that queries are split
+    monkeypatch.setattr(neighbours, "GROUP", 300)
+    monkeypatch.setattr(neighbours, "SEEN", 50)
+    lengths = []
+    walk = neighbours.Index.walk_length
+    monkeypatch.setattr(neighbours.Index, "walk_length",
+                        lambda *a: lengths.append(walk(*a)) or lengths[-1])
+    rng = np.random.Generator(np.random.PCG64(3))
+    centres = rng.normal(size=(40, 8)) * 4
+    vectors = (centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 8)) * 0.4).round(6)
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    rows = [(i, v) for i, v in enumerate(vectors.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, 10).collect()}
+    scores = vectors[::20] @ vectors.T
+    scores[np.arange(200), np.arange(0, 4000, 20)] = -9
+    want = {(q * 20, int(i)) for q in range(200) for i in np.argsort(-scores[q])[:10]}
+    assert len(got) == 2000 and len(got & want) / 2000 >= 0.9
+    assert lengths[0] < 800  # a fifth of the entries
+
+
 def test_quality(spark):
     rng = random.Random(3)
     good = [(d, "\n".join("The river was calm and the boats lay still." for _ in range(3)), 1)
