@@ -156,11 +156,33 @@ def test_history_matches_counting_by_hand(spark, seed):
     assert summary.avg_searches == pytest.approx(sum(v[0] for v in funnel) / len(funnel))
 
 
-def test_history_sorts_no_whole_user(spark):
-    plan = ordered.reservation_history(*random_tables(spark, 1, 20))._jdf.queryExecution()
-    text = plan.executedPlan().toString()
-    raw = [line for line in text.splitlines() if "RangeFrame" in line]
-    assert raw and all("minute" in line.split("ORDER BY")[0] for line in raw)
+def test_history_sorts_no_raw_events(spark):
+    """Windows run over rows that are grouped before, and the grouped instants are made once."""
+    df = ordered.reservation_history(*random_tables(spark, 1, 20))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    lines = plan.splitlines()
+    windows = [i for i, line in enumerate(lines) if "Window [" in line]
+    assert len(windows) == 2
+    for i in windows:
+        below = "\n".join(lines[i + 1:i + 40])
+        assert "HashAggregate" in below.split("Window [")[0].split("Union")[0]
+    assert "RangeFrame" not in plan
+
+
+def test_a_million_events_in_a_minute(spark):
+    """A minute of one user is added up per instant before anything is ordered."""
+    events = spark.range(1_000_000).select(
+        F.lit("a").alias("merged_amplitude_id"),
+        (F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(
+            secs=(F.col("id") % 50).cast("decimal(18,6)"))).alias("event_time"))
+    views = events.limit(0)
+    booked = make(spark, RESERVATION_SCHEMA, [
+        reservation("a", reservation_id="x", created_at=START + timedelta(seconds=9)),
+        reservation("a", reservation_id="y", created_at=START + timedelta(seconds=60))])
+    got = {r.reservation_id: (r.searches, r.clicks)
+           for r in ordered.reservation_history(events, views, booked).collect()}
+    assert got == {"x": (200_000, 0), "y": (1_000_000, 0)}
 
 
 def test_journey_counts_without_fan_out(spark):

@@ -253,14 +253,44 @@ def test_dimension_definitions_are_checked():
         Dimension("x")
     with pytest.raises(ValueError):
         Dimension("x", labels=("a",))
-    with pytest.raises(ValueError):
-        D.number_dimension("x", range(0, 64))
     with pytest.raises(ValueError):
         D.number_dimension("x", range(0, 10, 2))
     with pytest.raises(ValueError):
         segments.segment_conversion(None, [], [], metric="other")
 
 
+def test_more_labels_than_one_mask_holds(spark):
+    wide = D.number_dimension("count_results", range(0, 150))
+    rows = [search(f"u{i % 7}", count_results=i) for i in range(0, 160, 3)]
+    got = by_segment(segments.segment_conversion(
+        make(spark, SEARCH_SCHEMA, rows), [wide], [spark.createDataFrame([("u0",)], "user_id string")],
+        min_users=0))
+    assert got.keys() == {("count_results", str(i)) for i in range(0, 150, 3)}
+    assert all(v[1] == (int(k[1]) % 7 == 0) for k, v in got.items())
+
+
+def test_values_outside_a_closed_list_are_kept(spark):
+    old = make(spark, SEARCH_SCHEMA, [search("a", search_sort="price"), search("b")])
+    closed = D.close_dimensions(old, [D.SEARCH_SORT])
+    assert closed[0].closed
+    new = make(spark, SEARCH_SCHEMA, [search("a", search_sort="price"), search("b", search_sort="near")])
+    got = by_segment(segments.segment_conversion(
+        new, closed, [user_ids(new)], min_users=0))
+    assert got.keys() == {("search_sort", "price"), ("search_sort", "near")}
+
+
+def test_options_that_name_nothing(spark):
+    rows = make(spark, SEARCH_SCHEMA, [search("a", search_sort="price", search_type="map")])
+    dims = [D.SEARCH_SORT, D.SEARCH_TYPE]
+    for wrong in ({"null_segment": "kept"}, {"min_users": {"search_srt": 2}}, {"metric": "x"}):
+        with pytest.raises(ValueError):
+            segments.segment_conversion(rows, dims, [user_ids(rows)], **wrong)
+    # A dimension that is not named has no minimum.
+    got = by_segment(segments.segment_conversion(
+        rows, dims, [user_ids(rows)], min_users={"search_sort": 2}))
+    assert got.keys() == {("search_type", "map")}
+
+
 def test_a_user_with_a_third_of_all_rows(spark):
     """The result is that of the sets, whatever one user's share of the rows."""
     start = datetime(2024, 3, 4)
