@@ -8,6 +8,7 @@ from stagewise.functions.labels import (
     reservation_status,
     search_session_id,
     source_channel,
+    title_label,
 )
 from stagewise.functions.rates import pct, pct_change, pct_or_zero
 from stagewise.functions.times import hour_of, hours_between, weekday_of
@@ -15,5 +16,5 @@ from stagewise.functions.times import hour_of, hours_between, weekday_of
 __all__ = [
     "boolean_label", "bucketize", "display_label", "hour_of", "hours_between", "label_order",
     "pct", "pct_change", "pct_or_zero", "peak_label", "range_label", "reservation_status",
-    "search_session_id", "source_channel", "weekday_of",
+    "search_session_id", "source_channel", "title_label", "weekday_of",
 ]

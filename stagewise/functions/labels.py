@@ -52,3 +52,8 @@ def source_channel(source: Column, channel: Column) -> Column:
 def display_label(name: Column) -> Column:
     """``search_sort`` becomes ``SEARCH SORT``."""
     return F.upper(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+def title_label(name: Column) -> Column:
+    """``search_sort`` becomes ``Search Sort``."""
+    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))

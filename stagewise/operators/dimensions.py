@@ -141,21 +141,32 @@ def _literal(labels: tuple[str, ...]) -> Column:
 def unfold(
     df: DataFrame, closed: Sequence[Dimension], masks: Sequence[Column], keep: Sequence[str]
 ) -> DataFrame:
-    """A row ``(*keep, dimension, segment)`` for every bit set in the masks of a row."""
-    columns = [c for d, m in zip(closed, masks) for c in (F.lit(d.name), m, d.label_array())]
-    return (
+    """A row ``(*keep, dimension, place, segment)`` for every bit set in the masks of a row.
+
+    ``place`` is the 0-based place of the label in its dimension. Dimensions of a row without
+    any label make no rows at all, and of the others only the labels that are set are spread.
+    """
+    columns = [c for d, m in zip(closed, masks)
+               for c in (F.lit(d.name), m, F.lit(d.word * WORD), d.label_array())]
+    spread = (
         df.select(*keep, F.stack(F.lit(len(closed)), *columns)
-                  .alias("dimension", "mask", "labels"))
-        .select(*keep, "dimension", "mask", F.posexplode("labels").alias("bit", "segment"))
-        .where(F.getbit("mask", "bit") == 1)
-        .drop("mask", "bit")
+                  .alias("dimension", "mask", "first", "labels"))
+        .where("mask <> 0")
     )
+    bits = F.filter(F.sequence(F.lit(0), F.size("labels") - 1),
+                    lambda i: F.getbit(F.col("mask"), i) == 1)
+    return spread.select(*keep, "dimension", "first", "labels", F.explode(bits).alias("bit")).select(
+        *keep, "dimension", (F.col("first") + F.col("bit")).alias("place"),
+        F.get("labels", F.col("bit")).alias("segment"))
 
 
 def month_dimension(months: range = MONTHS) -> Dimension:
     return number_dimension("month", months)
 
 
+ALL = closed_dimension("all", ("(all)",), lambda: F.lit(0))
+
+
 def position_dimension(last: int) -> Dimension:
     """Result positions 1 to ``last``."""
     return number_dimension("search_position", range(1, last + 1))

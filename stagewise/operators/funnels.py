@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.functions import pct_change, pct_or_zero, source_channel
+from stagewise.operators.identity import resolve_renters
 from stagewise.operators.users import (
     CLICKED,
     PAID,
@@ -17,7 +18,6 @@ from stagewise.operators.users import (
     renters,
     user_ids,
     user_stages,
-    with_mapped_renters,
 )
 from stagewise.schemas import RENTER, USER
 
@@ -37,7 +37,7 @@ def funnel_counts(
         # One row per renter before the map is joined, however often a renter reserved.
         paid_at = "successful_payment_collected_at"
         per_renter = reservations.groupBy(RENTER).agg(F.max(paid_at).alias(paid_at))
-        reservations = with_mapped_renters(per_renter, identity_map)
+        reservations = resolve_renters(per_renter, identity_map)
     users = user_stages(searches, views, reservations)
     counts = users.agg(
         F.count_if(has("stages", SEARCHED)).alias("total_searchers"),
@@ -45,6 +45,11 @@ def funnel_counts(
         F.count_if(has("stages", SEARCHED | RESERVED)).alias("total_reservers"),
         F.count_if(has("stages", SEARCHED | PAID)).alias("total_payers"),
     )
+    return with_losses(counts)
+
+
+def with_losses(counts: DataFrame) -> DataFrame:
+    """The four stage counts with their rates and losses."""
     searchers, viewers = F.col("total_searchers"), F.col("total_viewers")
     reservers, payers = F.col("total_reservers"), F.col("total_payers")
     rated = counts.withColumns({

@@ -27,10 +27,10 @@ def rated(result: DataFrame, analysis: str, label: str, rate: str = "conversion_
     )
 
 
-def extremes(rates: DataFrame) -> DataFrame:
+def extremes(rates: DataFrame, title=display_label) -> DataFrame:
     """Best and worst characteristic, their gap and the mean rate per analysis.
 
-    Ties go to the characteristic that sorts first.
+    Ties go to the characteristic that sorts first. ``title`` makes a heading of a name.
     """
     rate, name = F.col("conversion_rate"), F.col("characteristic")
     best = F.min(F.struct((-rate).alias("r"), name.alias("name")))
@@ -41,7 +41,7 @@ def extremes(rates: DataFrame) -> DataFrame:
         .agg(best.alias("best"), worst.alias("worst"), F.avg(rate).alias("avg_rate"))
         .select(
             "analysis",
-            display_label(F.col("analysis")).alias("title"),
+            title(F.col("analysis")).alias("title"),
             F.col("best.name").alias("best"),
             (-F.col("best.r")).alias("best_rate"),
             F.col("worst.name").alias("worst"),

@@ -9,19 +9,23 @@ from sides that are aggregated before they are joined.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.functions import label_order, pct, pct_or_zero
 from stagewise.functions.buckets import RESULT_COUNT_ELSE, RESULT_COUNT_RANGES
-from stagewise.operators.combine import combine
+from stagewise.operators import dimensions as D
+from stagewise.operators.dimensions import MONTHS
+from stagewise.operators.users import has
 from stagewise.schemas import RENTER, USER
 
 MIN_ATTRIBUTION_USERS = 10
 MIN_DMA_USERS = 50
 TOP_N = 10
+HOURS = range(0, 24)
 
 
 def view_performance(
@@ -33,55 +37,67 @@ def view_performance(
     Searches meet views on ``search_id``. With ``averages``, ``avg_results`` weighs a
     search by its number of views (at least 1), as a mean over the joined rows does, and
     ``avg_results_unweighted`` is the plain mean.
+
+    Each side is grouped once. Searches then go by search id, views by search id too, and
+    everything that is counted is one list of signed rows: a search counts its results once,
+    each view of it once more, and a marker row of the viewed search takes one away. One
+    grouping by (segment, person) and one by segment add the list up.
     """
     segment = list(segment)
+    zero = F.lit(0).cast("bigint")
     sums = [F.sum(F.col("count_results").cast("bigint")).alias("results"),
-            F.count("count_results").alias("counted")]
-    users = searches.groupBy(*segment).agg(F.countDistinct(USER).alias("unique_searchers"))
-    # Both uses of the grouped searches have the same plan, so it is computed once.
-    linkable = searches.where(F.col("search_id").isNotNull())
-    keys = [*segment, "search_id"]
-    per_search = (linkable.groupBy(*keys).agg(*sums) if averages
-                  else linkable.select(*keys).distinct())
+            F.count("count_results").alias("counted")] if averages else [
+        F.max(zero).alias("results"), F.max(zero).alias("counted")]
+    grouped = searches.groupBy(*segment, "search_id", F.col(USER).alias("person")).agg(*sums)
+    searched = grouped.select(
+        *segment, "person", F.lit(_SEARCHER).alias("role"), F.lit(0).alias("searches"),
+        "results", "counted", F.lit(1).alias("weight"))
+    # By search id alone, so that the grouping and the join need no further shuffle.
+    per_search = (
+        grouped.where(F.col("search_id").isNotNull()).repartition("search_id")
+        .groupBy("search_id", *segment)
+        .agg(F.sum("results").alias("results"), F.sum("counted").alias("counted"))
+        .where(F.col("search_id").isNotNull())
+    )
+    person = F.col(USER).cast(searches.schema[USER].dataType)
     known = views.where(F.col("search_id").isNotNull())
-    viewer = F.col(USER).alias("viewer")
-    counted = [F.count("*").alias("searches")]
-    linked = [F.countDistinct("viewer").alias("viewers")]
-    frames = [users]
-    if averages:
-        # A search without views still counts once, one with m views m times. The plain
-        # sums hold every search once, so a viewed search adds m - 1: its views, and one
-        # row of -1.
-        once = known.select(
-            "search_id", F.lit(None).cast(known.schema[USER].dataType).alias("viewer"),
-            F.lit(-1).cast("bigint").alias("matches")).distinct()
-        matches = known.groupBy("search_id", viewer).agg(
-            F.count("*").alias("matches")).unionByName(once)
-        linked += [F.sum(F.col(c) * F.col("matches")).alias(f"more_{c}")
-                   for c in ("results", "counted")]
-        counted += [F.sum(c).alias(c) for c in ("results", "counted")]
-        frames.append(
-            searches.where(F.col("search_id").isNull()).groupBy(*segment).agg(
-                *[total.alias(f"unlinked_{c}")
-                  for c, total in zip(("results", "counted"), sums)]))
-    else:
-        matches = known.select("search_id", viewer).distinct()
-    frames.append(per_search.groupBy(*segment).agg(*counted))
-    frames.append(per_search.join(matches, "search_id").groupBy(*segment).agg(*linked))
-    result = combine(segment, frames).where(F.col("unique_searchers") >= min_searchers)
-
-    viewers = _or_zero("viewers")
-    columns = [*segment, "unique_searchers", viewers.alias("unique_viewers"),
-               _or_zero("searches").alias("total_searches")]
-    if averages:
-        results, count = (_or_zero(c) + _or_zero(f"unlinked_{c}") for c in ("results", "counted"))
-        columns += [
-            _mean(results + _or_zero("more_results"), count + _or_zero("more_counted"))
-            .alias("avg_results"),
-            _mean(results, count).alias("avg_results_unweighted"),
-        ]
-    return result.select(
-        *columns, pct(viewers, F.col("unique_searchers")).alias("conversion_rate"))
+    # Beside each view stands its search's marker, which is counted once however many there are.
+    matches = (
+        known.select("search_id", F.stack(
+            F.lit(2), person, F.lit(_VIEWER), F.lit(None).cast(searches.schema[USER].dataType),
+            F.lit(_NOBODY)).alias("person", "role"))
+        .groupBy("search_id", "person", "role").agg(F.count("*").alias("matches"))
+        .withColumn("weight", F.when(F.col("role") == _VIEWER, F.col("matches")).otherwise(-1))
+    )
+    linked = per_search.join(matches, "search_id").select(
+        *segment, "person", "role", F.lit(0).alias("searches"), "results", "counted", "weight")
+    once = per_search.select(
+        *segment, F.lit(None).cast(searches.schema[USER].dataType).alias("person"),
+        F.lit(_NOBODY).alias("role"), F.lit(1).alias("searches"),
+        "results", "counted", F.lit(0).alias("weight"))  # all columns: the same shuffle
+    own = F.col("role") == _SEARCHER
+    people = (
+        searched.unionByName(linked).unionByName(once)
+        .groupBy(*segment, "person")
+        .agg(
+            F.bit_or("role").alias("roles"), F.sum("searches").alias("searches"),
+            *[F.sum(F.col(c) * F.col("weight")).alias(c) for c in ("results", "counted")],
+            *[F.sum(F.when(own, F.col(c))).alias(f"plain_{c}") for c in ("results", "counted")])
+    )
+    somebody = F.col("person").isNotNull()
+    totals = people.groupBy(*segment).agg(
+        F.count_if(somebody & has("roles", _SEARCHER)).alias("unique_searchers"),
+        F.count_if(somebody & has("roles", _VIEWER)).alias("unique_viewers"),
+        F.sum("searches").alias("total_searches"),
+        _mean(F.sum("results"), F.sum("counted")).alias("avg_results"),
+        _mean(F.sum("plain_results"), F.sum("plain_counted")).alias("avg_results_unweighted"))
+    means = ["avg_results", "avg_results_unweighted"] if averages else []
+    return totals.where(F.col("unique_searchers") >= min_searchers).select(
+        *segment, "unique_searchers", "unique_viewers", "total_searches", *means,
+        pct(F.col("unique_viewers"), F.col("unique_searchers")).alias("conversion_rate"))
+
+
+_NOBODY, _SEARCHER, _VIEWER = 0, 1, 2
 
 
 def search_type_performance(searches: DataFrame, views: DataFrame) -> DataFrame:
@@ -165,31 +181,29 @@ def dma_performance(
 
 def monthly_trends(
     searches: DataFrame, views: DataFrame, reservations: DataFrame,
-    reservation_month: Column | None = None,
+    reservation_month: Column | None = None, months: range = MONTHS,
 ) -> DataFrame:
     """Users per stage and month; years fall together.
 
-    Here the segment is the join key, so each side is grouped by month on its own.
+    Here the segment is the join key, so no rows have to be joined: a user's months are bits
+    of one mask per stage, in one grouping by user, and search ids are one distinct set.
+    Months outside ``months`` are left out; a NULL month has a row of its own.
     """
     month = F.month("created_at") if reservation_month is None else reservation_month
     paid = F.col("successful_payment_collected_at").isNotNull()
-    searched = searches.groupBy("month").agg(
-        F.countDistinct(USER).alias("unique_searchers"),
-        F.countDistinct("search_id").alias("total_searches"),
-        F.round(F.avg("count_results"), 2).alias("avg_search_results"),
-    )
-    viewed = views.groupBy("month").agg(F.countDistinct(USER).alias("unique_viewers"))
-    reserved = reservations.groupBy(month.alias("month")).agg(
-        F.countDistinct(RENTER).alias("unique_reservers"),
-        F.countDistinct(F.when(paid, F.col(RENTER))).alias("unique_payers"),
-    )
+    users = _users_per_label(months, {
+        "unique_searchers": user_labels(searches, USER, F.col("month"), known=False),
+        "unique_viewers": user_labels(views, USER, F.col("month")),
+        "unique_reservers": user_labels(reservations, RENTER, month),
+        "unique_payers": user_labels(reservations.where(paid), RENTER, month),
+    })
+    volume = _searches_per_label(searches, F.col("month"), months)
     return (
-        searched.join(viewed, "month", "left")
-        .join(reserved, "month", "left")
-        .fillna(0, ["unique_viewers", "unique_reservers", "unique_payers"])
+        volume.join(users, volume["label"].eqNullSafe(users["place"] + months.start), "left")
+        .fillna(0, ["unique_searchers", "unique_viewers", "unique_reservers", "unique_payers"])
         .select(
-            "month", "unique_searchers", "unique_viewers", "unique_reservers", "unique_payers",
-            "total_searches", "avg_search_results",
+            F.col("label").alias("month"), "unique_searchers", "unique_viewers",
+            "unique_reservers", "unique_payers", "total_searches", "avg_search_results",
             pct_or_zero(F.col("unique_viewers"), F.col("unique_searchers"))
             .alias("search_to_view_rate"))
         .orderBy("month")
@@ -197,24 +211,66 @@ def monthly_trends(
 
 
 def hourly_patterns(cleaned_searches: DataFrame, cleaned_views: DataFrame) -> DataFrame:
-    """Searchers, viewers and searches per hour of the day."""
-    searched = cleaned_searches.groupBy("search_hour").agg(
-        F.countDistinct(USER).alias("unique_searchers"),
-        F.countDistinct("search_id").alias("total_searches"),
-    )
-    viewed = cleaned_views.groupBy(F.col("view_hour").alias("search_hour")).agg(
-        F.countDistinct(USER).alias("unique_viewers"))
+    """Searchers, viewers and searches per hour of the day; counted as the months are."""
+    users = _users_per_label(HOURS, {
+        "unique_searchers": user_labels(cleaned_searches, USER, F.col("search_hour"), False),
+        "unique_viewers": user_labels(cleaned_views, USER, F.col("view_hour")),
+    })
+    volume = _searches_per_label(cleaned_searches, F.col("search_hour"), HOURS)
     return (
-        searched.join(viewed, "search_hour", "left")
-        .fillna(0, ["unique_viewers"])
-        .withColumn("conversion_rate",
-                    pct(F.col("unique_viewers"), F.col("unique_searchers")))
+        volume.join(users, volume["label"].eqNullSafe(users["place"]), "left")
+        .fillna(0, ["unique_searchers", "unique_viewers"])
+        .select(F.col("label").alias("search_hour"), "unique_searchers", "total_searches",
+                "unique_viewers",
+                pct(F.col("unique_viewers"), F.col("unique_searchers")).alias("conversion_rate"))
         .orderBy("search_hour")
     )
 
 
-def _or_zero(name: str) -> Column:
-    return F.coalesce(name, F.lit(0))
+def user_labels(df: DataFrame, user: str, label: Column, known: bool = True) -> DataFrame:
+    """(user_id, label) of every row, or of those with a label."""
+    rows = df.select(F.col(user).alias("user_id"), label.alias("label"))
+    return rows.where(F.col("label").isNotNull()) if known else rows
+
+
+def _users_per_label(labels: range, sets: Mapping[str, DataFrame]) -> DataFrame:
+    """place and one count of distinct users per set, for each whole number of a list.
+
+    One grouping by user with one mask per set. A NULL label is place NULL.
+    """
+    numbers = D.number_dimension("label", labels)
+    if len(numbers.labels) >= D.WORD:
+        raise ValueError("a list of labels that fits in one mask, please")
+    # The last bit stands for no label.
+    none = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(len(numbers.labels)))
+    rows = [
+        users.where(F.col("user_id").isNotNull()).select("user_id", *[
+            (F.when(F.col("label").isNull(), none).otherwise(numbers.mask())
+             if name == own else F.lit(0).cast("bigint")).alias(own) for own in sets])
+        for name, users in sets.items()]
+    masks = reduce(DataFrame.unionByName, rows).groupBy("user_id").agg(
+        *[F.bit_or(name).alias(name) for name in sets])
+    present = reduce(lambda a, b: a.bitwiseOR(b), [F.col(name) for name in sets])
+    bits = F.filter(F.sequence(F.lit(0), F.lit(len(numbers.labels))),
+                    lambda i: F.getbit(F.col("present"), i) == 1)
+    inside = {name: F.getbit(F.col(name), F.col("bit")) == 1 for name in sets}
+    return (
+        masks.withColumn("present", present)
+        .select(*sets, F.explode(bits).alias("bit"))
+        .groupBy("bit").agg(*[F.count_if(i).alias(name) for name, i in inside.items()])
+        .select(F.when(F.col("bit") < len(numbers.labels), F.col("bit")).alias("place"), *sets)
+    )
+
+
+def _searches_per_label(searches: DataFrame, label: Column, labels: range) -> DataFrame:
+    """label, distinct searches and mean number of results, from one row per search id."""
+    inside = searches.where(F.coalesce(label.between(labels.start, labels[-1]), F.lit(True)))
+    per_search = inside.groupBy(label.alias("label"), "search_id").agg(
+        F.sum(F.col("count_results").cast("bigint")).alias("results"),
+        F.count("count_results").alias("counted"))
+    return per_search.groupBy("label").agg(
+        F.count("search_id").alias("total_searches"),
+        _mean(F.sum("results"), F.sum("counted")).alias("avg_search_results"))
 
 
 def _mean(total: Column, count: Column) -> Column:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.functions import pct_or_zero
-from stagewise.operators.combine import combine
-from stagewise.operators.dimensions import Dimension, listing_dimensions, unfold
+from stagewise.operators.dimensions import Dimension, listing_dimensions
 
 MIN_VIEWS = 50
 MIN_TOP_VIEWS = 10
@@ -50,88 +49,97 @@ def listing_segment_conversion(
 ) -> DataFrame:
     """Views per segment against all reservations of the listings seen in it.
 
-    Closed dimensions are one bit mask each in a grouping by listing, and their views are
-    counted per combination of labels. Open ones are counted per (dimension, segment,
-    listing). All combine on the map side, so a listing that holds a large part of all
-    views is a few rows by the time it meets the reservation counts.
+    Closed dimensions take one grouping by listing that counts the views of each label in a
+    column of its own; open ones a grouping by listing and value. Both combine on the map side,
+    so a listing that holds a large part of all views is a few rows by the time it meets the
+    reservation counts, and all totals are added up from these rows.
     """
     picked = listing_dimensions() if dimensions is None else dimensions
     booked = reservations_per_listing(reservations)
-    closed, opened = [d for d in picked if d.closed], [d for d in picked if not d.closed]
-    opened += [o for d in closed for o in d.outside()]
-    parts = []
+    closed, opened = _columnar(picked)
+    cells = []
     if closed:
-        parts.append(_closed_views(views, closed, booked))
+        cells.append(_label_cells(views, closed))
     if opened:
-        parts.append(_open_views(views, opened, booked))
+        cells.append(_value_cells(views, opened, len(closed)))
+    names = F.array(*[F.lit(d.name) for d in (*closed, *opened)])
+    labels = F.array(*[d.label_array() for d in closed], F.array(F.lit("")))
+    counted = [
+        part.join(booked, "listing_id", "left")
+        .select("listing_id", "total_reservations", spread)
+        .select("listing_id", "total_reservations", "number", "place", "segment", "views")
+        .where("views > 0")
+        .groupBy("number", "place", "segment")
+        .agg(
+            F.sum("views").alias("total_views"),
+            F.coalesce(F.sum("total_reservations"), F.lit(0)).alias("total_reservations"),
+            F.count("listing_id").alias("unique_listings"),
+            F.count("total_reservations").alias("reserved_listings"),
+        )
+        for part, spread in cells
+    ]
     result = (
-        reduce(DataFrame.unionByName, parts)
+        reduce(DataFrame.unionByName, counted)
         .where(F.col("total_views") >= min_views)
-        .withColumns({
-            "conversion_rate": pct_or_zero(F.col("total_reservations"), F.col("total_views")),
-            "listing_reservation_rate": pct_or_zero(
-                F.col("reserved_listings"), F.col("unique_listings")),
-        })
+        .select(
+            F.get(names, F.col("number")).alias("dimension"),
+            F.coalesce("segment", F.get(F.get(labels, F.col("number")), F.col("place")))
+            .alias("segment"),
+            "total_views", "total_reservations", "unique_listings", "reserved_listings",
+            pct_or_zero(F.col("total_reservations"), F.col("total_views"))
+            .alias("conversion_rate"),
+            pct_or_zero(F.col("reserved_listings"), F.col("unique_listings"))
+            .alias("listing_reservation_rate"))
     )
     return result.orderBy(
         "dimension", F.desc("conversion_rate"), "segment") if ordered else result
 
 
-def _closed_views(
-    views: DataFrame, closed: Sequence[Dimension], booked: DataFrame
-) -> DataFrame:
-    keys = ["dimension", "segment"]
-    places = [c for i, d in enumerate(closed) for c in (F.lit(i), d.index().cast("int"))]
-    names = F.array(*[F.lit(d.name) for d in closed])
-    labels = F.array(*[d.label_array() for d in closed])
-    # One row per label leaves a task, whatever the combinations of labels.
-    totals = (
-        views.select(F.stack(F.lit(len(closed)), *places).alias("number", "place"))
-        .groupBy("number", "place").agg(F.count("*").alias("total_views"))
-        .select(F.get(names, F.col("number")).alias("dimension"),
-                F.get(F.get(labels, F.col("number")), F.col("place")).alias("segment"),
-                "total_views")
-        .where(F.col("segment").isNotNull())
-    )
-    words = [w for d in closed for w in d.words()]
-    masks = [f"m_{w.name}_{w.word}" for w in words]
+def _label_cells(views: DataFrame, closed: Sequence[Dimension]) -> tuple[DataFrame, Column]:
+    """A row per listing with a count per label, and the expression that makes rows of them."""
+    labels = [(i, place) for i, d in enumerate(closed) for place in range(len(d.labels))]
     per_listing = (
-        views.where(F.col("listing_id").isNotNull())
+        views.select("listing_id", *[d.index().cast("int").alias(f"p{i}")
+                                     for i, d in enumerate(closed)])
         .groupBy("listing_id")
-        .agg(*[F.bit_or(w.mask()).alias(m) for w, m in zip(words, masks)])
-        .join(booked, "listing_id", "left")
-    )
-    seen = unfold(per_listing, words, [F.col(m) for m in masks], ["total_reservations"])
-    listed = seen.groupBy(*keys).agg(
-        F.sum("total_reservations").alias("total_reservations"),
-        F.count("*").alias("unique_listings"),
-        F.count("total_reservations").alias("reserved_listings"),
+        # As text: one call for a label, where columns would take five.
+        .agg(*[F.expr(f"count_if(p{i} = {place}) AS c{i}_{place}") for i, place in labels])
     )
-    return combine(keys, [totals, listed]).fillna(
-        0, ["total_reservations", "unique_listings", "reserved_listings"])
-
-
-def _open_views(views: DataFrame, opened: Sequence[Dimension], booked: DataFrame) -> DataFrame:
-    values = [c for i, d in enumerate(opened) for c in (F.lit(i).cast("tinyint"), d.column())]
-    per_listing = (
-        views.select("listing_id", F.stack(F.lit(len(opened)), *values)
-                     .alias("number", "segment"))
+    rows = ", ".join(f"{i}, {place}, CAST(NULL AS STRING), c{i}_{place}" for i, place in labels)
+    return per_listing, F.expr(
+        f"stack({len(labels)}, {rows}) AS (number, place, segment, views)")
+
+
+def _value_cells(
+    views: DataFrame, opened: Sequence[Dimension], first: int
+) -> tuple[DataFrame, Column]:
+    """A row per listing and value; the numbers of the dimensions begin at ``first``."""
+    values = [c for i, d in enumerate(opened, first) for c in (F.lit(i), d.column())]
+    per_value = (
+        views.select("listing_id", F.stack(F.lit(len(opened)), *values).alias("number", "segment"))
         .where(F.col("segment").isNotNull())
-        .groupBy("number", "segment", "listing_id").agg(F.count("*").alias("views"))
-        .join(booked, "listing_id", "left")
-    )
-    names = F.array(*[F.lit(d.name) for d in opened])
-    return (
-        per_listing.groupBy("number", "segment")
-        .agg(
-            F.sum("views").alias("total_views"),
-            F.coalesce(F.sum("total_reservations"), F.lit(0)).alias("total_reservations"),
-            F.count("listing_id").alias("unique_listings"),
-            F.count("total_reservations").alias("reserved_listings"),
-        )
-        .withColumn("dimension", F.get(names, F.col("number")))
-        .drop("number")
+        .groupBy("listing_id", "number", "segment").agg(F.count("*").alias("views"))
     )
+    return per_value, F.inline(F.array(F.struct(
+        F.col("number").alias("number"), F.lit(None).cast("int").alias("place"),
+        F.col("segment").alias("segment"), F.col("views").alias("views"))))
+
+
+#: Labels that are counted in columns, in all.
+WIDE = 80
+
+
+def _columnar(picked: Sequence[Dimension]) -> tuple[list[Dimension], list[Dimension]]:
+    """The closed dimensions whose labels fit into columns, and the others as open ones."""
+    closed, opened, used = [], [], 0
+    for d in picked:
+        if d.closed and used + len(d.labels) <= WIDE:
+            closed.append(d)
+            used += len(d.labels)
+        else:
+            opened.append(Dimension(d.name, d.column) if d.closed else d)
+        opened += d.outside()
+    return closed, opened
 
 
 def high_volume_listings(

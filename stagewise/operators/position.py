@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.functions import pct_or_zero, range_label
@@ -21,7 +21,7 @@ def position_conversion(views: DataFrame, reservations: DataFrame,
     """Clickers per position and how many of them ever reserved, positions 1 to ``last``."""
     by_position = spine_conversion(
         views, D.position_dimension(last), [renters(reservations)], users="total_clickers")
-    return _numbered(by_position).orderBy("search_position")
+    return numbered(by_position).orderBy("search_position")
 
 
 def position_funnel(searches: DataFrame, views: DataFrame, reservations: DataFrame,
@@ -31,7 +31,7 @@ def position_funnel(searches: DataFrame, views: DataFrame, reservations: DataFra
         views, D.position_dimension(last), [user_ids(searches), renters(reservations)],
         "total_users", "converting_users")
     return (
-        _numbered(by_position)
+        numbered(by_position)
         .select(F.concat(F.lit("Position "), F.col("search_position").cast("string"))
                 .alias("characteristic"),
                 "total_users", "converting_users", "conversion_rate")
@@ -147,41 +147,57 @@ def sort_conversion(searches: DataFrame, views: DataFrame) -> DataFrame:
 
     Views count whether or not a bot made them. ``overall_rate`` is over the users of
     any sort order.
+
+    Searches and views are one list, grouped by user and sort order (none for a view). What
+    is left of a user are as many rows as there are sort orders, over which a window looks
+    for a view; the rate over all users is added up from each user's first row.
     """
-    sorted_searches = searches.where(F.col("search_sort").isNotNull())
-    per_user = sorted_searches.groupBy("search_sort", USER).agg(
-        F.count("*").alias("searches"),
-        F.sum(F.col("count_results").cast("bigint")).alias("results"),
-        F.count("count_results").alias("counted"),
-    )
-    viewers = user_ids(views).distinct().select(
-        F.col(USER_ID).alias(USER), F.lit(True).alias("viewed"))
-    overall = (
-        sorted_searches.where(F.col(USER).isNotNull()).select(USER).distinct()
-        .join(viewers, USER, "left")
-        .agg(pct_or_zero(F.count("viewed"), F.count("*")).alias("rate"))
+    of_user = Window.partitionBy(USER)
+    listed = searches.where(F.col("search_sort").isNotNull()).select(
+        USER, "search_sort", F.lit(1).alias("searches"),
+        F.col("count_results").cast("bigint").alias("results"),
+        F.col("count_results").isNotNull().cast("bigint").alias("counted"), F.lit(0).alias("viewed"))
+    seen = views.where(F.col(USER).isNotNull()).select(
+        F.col(USER), F.lit(None).cast("string").alias("search_sort"), F.lit(0).alias("searches"),
+        F.lit(None).cast("bigint").alias("results"), F.lit(0).cast("bigint").alias("counted"),
+        F.lit(1).alias("viewed"))
+    profile = (
+        listed.unionByName(seen).groupBy(USER, "search_sort").agg(
+            *[F.sum(c).alias(c) for c in ("searches", "results", "counted")],
+            F.max("viewed").alias("viewed"))
+        .withColumns({
+            "viewed": F.max("viewed").over(of_user) == 1,
+            "first": F.row_number().over(of_user.orderBy(F.col("search_sort").asc_nulls_last())) == 1,
+        })
+        .where("search_sort is not null")
     )
+    somebody = F.col(USER).isNotNull()
     users, converting = F.col("total_users"), F.col("converting_users")
+    # One row per sort order: a window without partitions is safe here.
+    everyone = Window.partitionBy()
     return (
-        per_user.join(viewers, USER, "left")
-        .groupBy("search_sort")
+        profile.groupBy("search_sort")
         .agg(
             F.count(USER).alias("total_users"),
-            F.count("viewed").alias("converting_users"),
+            F.count_if(somebody & F.col("viewed")).alias("converting_users"),
             F.sum("searches").alias("total_searches"),
             F.try_divide(F.sum("results").cast("double"), F.sum("counted"))
             .alias("avg_results"),
+            F.count_if(somebody & F.col("first")).alias("people"),
+            F.count_if(somebody & F.col("first") & F.col("viewed")).alias("viewers"),
         )
         .withColumns({
             "conversion_rate": pct_or_zero(converting, users),
             "avg_searches_per_user": _ratio(F.col("total_searches"), users),
-            "overall_rate": overall.scalar(),
+            "overall_rate": pct_or_zero(F.sum("viewers").over(everyone), F.sum("people").over(everyone)),
         })
+        .drop("people", "viewers")
         .orderBy(F.desc("conversion_rate"), "search_sort")
     )
 
 
-def _numbered(by_position: DataFrame) -> DataFrame:
+def numbered(by_position: DataFrame) -> DataFrame:
+    """Positions as numbers instead of labels."""
     return by_position.drop("search_position_order").withColumn(
         "search_position", F.col("search_position").cast("int"))
 

@@ -8,6 +8,7 @@ neither add up nor average to the overall rate.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from stagewise.functions.labels import HOST_LABELS
 from stagewise.functions.times import WEEKEND
 from stagewise.operators import dimensions as D
 from stagewise.operators.dimensions import Dimension
-from stagewise.operators.users import USER_ID, in_all, renters, user_ids
+from stagewise.operators.users import USER_ID, renters, user_ids
 from stagewise.schemas import USER
 
 # Read from the profile of a user, not from an event.
@@ -53,9 +54,7 @@ def segment_conversion(
     ``never_clicked`` the others. ``min_users`` is a minimum for all dimensions or one
     per dimension name, with none for a dimension that is not named. ``frequency`` adds the bins of the user's number of events.
 
-    Closed dimensions cost one grouping by user. Open ones cost a distinct over
-    (dimension, segment, user) and a join with the converted users; after the distinct a
-    user has one row per segment, and adaptive execution splits a user that is still hot.
+    The counts are those of :func:`population`.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {sorted(METRICS)}")
@@ -64,15 +63,9 @@ def segment_conversion(
     names = {d.name for d in dimensions} | ({SEARCH_FREQUENCY.name} if frequency else set())
     if not isinstance(min_users, int) and set(min_users) - names:
         raise ValueError(f"min_users names no dimension: {sorted(set(min_users) - names)}")
-    closed = [d for d in dimensions if d.closed and null_segment == "drop"]
-    opened = [d for d in dimensions if d not in closed]
-    opened += [o for d in closed for o in d.outside()]
-    parts = []
-    if closed or frequency:
-        parts.append(_closed_segments(events, closed, evidence, frequency))
-    if opened:
-        parts.append(_open_segments(events, opened, evidence, null_segment))
-    counts = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    sets = {str(i): users for i, users in enumerate(evidence)}
+    counts = population(events, dimensions, sets, {"hits": tuple(sets)}, frequency,
+                        null_segment).withColumnRenamed("users", "total_searchers")
 
     count_name, rate_name = METRICS[metric]
     total = F.col("total_searchers")
@@ -85,6 +78,147 @@ def segment_conversion(
     return result.orderBy("dimension", F.desc(rate_name), "segment") if ordered else result
 
 
+def population(
+    events: DataFrame,
+    dimensions: Sequence[Dimension],
+    evidence: Mapping[str | tuple[str, ...], DataFrame],
+    hits: Mapping[str, Sequence[str]],
+    frequency: bool = False,
+    null_segment: str = "drop",
+) -> DataFrame:
+    """Users, events and hits per segment of any number of dimensions, from one pass.
+
+    ``evidence`` names user sets, or under several names a frame with one flag for each;
+    ``hits`` names counts, each of the users that are in all the sets listed for it. The result has columns dimension, segment, place (of the label in a
+    closed dimension), users, events (in an open one) and one per count.
+
+    Events and evidence meet in one union and one grouping: a user's row holds the label masks
+    of closed dimensions, the number of events and the sets the user is in; beside it stands a
+    row for each of the user's values in open dimensions. Both come from the same shuffle, in
+    which a user with a large part of all events is one row per task and value. The values
+    then meet the user's row in a join that adaptive execution can split.
+    """
+    closed = [d for d in dimensions if d.closed and null_segment == "drop"]
+    opened = [d for d in dimensions if d not in closed]
+    opened += [o for d in closed for o in d.outside()]
+    words = [w for d in closed for w in d.words()]
+    masks = [_mask(w) for w in words]
+    grouped = _user_rows(events, words, masks, opened, evidence, null_segment)
+    bits = _bits(evidence)
+    counted = [
+        ((F.col("seen").bitwiseAND(F.lit(need)) == need).alias(name))
+        for name, need in ((n, sum(bits[e] for e in names)) for n, names in hits.items())]
+    users = grouped.where((F.col("kind") == _PERSON) & (F.col("events") > 0)) if opened \
+        else grouped.where("events > 0")
+    columns = ["dimension", "segment", "place", "users", "events", *hits]
+    parts = []
+    if words or frequency:
+        labelled, labels = list(words), [F.col(m) for m in masks]
+        if frequency:
+            labelled.append(SEARCH_FREQUENCY)
+            labels.append(SEARCH_FREQUENCY.mask())
+        profile = users.select("events", *masks, *counted)
+        parts.append(
+            D.unfold(profile, labelled, labels, list(hits))
+            .groupBy("dimension", "segment", "place")
+            .agg(F.count("*").alias("users"), *[F.count_if(h).alias(h) for h in hits])
+            .withColumn("events", F.lit(None).cast("bigint")).select(*columns))
+    if opened:
+        # The conditions name every column, so that both sides keep the same shuffle.
+        blank = [F.col(m).isNull() for m in masks] + [F.col("seen") >= 0, F.col("events") >= 0]
+        filled = [F.col(m).isNotNull() for m in masks] + [F.col("events") >= 0]
+        values = grouped.where(_every(F.col("kind") >= 0, blank)).select(
+            USER_ID, "number", "segment", "events")
+        people = users.where(_every(F.lit(True), filled)).select(USER_ID, *counted)
+        names = F.array(*[F.lit(d.name) for d in opened])
+        parts.append(
+            values.join(people, USER_ID)
+            .groupBy("number", "segment")
+            .agg(F.count("*").alias("users"), F.sum("events").alias("events"),
+                 *[F.count_if(h).alias(h) for h in hits])
+            .withColumns({"dimension": F.get(names, F.col("number")),
+                          "place": F.lit(None).cast("int")})
+            .select(*columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
+_PERSON = -1
+
+
+def _bits(evidence: Mapping[str | tuple[str, ...], DataFrame]) -> dict[str, int]:
+    names = [n for key in evidence for n in ((key,) if isinstance(key, str) else key)]
+    return {name: 1 << i for i, name in enumerate(names)}
+
+
+def spined(long: DataFrame, dimension: Dimension, hit: str, users: str = "total_searchers",
+           hits: str = "funnel_users", name: str | None = None) -> DataFrame:
+    """One closed dimension cut from a :func:`population`, zeros for labels without users;
+    as :func:`spine_conversion` gives it."""
+    name = name or dimension.name
+    spine = long.sparkSession.range(1).select(
+        F.posexplode(dimension.label_array()).alias("place", name))
+    found = long.where(F.col("dimension") == dimension.name).select("place", "users", hit)
+    counts = {users: F.coalesce("users", F.lit(0)), hits: F.coalesce(hit, F.lit(0))}
+    return spine.join(found, "place", "left").select(
+        name, (F.col("place") + 1).alias(f"{name}_order"),
+        *[c.alias(n) for n, c in counts.items()],
+        pct_or_zero(counts[hits], counts[users]).alias("conversion_rate"))
+
+
+def cut(long: DataFrame, dimension: Dimension, hit: str) -> DataFrame:
+    """One dimension of a :func:`population`, as :func:`single_dimension` gives it."""
+    return (
+        long.where(F.col("dimension") == dimension.name)
+        .select(F.col("segment").alias(dimension.name), F.col("users").alias("total_searchers"),
+                F.col(hit).alias("funnel_users"),
+                pct_or_zero(F.col(hit), F.col("users")).alias("conversion_rate"))
+        .orderBy("conversion_rate", dimension.name)
+    )
+
+
+def _every(first: Column, more: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a & b, more, first)
+
+
+def _user_rows(
+    events: DataFrame, words: Sequence[Dimension], masks: Sequence[str],
+    opened: Sequence[Dimension], evidence: Mapping[str, DataFrame], null_segment: str,
+) -> DataFrame:
+    """One row per user, and with open dimensions one more per user and value."""
+    rows = events.where(F.col(USER).isNotNull())
+    user, none = F.col(USER).alias(USER_ID), F.lit(None)
+    own = [w.mask().alias(m) for w, m in zip(words, masks)]
+    keys = [USER_ID]
+    if opened:
+        keys += ["number", "segment"]
+        values = [c for i, d in enumerate(opened) for c in (F.lit(i).cast("tinyint"), d.column())]
+        rows = rows.select(user, *own, F.stack(
+            F.lit(len(opened) + 1), F.lit(_PERSON).cast("tinyint"), none.cast("string"), *values)
+            .alias("number", "segment"))
+        person = F.col("number") == _PERSON
+        if null_segment == "drop":
+            rows = rows.where(person | F.col("segment").isNotNull())
+        rows = rows.select(*keys, *[F.when(person, F.col(m)).alias(m) for m in masks])
+    else:
+        rows = rows.select(user, *own)
+    rows = rows.withColumns({"events": F.lit(1), "seen": F.lit(0)})
+    bits = _bits(evidence)
+    for names, users in evidence.items():
+        seen = F.lit(bits[names]) if isinstance(names, str) else reduce(
+            lambda a, b: a + b, [F.when(F.col(n), bits[n]).otherwise(0) for n in names])
+        rows = rows.unionByName(users.select(
+            USER_ID,
+            *([F.lit(_PERSON).cast("tinyint").alias("number"),
+               none.cast("string").alias("segment")] if opened else []),
+            *[F.lit(0).cast("bigint").alias(m) for m in masks],
+            F.lit(0).alias("events"), seen.alias("seen")))
+    # As an aggregate, the kind of a row is no reason to read the facts again for each kind.
+    kind = [F.max("number").alias("kind")] if opened else []
+    return rows.groupBy(*keys).agg(
+        *kind, F.sum("events").alias("events"), F.bit_or("seen").alias("seen"),
+        *[F.bit_or(m).alias(m) for m in masks])
+
+
 def search_characteristics(
     searches: DataFrame, views: DataFrame, reservations: DataFrame,
     months: range = D.MONTHS, **options,
@@ -193,9 +327,13 @@ def monthly_conversion(
     months: range = D.MONTHS,
 ) -> DataFrame:
     """Conversion per month that has searchers, each placed against the mean of the months."""
-    by_month = spine_conversion(
-        searches, D.month_dimension(months), full_funnel(views, reservations)
-    ).where("total_searchers > 0")
+    return against_mean(spine_conversion(
+        searches, D.month_dimension(months), full_funnel(views, reservations)))
+
+
+def against_mean(by_month: DataFrame) -> DataFrame:
+    """The months that have searchers, each placed against the mean of their rates."""
+    by_month = by_month.where("total_searchers > 0")
     rate = F.col("conversion_rate")
     # One row per month: a window without partitions is safe here.
     return (
@@ -212,7 +350,11 @@ def monthly_conversion(
 
 def host_conversion(searches: DataFrame, views: DataFrame, reservations: DataFrame) -> DataFrame:
     """Hosts against non-hosts with their share of the sum of both groups' searchers."""
-    by_type = spine_conversion(searches, D.USER_TYPE, full_funnel(views, reservations))
+    return with_market_share(
+        spine_conversion(searches, D.USER_TYPE, full_funnel(views, reservations)))
+
+
+def with_market_share(by_type: DataFrame) -> DataFrame:
     total = F.sum("total_searchers").over(Window.partitionBy())
     return by_type.withColumn(
         "market_share", pct_or_zero(F.col("total_searchers"), total)
@@ -259,10 +401,14 @@ def single_dimension(
 
 
 def _two_sided(searches, dimension, views, reservations) -> DataFrame:
+    return ranked(spine_conversion(searches, dimension, full_funnel(views, reservations),
+                                   "total_users", "converting_users"), dimension)
+
+
+def ranked(by_label: DataFrame, dimension: Dimension) -> DataFrame:
+    """The labels of a dimension as characteristics, best rate first."""
     return (
-        spine_conversion(searches, dimension, full_funnel(views, reservations),
-                         "total_users", "converting_users")
-        .drop(f"{dimension.name}_order")
+        by_label.drop(f"{dimension.name}_order")
         .withColumnRenamed(dimension.name, "characteristic")
         .orderBy(F.desc("conversion_rate"), "characteristic")
     )
@@ -298,48 +444,6 @@ def _profile(
     )
 
 
-def _closed_segments(
-    events: DataFrame, closed: Sequence[Dimension], evidence: Sequence[DataFrame], frequency: bool
-) -> DataFrame:
-    closed = [w for d in closed for w in d.words()]
-    profile = _profile(events, closed, evidence)
-    masks = [F.col(_mask(d)) for d in closed]
-    if frequency:
-        closed = [*closed, SEARCH_FREQUENCY]
-        masks.append(SEARCH_FREQUENCY.mask())
-    return (
-        D.unfold(profile, closed, masks, ["hit"])
-        .groupBy("dimension", "segment")
-        .agg(F.count("*").alias("total_searchers"), F.count_if("hit").alias("hits"))
-    )
-
-
-def _open_segments(
-    events: DataFrame, opened: Sequence[Dimension], evidence: Sequence[DataFrame],
-    null_segment: str,
-) -> DataFrame:
-    """Distinct (segment, user) pairs of every dimension against the converted users.
-
-    The pairs carry the number of their dimension, its name is put back at the end.
-    """
-    values = [c for i, d in enumerate(opened) for c in (F.lit(i).cast("tinyint"), d.column())]
-    pairs = events.where(F.col(USER).isNotNull()).select(
-        F.col(USER).alias(USER_ID),
-        F.stack(F.lit(len(opened)), *values).alias("number", "segment"))
-    if null_segment == "drop":
-        pairs = pairs.where(F.col("segment").isNotNull())
-    hits = in_all(evidence).withColumn("hit", F.lit(True))
-    names = F.array(*[F.lit(d.name) for d in opened])
-    return (
-        pairs.distinct()
-        .join(hits, USER_ID, "left")
-        .groupBy("number", "segment")
-        .agg(F.count("*").alias("total_searchers"), F.count_if("hit").alias("hits"))
-        .select(F.get(names, F.col("number")).alias("dimension"), "segment",
-                "total_searchers", "hits")
-    )
-
-
 def _minimum(min_users: int | Mapping[str, int]) -> Column:
     if isinstance(min_users, int):
         return F.lit(min_users)

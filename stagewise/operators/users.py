@@ -30,24 +30,6 @@ def renters(reservations: DataFrame) -> DataFrame:
     return user_ids(reservations, RENTER)
 
 
-def with_mapped_renters(reservations: DataFrame, identity_map: DataFrame) -> DataFrame:
-    """Reservations whose renter is named by the id that searches and views use.
-
-    The ``user_id`` of the map is replaced by its ``merged_amplitude_id``; reservations of
-    unmapped renters drop out.
-    """
-    pairs = (
-        identity_map.select(USER, F.col("user_id").alias(RENTER))
-        .where(F.col(USER).isNotNull())
-        .distinct()
-    )
-    return (
-        reservations.join(pairs, RENTER)
-        .drop(RENTER)
-        .withColumnRenamed(USER, RENTER)
-    )
-
-
 def in_all(sets: Sequence[DataFrame]) -> DataFrame:
     """Distinct users that occur in every one of ``sets``."""
     if len(sets) == 1:

@@ -71,7 +71,7 @@ def test_flags_in_every_spelling(spark):
         "is_bot string, is_host int")
     got = ingest.normalize_flags(df, ["is_bot", "is_host", "absent"]).collect()
     assert [r.is_bot for r in got] == [True, False, True, False, None, None, None]
-    assert [r.is_host for r in got] == [True, False, None, True, False, True, False]
+    assert [r.is_host for r in got] == [True, False, None, True, False, None, False]
 
 
 def test_table_sinks(spark, tmp_path):
@@ -111,3 +111,70 @@ def test_bundle_is_written_by_name(spark, tmp_path):
 
 def test_schemas_name_every_source_column():
     assert [len(s.fields) for s in TABLES.values()] == [34, 28, 9, 2]
+
+
+def test_rejected_cells_are_listed(spark, tmp_path):
+    path = tmp_path / "searches.csv"
+    path.write_text(SEARCH_CSV + "u5,s5,2,False,1.5,x,2024-01-02 00:00:00,soon,13.0\nu6,s6,0\n")
+    typed, rejected = ingest.read_checked_csv(spark, str(path), SEARCH_EVENTS, "merged_amplitude_id")
+    assert typed.schema == SEARCH_EVENTS and typed.count() == 6
+    assert {tuple(r) for r in rejected.collect()} == {
+        ("u3", "is_host", "maybe", "not a flag"),
+        ("u3", "count_results", "x", "not a whole number"),
+        ("u3", "event_time", "not a time", "not a time"),
+        ("u5", "is_bot", "2", "not a flag"),
+        ("u5", "count_results", "1.5", "not a whole number"),
+        ("u5", "event_date", "soon", "not a date"),
+        ("u6", ingest.CORRUPT, "u6,s6,0", "wrong number of cells")}
+    # Only what the typed table lost is listed, whatever the types of the source.
+    numbers = spark.createDataFrame([("a", 2), ("b", 1), ("c", None)], "event_uuid string, is_bot int")
+    assert [tuple(r) for r in ingest.rejects(numbers, SEARCH_EVENTS, "event_uuid").collect()] == [
+        ("a", "is_bot", "2", "not a flag")]
+    assert ingest.rejects(numbers.limit(0), SEARCH_EVENTS, "event_uuid").collect() == []
+
+
+def test_lines_of_text_are_parsed_like_files(spark):
+    lines = spark.createDataFrame([('u1,"a, ""b""",',), ("u2,x",), ("u3,x,y,z",), (None,)], "value string")
+    got = ingest.parse_lines(lines, ["u", "t", "e"]).collect()
+    assert [(r.u, r.t, r.e) for r in got[:1]] == [("u1", 'a, "b"', None)]
+    assert [r[ingest.CORRUPT] for r in got[:3]] == [None, "u2,x", "u3,x,y,z"]
+
+
+def failing(df):
+    return df.select(F.assert_true(F.col("id") < 0).alias("x"))
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    tables.replace_table(spark.range(3), path)
+    with pytest.raises(Exception):
+        tables.replace_table(failing(spark.range(9)), path)
+    assert tables.read_table(spark, path).count() == 3
+    assert [p for p in os.listdir(tmp_path) if not p.startswith(".")] == ["table"]
+
+
+def test_a_table_may_replace_itself(spark, tmp_path):
+    path = str(tmp_path / "table")
+    tables.replace_table(spark.range(6), path)
+    tables.replace_table(tables.read_table(spark, path, where="id % 2 = 0"), path)
+    assert sorted(r.id for r in tables.read_table(spark, path).collect()) == [0, 2, 4]
+
+
+def test_a_half_loaded_table_is_loaded_again(spark, tmp_path):
+    path = str(tmp_path / "table")
+    with pytest.raises(Exception):
+        tables.load_once(failing(spark.range(9)), path)
+    spark.range(2).write.parquet(path)
+    os.remove(os.path.join(path, tables.MARKER))
+    assert not tables.is_complete(spark, path)
+    assert tables.load_once(spark.range(5), path)
+    assert not tables.load_once(spark.range(9), path)
+    assert tables.read_table(spark, path).count() == 5
+
+
+def test_a_switch_that_was_cut_off_is_undone(spark, tmp_path):
+    path = str(tmp_path / "table")
+    tables.replace_table(spark.range(4), path)
+    tables._rename(tables._folder(spark, path)[0], spark, path, path + tables.REPLACED)
+    assert not tables.load_once(spark.range(9), path)
+    assert tables.read_table(spark, path).count() == 4

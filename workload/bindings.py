@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stagewise.schemas import RENTER, USER
 from stagewise.sources.ingest import normalize_flags
@@ -31,8 +32,15 @@ _REGION = {"first_attribution_channel", "is_usa_canada", "hex_1_resolution"}
 _PART = {"search_term", "search_term_category"}
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    """A driver table; its schema is looked up once, which is a job of its own."""
+    path = f"{folder}/{table}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def search_events(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -61,6 +69,70 @@ def identity_map(spark: SparkSession, folder: str) -> DataFrame:
     return customer.select(F.col("c_custkey").alias(USER), F.col("c_custkey").alias("user_id"))
 
 
+def account_map(spark: SparkSession, folder: str) -> DataFrame:
+    """A map that is not the identity: every seventh searcher has no account, the others have
+    two, and every eleventh shares the first one with the next searcher."""
+    key = F.col("c_custkey")
+    customer = read(spark, folder, "customer")
+    known, shared = key % 7 != 3, key % 11 == 0
+    accounts = F.array(
+        F.when(known, F.struct(key.alias("searcher"), (key + FIRST).alias("account"))),
+        F.when(known, F.struct(key.alias("searcher"), (key + SECOND).alias("account"))),
+        F.when(shared, F.struct((key + 1).alias("searcher"), (key + FIRST).alias("account"))))
+    return customer.select(F.inline(F.filter(accounts, lambda a: a.isNotNull()))).select(
+        F.col("searcher").alias(USER), F.col("account").alias("user_id"))
+
+
+FIRST, SECOND = 1_000_000_000, 2_000_000_000
+
+
+def account_reservations(spark: SparkSession, folder: str) -> DataFrame:
+    """Reservations under the account they were made with."""
+    rows = reservations(spark, folder)
+    return rows.withColumn(RENTER, F.col(RENTER) + F.when(
+        F.col("listing_id") % 2 == 0, F.lit(FIRST)).otherwise(F.lit(SECOND)))
+
+
+SEARCH_LINE = ("event_uuid", USER, "is_bot", "is_host", "count_results", "search_term",
+               "event_time", "event_date", "month")
+RESERVATION_LINE = ("reservation_id", RENTER, "created_at", "approved_at",
+                    "successful_payment_collected_at")
+# Spellings of flags and of cells that are none.
+FLAG_SPELLINGS = ("True", "False", "0", "1", "t", "no", "2", "")
+NO_TIME = "yesterday"
+
+
+def search_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Searches as lines of a CSV extract, with gaps, quotes and cells that are malformed."""
+    rows = _events(spark, folder, F.col("event_type") == "view")
+    k, ts = F.col("k"), F.col("ts")
+    count = (F.when(k % 6 == 0, "").when(k % 6 == 1, k.cast("string"))
+             .when(k % 6 == 2, F.concat(k.cast("string"), F.lit(".0")))
+             .when(k % 6 == 3, F.concat(k.cast("string"), F.lit(".5")))
+             .when(k % 6 == 4, "many").otherwise((k * 3).cast("string")))
+    term = F.when(k % 4 == 0, F.lit('"sea, view"')).when(k % 4 == 1, F.lit('"the ""old"" town"')) \
+        .when(k % 4 == 2, "").otherwise(F.lit("plain"))
+    time = F.when(k % 9 == 0, F.lit(NO_TIME)).when(
+        k % 2 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(
+        F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+    day = F.when(k % 10 == 7, F.lit("someday")).otherwise(F.date_format(ts, "yyyy-MM-dd"))
+    cells = [F.col("event_id").cast("string"), F.col("user_id").cast("string"),
+             _pick(FLAG_SPELLINGS, 8), _flag_text(k % 3 == 0), count, term, time, day,
+             F.dayofmonth(ts).cast("string")]
+    extra = F.when(k % 23 == 5, F.lit(",one too many")).otherwise("")
+    return rows.select(F.concat(F.concat_ws(",", *cells), extra).alias("value"))
+
+
+def reservation_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Order reservations as lines of a CSV extract; times that are not known are empty."""
+    def text(c):
+        return F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+
+    return order_reservations(spark, folder).select(F.concat_ws(
+        ",", *[text(c) if c.endswith("_at") else F.col(c).cast("string")
+               for c in RESERVATION_LINE]).alias("value"))
+
+
 def item_views(spark: SparkSession, folder: str) -> DataFrame:
     """Listing views on the order lines, for listing analyses on more data."""
     return read(spark, folder, "lineitem").select(

@@ -10,10 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stagewise.operators import dimensions as D
 from stagewise.operators import (
     funnels,
+    identity,
     insights,
     joined,
     journey,
@@ -27,7 +29,9 @@ from stagewise.operators import (
     volume,
 )
 from stagewise.operators.users import funnel_users, in_first_only, user_ids
-from stagewise.schemas import RENTER, USER
+from stagewise.plans import reports
+from stagewise.schemas import RENTER, RESERVATIONS, SEARCH_EVENTS, USER
+from stagewise.sources import ingest
 from stagewise.sources.catalog import run_sql, table_profile
 from stagewise.sources.tables import read_table, register_views
 from workload import bindings as B
@@ -100,6 +104,44 @@ def all_views(spark, folder, *columns) -> DataFrame:
 # Scans, bins and user sets
 
 
+def _schema(of: T.StructType, names) -> T.StructType:
+    return T.StructType([of[n] for n in names])
+
+
+def _local_times(df: DataFrame) -> DataFrame:
+    """Times as the wall clock of the session shows them."""
+    return df.select(*[F.col(n).cast("timestamp_ntz").alias(n) if t == "timestamp" else F.col(n)
+                       for n, t in df.dtypes])
+
+
+def _search_text(spark, folder) -> DataFrame:
+    return ingest.parse_lines(B.search_lines(spark, folder), B.SEARCH_LINE)
+
+
+@query
+def s01_typed_csv(spark, folder):
+    return _local_times(ingest.normalize(
+        _search_text(spark, folder), _schema(SEARCH_EVENTS, B.SEARCH_LINE)).drop(ingest.CORRUPT))
+
+
+@query
+def s01_rejects(spark, folder):
+    return ingest.rejects(
+        _search_text(spark, folder), _schema(SEARCH_EVENTS, B.SEARCH_LINE), "event_uuid")
+
+
+@query
+def s02_text_csv(spark, folder):
+    return _search_text(spark, folder).withColumnRenamed(ingest.CORRUPT, "broken_line")
+
+
+@query
+def p01_normalised_reservations(spark, folder):
+    text = ingest.parse_lines(B.reservation_lines(spark, folder), B.RESERVATION_LINE)
+    return _local_times(ingest.normalize(
+        text, _schema(RESERVATIONS, B.RESERVATION_LINE)).drop(ingest.CORRUPT))
+
+
 @query
 def s03_filtered_scan(spark, folder):
     return read_table(
@@ -163,6 +205,96 @@ def q01_funnel_counts_mapped(spark, folder):
         identity_map=B.identity_map(spark, folder))
 
 
+def _linked(spark, folder) -> DataFrame:
+    """Reservations of accounts, resolved to searchers over a map that is not the identity."""
+    return identity.resolve_renters(
+        B.account_reservations(spark, folder), B.account_map(spark, folder))
+
+
+@query
+def j01_resolved_renters(spark, folder):
+    return _linked(spark, folder).select("reservation_id", RENTER, "listing_id")
+
+
+@query
+def j01_resolved_or_unmatched(spark, folder):
+    return identity.resolve_renters(
+        B.account_reservations(spark, folder), B.account_map(spark, folder), "keep", "least"
+    ).select("reservation_id", RENTER, "listing_id")
+
+
+@query
+def j01_unmatched_renters(spark, folder):
+    return identity.unmatched_renters(
+        B.account_reservations(spark, folder), B.account_map(spark, folder))
+
+
+@query
+def q01_funnel_counts_linked(spark, folder):
+    return funnels.funnel_counts(
+        searches(spark, folder), views(spark, folder), _linked(spark, folder))
+
+
+@query
+def q04_funnel_overlap_linked(spark, folder):
+    return funnels.funnel_overlap(
+        all_searches(spark, folder), all_views(spark, folder), _linked(spark, folder))
+
+
+@query
+def q05_ordered_funnel_linked(spark, folder):
+    return ordered.ordered_funnel(
+        all_searches(spark, folder, USER, "event_time"),
+        all_views(spark, folder, USER, "event_time"), _linked(spark, folder))
+
+
+@query
+def q06_bot_impact_linked(spark, folder):
+    return funnels.bot_impact(
+        all_searches(spark, folder, USER, "is_bot"), all_views(spark, folder, USER, "is_bot"),
+        _linked(spark, folder))
+
+
+@query
+def q07_funnel_by_channel_linked(spark, folder):
+    return funnels.funnel_by_channel(
+        all_searches(spark, folder, USER, "first_attribution_channel"),
+        all_views(spark, folder), _linked(spark, folder))
+
+
+@query
+def q09_dropoff_linked(spark, folder):
+    return funnels.dropoff(
+        all_searches(spark, folder), all_views(spark, folder), _linked(spark, folder))
+
+
+@query
+def q16_monthly_trends_linked(spark, folder):
+    return joined.monthly_trends(
+        _search_facts(spark, folder, "month"), views(spark, folder, USER, "month"),
+        _linked(spark, folder), F.dayofmonth("created_at"), DAYS)
+
+
+@query
+def q30_search_characteristics_linked(spark, folder):
+    return segments.search_characteristics(
+        all_searches(spark, folder, *SEARCH_DIMENSION_COLUMNS), all_views(spark, folder),
+        _linked(spark, folder), months=DAYS, min_users=MIN_SEGMENT_USERS)
+
+
+@query
+def q33_weekday_conversion_linked(spark, folder):
+    return segments.weekday_conversion(
+        searches(spark, folder, USER, "event_time"), views(spark, folder),
+        _linked(spark, folder))
+
+
+@query
+def q40_position_conversion_linked(spark, folder):
+    return position.position_conversion(
+        views(spark, folder, USER, "search_position"), _linked(spark, folder))
+
+
 def _journey(spark, folder) -> DataFrame:
     return journey.user_journey(
         B.identity_map(spark, folder),
@@ -343,7 +475,7 @@ def q16_monthly_trends(spark, folder):
     return joined.monthly_trends(
         _search_facts(spark, folder, "month"), views(spark, folder, USER, "month"),
         paid_reservations(spark, folder, "created_at"),
-        reservation_month=F.dayofmonth("created_at"))
+        reservation_month=F.dayofmonth("created_at"), months=DAYS)
 
 
 # Volumes and payments
@@ -664,6 +796,52 @@ def q55_extremes(spark, folder):
     return _rounded(_extremes(spark, folder))
 
 
+def _tables(spark, folder) -> reports.Tables:
+    return reports.Tables(
+        B.search_events(spark, folder), B.listing_views(spark, folder),
+        B.reservations(spark, folder))
+
+
+@query
+def q55_all_extremes(spark, folder):
+    return _rounded(reports.insight_report(_tables(spark, folder), DAYS)["extremes"])
+
+
+#: Each chart's key columns and its metrics.
+CHARTS = {
+    "funnel": ([], "total_searchers total_viewers total_reservers total_payers overall_rate"),
+    "search_type_volume": (["search_type"], "events unique_users"),
+    "top_dmas": (["search_dma"], "unique_searchers"),
+    "top_attribution": (
+        ["first_attribution_source", "first_attribution_channel"], "unique_users"),
+    "monthly_volume": (["month"], "events unique_users"),
+    "category_volume": (["search_term_category"], "events unique_users"),
+    "weekday": (["day_of_week"], "total_searchers funnel_users conversion_rate"),
+    "monthly": (["month"], "total_searchers funnel_users conversion_rate"),
+    "hosts": (["user_type"], "total_searchers funnel_users conversion_rate market_share"),
+    "sort": (["search_sort"], "total_searchers funnel_users conversion_rate"),
+    "category": (["search_term_category"], "total_searchers funnel_users conversion_rate"),
+    "geography": (["characteristic"], "total_users converting_users conversion_rate"),
+    "peak_hours": (["characteristic"], "total_users converting_users conversion_rate"),
+    "position": (["search_position"], "total_clickers funnel_users conversion_rate"),
+    "position_buckets": (
+        ["position_bucket"], "total_clickers converting_users conversion_rate"),
+    "position_buckets_estimated": (
+        ["position_bucket"], "total_clickers estimated_converting_users"),
+    "clicks": (["search_position"], "total_clicks cumulative_percentage"),
+    "sort_activity": (["search_sort"], "total_users converting_users overall_rate"),
+}
+
+
+@query
+def s12_chart_tables(spark, folder):
+    bundle = reports.chart_tables(_tables(spark, folder), DAYS, MIN_ATTRIBUTION_USERS)
+    parts = {
+        name: (bundle[name].select(*keys, *metrics.split()), keys)
+        for name, (keys, metrics) in CHARTS.items()}
+    return _rounded(insights.tagged_report(parts))
+
+
 @query
 def q56_top_characteristics(spark, folder):
     return insights.top_characteristics(_extremes(spark, folder))
