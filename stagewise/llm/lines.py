@@ -211,7 +211,8 @@ def _texts(docs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
 
 def links(docs: DataFrame, most: int, least: int) -> DataFrame:
     """u, v: pairs of line ids that connect all lines at an edit distance of 1 to ``most``."""
-    level = stored(_shared_keys(_standing(docs, most, least)))
+    # Written once: the keys are used twice, and making them costs more than reading them.
+    level = stored(_shared_keys(stored(_standing(docs, most, least))))
     texts = _texts(docs, level.select("id").distinct(), least)
     if most > 1:
         return stored(_verified(level, texts, most))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from itertools import accumulate
 
 import numpy as np
@@ -24,6 +25,13 @@ PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
           "sequence_id bigint, offset bigint")
 #: Words kept with their ids in a Python worker, in two generations, and their longest form.
 CACHED_WORDS, CACHED_BYTES = 300_000, 64
+#: Closing marks, without the apostrophe, which may begin a word's ending.
+MARKS = b".,;:!?%$&*#)"
+#: Byte-level tokenizers write a byte as the character of its number where that is visible, and
+#: the other bytes in their order as the characters from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_HIDDEN = [b for b in range(256) if b not in _VISIBLE]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 _workers: dict = {}
 
 
@@ -31,7 +39,8 @@ class WordEncoder:
     """Encodes text word by word with a cache.
 
     For tokenizers that never join what ASCII white space parts (their pre-tokenizer drops
-    white space), the ids of a text are those of its words in a row.
+    white space), the ids of a text are those of its words in a row; where the tokenizer also
+    parts words before closing marks and lower-cases them, so do we before the look-up.
     """
 
     def __init__(self, path: str):
@@ -40,24 +49,42 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.new, self.old = {}, {}
+        self.parts = self._parts_alike()
+
+    def _parts_alike(self) -> bool:
+        """Whether this is a lower-casing byte-level tokenizer that parts words before closing
+        marks, so that far fewer words are different: tried on the marks and on some words."""
+        def ids(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+        words = ["Word", "x1", "É", "naïve", "Größe", "zażółć", "the", "antidisestablishment"]
+        marks = [chr(c) for c in MARKS] + ["...", "?!", "%%%"]
+        return all(ids(f"{w}{m}") == ids(w.lower()) + ids(m) for w in words for m in marks) \
+            and all(self._direct(w.lower()) in (None, ids(w)) for w in words)
+
+    def _direct(self, word: str) -> list[int] | None:
+        """The ids of a lower-cased word that is one token to be merged: Latin letters only, on
+        which the tokenizer's normaliser and splitter have nothing to do."""
+        if not word.isalpha() or max(word) > "\u017f" or word != word.lower():
+            return None
+        return [t.id for t in self.tokenizer.model.tokenize(
+            word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS))]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         out = []
         for text in texts:
-            words = text.split()
-            missing = [w for w in set(words) if w not in self.new]
-            extra = self._learn(missing) if missing else {}
-            known = self.new
-            if extra:
-                out.append(b"".join([known[w] if w in known else extra[w] for w in words]))
-            else:
-                out.append(b"".join([known[w] for w in words]))
-            if len(known) > CACHED_WORDS:
-                self.old, self.new = known, {}
+            words = (text.lower() if self.parts else text).split()
+            found = list(map(self.new.get, words))
+            if None in found:
+                extra = self._learn({w for w, x in zip(words, found) if x is None})
+                found = [self.new[w] if w in self.new else extra[w] for w in words]
+            out.append(b"".join(found))
+            if len(self.new) > CACHED_WORDS:
+                self.old, self.new = self.new, {}
         return out
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Adds the words to the cache; returns those too long for it."""
         new, old, long, rest = self.new, self.old, {}, []
         for w in words:
@@ -65,14 +92,37 @@ class WordEncoder:
                 new[w] = old[w]
             else:
                 rest.append(w)
-        if rest:
-            encoded = self.tokenizer.encode_batch_fast(
-                [w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
-            for w, e in zip(rest, encoded):
-                (new if len(w) <= CACHED_BYTES else long)[w] = np.array(e.ids, "<u4").tobytes()
+        cores = {w: _core(w) if self.parts else w for w in rest}
+        parts = set(cores.values()) | {w[len(c):] for w, c in cores.items() if len(c) < len(w)}
+        known, hard = {}, []
+        for part in parts:
+            ids = new.get(part) or old.get(part)
+            if ids is None and self.parts:
+                direct = self._direct(part.decode("utf-8", "replace"))
+                ids = None if direct is None else array("I", direct).tobytes()
+            if ids is None:
+                hard.append(part)
+            else:
+                known[part] = ids
+        encoded = self.tokenizer.encode_batch_fast(
+            [part.decode("utf-8", "replace") for part in hard], add_special_tokens=False)
+        known.update((part, array("I", e.ids).tobytes()) for part, e in zip(hard, encoded))
+        for w, c in cores.items():
+            ids = known[c] if len(c) == len(w) else known[c] + known[w[len(c):]]
+            (new if len(w) <= CACHED_BYTES else long)[w] = ids
+            if len(c) < len(w) and len(c) <= CACHED_BYTES:
+                new[c] = known[c]
         return long
 
 
+def _core(word: bytes) -> bytes:
+    """The word without its closing marks, where these follow a letter or number."""
+    core = word.rstrip(MARKS)
+    if len(core) == len(word) or not core:
+        return word
+    return core if core[-20:].decode("utf-8", "ignore")[-1:].isalnum() else word
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _workers:
         _workers[path] = WordEncoder(path)

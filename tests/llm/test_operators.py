@@ -57,6 +57,22 @@ def test_every_operator_takes_an_empty_table(spark):
     assert neighbours.nearest(none, F.col("vec_id") >= 0).collect() == []
 
 
+def test_word_encoder_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    tokenizer, words = Tokenizer.from_file(path), packing.encoder(path)
+    assert words.parts
+    rng = random.Random(9)
+    pieces_ = ["Word", "x1", "É", "naïve", "don't", "'S", "It's", "x'll", "Σίσυφος", "ΑΣ", "İ", "ß",
+               "１２", "日本語", "ªº", "y\u0338", "≠", "”", "ﬁ", "Å", "...", "%%%", "$$$", ".", ",",
+               "?", "'", "\u00a0", " ", " ", " ", "\n", "\u200b", "é", "#", ")", "a" * 70]
+    texts = ["".join(rng.choice(pieces_) for _ in range(rng.randint(0, 30))) for _ in range(800)]
+    for text, blob in zip(texts, words.encode([t.encode() for t in texts])):
+        assert np.frombuffer(blob, "<u4").tolist() == tokenizer.encode(
+            text, add_special_tokens=False).ids
+
+
 def test_packing(spark, rows):
     from tokenizers import Tokenizer
 
