@@ -116,11 +116,12 @@ class WordEncoder:
 
 
 def _core(word: bytes) -> bytes:
-    """The word without its closing marks, where these follow a letter or number."""
+    """The word without its closing marks, where these follow a letter or number (of the
+    lower-cased word: one capital becomes a letter and a mark)."""
     core = word.rstrip(MARKS)
     if len(core) == len(word) or not core:
         return word
-    return core if core[-20:].decode("utf-8", "ignore")[-1:].isalnum() else word
+    return core if core[-20:].decode("utf-8", "ignore").lower()[-1:].isalnum() else word
 
 
 def encoder(path: str) -> WordEncoder:
