@@ -226,11 +226,40 @@ def test_language_model(spark, rows):
         assert r.score < 0
 
 
-def test_slot_probabilities_add_up_to_one():
-    model = lm.LogBilinear.start(np.arange(lm.SLOTS))
-    before = np.tile([[1, 2, lm.SLOTS]], (lm.SLOTS, 1))
-    logs = model.log_probabilities(before, np.arange(lm.SLOTS))
-    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+def test_probabilities_of_all_words_add_up_to_one(spark, monkeypatch):
+    share = np.arange(1.0, lm.SLOTS + 1) / np.arange(1.0, lm.SLOTS + 1).sum()
+    model = lm.LogBilinear.start(share)
+    model.table[:] += np.random.default_rng(1).normal(0, 0.5, model.SHAPE)
+    before, sums = [1, 2, lm.SLOTS], np.full((lm.SLOTS + 1, lm.CONTEXT), np.nan)
+    for k in before:
+        sums[k] = model.log_sums(k, k + 1)
+    parts = model.probabilities(
+        np.tile(before, (lm.SLOTS, 1)), np.arange(lm.SLOTS), sums, share)
+    assert parts.sum(0) == pytest.approx(np.ones(lm.CONTEXT + 1), abs=1e-4)
+    weights = lm.mixture(parts[:100])
+    assert weights.sum() == pytest.approx(1) and weights.min() >= 0
+
+    monkeypatch.setattr(lm, "OWN", 4)
+    monkeypatch.setattr(lm, "SLOTS", 4 + lm.SHARED)
+    words = " ".join(f"w{k}x{k % 7} " * (1 + k % 4) for k in range(300))
+    v = lm.Vocabulary(lm.word_counts(documents(spark, [(1, words), (2, "w1 w1 w2")])))
+    slot = v.slot_counts / v.slot_counts.sum()
+    known = (slot[v.slots] * 10 ** v.inner).sum()
+    assert known + (slot * v.unknown)[lm.OWN:].sum() == pytest.approx(1)
+
+
+def test_language_model_learns_and_repeats(spark):
+    rng = random.Random(2)
+    kinds = [[f"{kind}{k}" for k in range(30)] for kind in "abcd"]
+    docs = documents(spark, [
+        (d, " ".join(rng.choices(kinds[d % 4], k=60))) for d in range(600)])
+    got = lm.score(docs).collect()
+    for held in (True, False):
+        some = [r for r in got if r.held_out == held]
+        n = sum(r.n_tokens for r in some)
+        assert sum(r.score - r.unigram_score for r in some) / n > 0.2
+        assert sum(r.score - r.base_score for r in some) / n > 0.2
+    assert sorted(lm.score(docs).collect()) == sorted(got)
 
 
 def test_pieces_equal_the_library_and_come_back(spark, rows):
