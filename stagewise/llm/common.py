@@ -21,10 +21,12 @@ _local = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where the session names none."""
+    """The folder all executors see; a temporary one only in a local session that names none."""
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
     return _local.setdefault("folder", tempfile.mkdtemp(prefix="stagewise-"))
 
 

@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding as shortest paths of a weighted transducer.
 
-Compiled from a model file: the normaliser (spaces become the mark, one in front), an arc per
-piece with its score as weight, and arcs that spell any other character with its bytes. The
-transducer is composed with an input on the fly: a state of the composition is a place in the
+Compiled from a model file: the normaliser (the longest match in the model's table of
+replacements, then spaces become the mark, one in front), an arc per piece with its score as
+weight, and arcs that spell any other character with its bytes. The model's own symbols are
+never replaced; byte-pair models cut the input at them. The transducer is composed with an input on the fly: a state of the composition is a place in the
 input and the last piece, and the tropical-semiring shortest path is the encoding.
 
 In a byte-pair model the weights alone do not give the right pieces, as merges are greedy. Its
@@ -60,6 +61,55 @@ def _fields(data: bytes):
             at += size
 
 
+class Replacements:
+    """A model's table of replacements: the size of a trie in bytes, the trie as a double array
+    of 32-bit units, and the replacing strings, each ended by a zero byte."""
+
+    def __init__(self, table: bytes):
+        size = struct.unpack_from("<I", table)[0]
+        self.trie = np.frombuffer(table, "<u4", size // 4, 4).tolist()
+        self.strings = table[4 + size:]
+        self.longest = lru_cache(maxsize=1 << 16)(self._longest)
+        #: Characters that begin no entry of the trie's first level stay as they are.
+        self.first = re.compile(b"[" + b"".join(
+            re.escape(bytes([c])) for c in range(256) if self._child(self._below(0), c)) + b"]")
+
+    def _below(self, at: int) -> int:
+        unit = self.trie[at]
+        return at ^ unit >> 10 << ((unit & 512) >> 6)
+
+    def _child(self, at: int, byte: int) -> bool:
+        place = at ^ byte
+        return place < len(self.trie) and self.trie[place] & 0x800000FF == byte
+
+    def _longest(self, data: bytes) -> tuple[int, bytes]:
+        """Length of the longest entry that the bytes begin with (0: none), and what replaces it."""
+        at, length, found = self._below(0), 0, b""
+        for n, byte in enumerate(data, 1):
+            if not self._child(at, byte):
+                break
+            place = at ^ byte
+            at = self._below(place)
+            if self.trie[place] >> 8 & 1:
+                begin = self.trie[at] & 0x7FFFFFFF
+                length, found = n, self.strings[begin:self.strings.index(b"\0", begin)]
+        return length, found
+
+    def apply(self, text: str) -> str:
+        data, out, at = text.encode(), [], 0
+        while match := self.first.search(data, at):
+            begin = match.start()
+            out.append(data[at:begin])
+            length, found = self.longest(data[begin:begin + 32])
+            if not length:  # the whole character stays
+                length = 1 + (data[begin] >= 0xC0) + (data[begin] >= 0xE0) + (data[begin] >= 0xF0)
+                found = data[begin:begin + length]
+            out.append(found)
+            at = begin + length
+        out.append(data[at:])
+        return b"".join(out).decode("utf-8", "replace")
+
+
 class Transducer:
     def __init__(self, model: bytes):
         self.pieces, self.scores, self.kinds = [], [], []
@@ -75,21 +125,32 @@ class Transducer:
             elif number == NORMALIZER:
                 normalizer = dict(_fields(value))
         self.merging = trainer.get(3, UNIGRAM) == BPE
-        if trainer.get(3, UNIGRAM) not in (UNIGRAM, BPE) or USER in self.kinds:
-            raise ValueError("only unigram and byte-pair models without own symbols")
-        if normalizer.get(2):
-            raise ValueError("the model's table of character replacements is not supported")
+        if trainer.get(3, UNIGRAM) not in (UNIGRAM, BPE) or trainer.get(24):
+            raise ValueError("only unigram and byte-pair models with the mark in front of words")
+        if not normalizer.get(5, 1):
+            raise ValueError("only models that write spaces as marks")
+        self.replaced = Replacements(normalizer[2]) if normalizer.get(2) else None
         self.prefix = bool(normalizer.get(3, 1))
         self.squeeze = bool(normalizer.get(4, 1))
         self.arcs = {p: k for k, (p, kind) in enumerate(zip(self.pieces, self.kinds))
                      if kind == NORMAL}
-        self.longest = max(map(len, self.arcs), default=1)
+        own = {p: k for k, (p, kind) in enumerate(zip(self.pieces, self.kinds)) if kind == USER}
+        self.symbols = re.compile("(" + "|".join(
+            map(re.escape, sorted(own, key=len, reverse=True))) + ")") if own else None
+        self.own = own
+        weights = [self.scores[k] for k in self.arcs.values()]
         self.bytes = {int(p[1:-1], 16): k for k, (p, kind) in
                       enumerate(zip(self.pieces, self.kinds)) if kind == BYTE}
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
-        self.penalty = 10 - min((self.scores[k] for k in self.arcs.values()), default=0.0)
+        self.penalty = 10 - min(weights, default=0.0)
+        if not self.merging:  # an own symbol weighs a little more than as many best pieces
+            self.arcs |= own
+            for p, k in own.items():
+                self.scores[k] = len(p.encode()) * max(weights, default=0.0) - 0.1
+        self.longest = max(map(len, self.arcs), default=1)
+        lost = trainer.get(44, " \u2047 ".encode())
         self.spelled = [bytes([int(p[1:-1], 16)]) if kind == BYTE else
-                        b"" if kind in (CONTROL, UNKNOWN) else p.encode()
+                        lost if kind == UNKNOWN else b"" if kind == CONTROL else p.encode()
                         for p, kind in zip(self.pieces, self.kinds)]
         joined = any(MARK in p.lstrip(MARK) for p in self.arcs)
         broken = "".join(c for c in "\n\r\t" if not any(c in p for p in self.arcs))
@@ -102,6 +163,12 @@ class Transducer:
         self.new, self.old = {}, {}
 
     def normalise(self, text: str) -> str:
+        if self.replaced and self.symbols:
+            parts = self.symbols.split(text)
+            parts[::2] = map(self.replaced.apply, parts[::2])
+            text = "".join(parts)
+        elif self.replaced:
+            text = self.replaced.apply(text)
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         if text and self.prefix:
@@ -110,8 +177,24 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        units, out = self.units.findall(self.normalise(text)), []
-        for unit in units:
+        text, out = self.normalise(text), []
+        if self.symbols and self.merging:
+            parts = self.symbols.split(text)
+            for part, symbol in zip(parts[::2], parts[1::2]):
+                out += [*self._encoded(part), struct.pack("<I", self.own[symbol])]
+            text = parts[-1]
+        out += self._encoded(text)
+        ids = b"".join(out)
+        if len(self.bytes) < 256:  # unknown characters in a row are one unknown piece
+            numbers = np.frombuffer(ids, "<u4")
+            lost = numbers == self.unknown
+            ids = numbers[~(lost & np.r_[False, lost[:-1]])].tobytes() if lost.any() else ids
+        return ids
+
+    def _encoded(self, text: str) -> list[bytes]:
+        """The ids of each unit of a normalised text."""
+        out = []
+        for unit in self.units.findall(text):
             ids = self.new.get(unit)
             if ids is None:
                 ids = self.old.get(unit)
@@ -122,14 +205,20 @@ class Transducer:
                 if len(unit) <= 64:
                     self.new[unit] = ids
             out.append(ids)
-        return b"".join(out)
+        return out
 
     def shortest_path(self, unit: str) -> list[int]:
         """The ids of the best path from the first to the last place of the unit."""
-        return self._only_path(unit) if self.merging else self._lightest_path(unit)
+        if not self.merging:
+            return self._lightest_path(unit)
+        if not self.ordered:
+            return [k for piece in self._merged(unit, 1) for k in self.spell(piece)]
+        return self._only_path(unit)
 
     def _lightest_path(self, unit: str) -> list[int]:
-        """States are places only, as any piece may follow any other."""
+        """States are places only, as any piece may follow any other. Of equally light paths to
+        a place the one whose last piece is longest is taken; the library's choice depends on
+        how it rounds."""
         arcs, n = self.arcs, len(unit)
         weight, came = [0.0] + [float("inf")] * n, [0] * (n + 1)
         for end in range(1, n + 1):
@@ -214,26 +303,30 @@ class Transducer:
         for turn, k in enumerate(order, 1):
             self.turn[k] = turn
         for k in order:
-            left, right = self._last_merge(self.pieces[k])
-            if left + right == self.pieces[k] and left in self.arcs and right in self.arcs:
-                self.whole[k], self.parts[k] = True, (self.arcs[left], self.arcs[right])
+            parts = self._merged(self.pieces[k], 2)
+            if len(parts) == 2 and parts[0] in self.arcs and parts[1] in self.arcs:
+                self.whole[k], self.parts[k] = True, (self.arcs[parts[0]], self.arcs[parts[1]])
+        # Undoing merges from the last on needs parts that are merged before what they make; a
+        # file that was not trained may have others, and is merged step by step.
+        self.ordered = all(self.turn[part] < self.turn[k]
+                           for k in order if self.parts[k] for part in self.parts[k])
         self.prefixes = {p[:n]: -1 for p in self.arcs for n in range(1, len(p))}
         self.prefixes |= {p: k for p, k in self.arcs.items() if self.whole[k]}
 
-    def _last_merge(self, text: str) -> tuple[str, str]:
-        """Greedy merging until two parts are left: always the best-scored pair, the first of
-        equals."""
+    def _merged(self, text: str, least: int) -> list[str]:
+        """Greedy merging until so many parts are left or none fit: always the best-scored pair,
+        the first of equals."""
         parts, arcs, turn = list(text), self.arcs, self.turn
-        while len(parts) > 2:
+        while len(parts) > least:
             best, at = None, -1
             for k in range(len(parts) - 1):
                 key = arcs.get(parts[k] + parts[k + 1])
                 if key is not None and (best is None or turn[key] < best):
                     best, at = turn[key], k
             if best is None:
-                return "", ""
+                break
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts[0], parts[1]
+        return parts
 
     def follows(self, left: int, right: int) -> bool:
         """Whether merging the two pieces' text leaves them as they are: their merges are undone

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -277,6 +278,68 @@ def test_pieces_equal_the_library_and_come_back(spark, rows):
     assert sorted(map(key, map(tuple, back))) == sorted(key((d, t or "")) for d, t in rows)
 
 
+def _field(number, value):
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def _model(kind, listed, spell, table):
+    """A model file: special pieces, own symbols, listed pieces and, maybe, all bytes."""
+    pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("[X]", 0.0, 4)]
+    pieces_ += [(p, w, 1) for p, w in listed]
+    pieces_ += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if spell else []
+    out = b"".join(_field(1, _field(1, p.encode()) + _field(2, w) + _field(3, k))
+                   for p, w, k in pieces_)
+    return (out + _field(2, _field(3, kind) + _field(35, int(spell)))
+            + _field(3, (_field(2, table) if table else b"") + _field(3, 1) + _field(4, 1)))
+
+
+@pytest.mark.parametrize("kind", [pieces.UNIGRAM, pieces.BPE])
+@pytest.mark.parametrize("spell", [True, False])
+@pytest.mark.parametrize("rule", ["", "nmt_nfkc", "nmt_nfkc_cf"])
+def test_lightest_path_equals_the_library(kind, spell, rule):
+    import sentencepiece
+
+    table = b""
+    if rule:
+        proto = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+        normalizer = dict(pieces._fields(proto))[pieces.NORMALIZER]
+        table = dict(pieces._fields(normalizer))[2]
+    rng = random.Random(7)
+    letters = "▁abcé"
+    longer = sorted({"".join(rng.choices(letters, k=rng.randint(2, 4))) for _ in range(120)})
+    longer = [p for p in longer if "▁" not in p[1:]]
+    rng.shuffle(longer)
+    if kind == pieces.BPE:
+        if spell:  # as trained: parts before what they make; the other models are in any order
+            longer.sort(key=len)
+        listed = [(p, -float(k)) for k, p in enumerate([*longer, *letters])]
+    else:
+        listed = [(p, -rng.uniform(1, 9) * len(p) ** 0.6) for p in [*longer, *letters]]
+    model = _model(kind, listed, spell, table)
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    own = pieces.Transducer(model)
+    texts = ["", " ", "[X]", "ab[X]ca  b", "zzz", "aﬁb Ａｂ\u3000c", "x\ty\nz", "e\u0301a 🎉🎉 b", "㍿"]
+    texts += ["".join(rng.choices("abcé  zÉＡ", k=rng.randint(1, 60))) for _ in range(150)]
+    for t in texts:
+        ids = own.encode(t)
+        numbers, want = np.frombuffer(ids, "<u4").tolist(), library.encode(t)
+        if kind == pieces.UNIGRAM:  # equally light paths may differ
+            assert sum(own.scores[k] for k in numbers) == pytest.approx(
+                sum(own.scores[k] for k in want), rel=1e-5), t
+        else:
+            assert numbers == want, t
+        assert own.decode(ids) == library.decode(library.encode(t)), t
+
+
 def test_secrets(spark):
     import base64
     from urllib.parse import quote
