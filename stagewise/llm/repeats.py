@@ -1,17 +1,20 @@
 """Removal of repeated byte strings by distributed prefix doubling.
 
 A byte goes if a string of the threshold's length that covers it also starts somewhere else.
-The suffix array is a sparse one. In every string of that length one position, its anchor, is
-picked by content alone (the smallest hash of a few bytes among the first half), so equal
-strings have their anchors at the same place, and only anchors are sorted. Doubling goes over
-them: positions that share the rank of their first bytes are ranked again by the pair of that
-rank and the rank of as many bytes after them; a position alone with its rank is unique and
-goes. Past the doubling, an anchor is ranked by all bytes of all strings it is the anchor of:
-where that reach is repeated, so are all of them. What is left are the anchors around the ends
-of repeats. Their strings are ranked by runs of a few, in the same way, and those of the runs
-that are left one by one.
-
-Ranks are 64-bit digests, so that no global numbering is needed.
+The suffix array is a sparse one: each text is cut at marks that its content alone chooses (the
+smallest hash of a few bytes in a small window), so equal strings are cut at the same places,
+and only marks are ranked. A mark's first rank stands for the phrase up to the next mark. Each
+round groups the marks by rank, drops those that are alone, and ranks the others again by the
+pair of their rank and the rank that lies 1, 2, 4, ... marks further on, until a mark is unique
+or its phrases are all that every string with this first mark is sure to hold; the last pair
+overlaps to end exactly there. Pairs are named by digests of the two ranks, so that no global
+numbering is needed.
+
+A mark that is left has twins as far as the marks of its strings tell; the bytes before the
+first and after the last of them decide. It is compared by all bytes of all strings it is the
+first mark of: where that reach is repeated, so are all of them. What remains are marks around
+the ends of repeats; their strings are compared in runs of a few, in the same way, and those of
+the runs that are left one by one.
 """
 
 from __future__ import annotations
@@ -27,31 +30,33 @@ from pyspark.sql import functions as F
 
 from stagewise.llm.common import column, documents_only, map_arrow, ship, stored, utf8
 
-#: Neighbouring strings of a run; bits of the filter that says which documents may be needed.
-RUN, FILTER_BITS = 16, 1 << 24
+#: Neighbouring strings of a run; bits of the filter that says which documents may be needed;
+#: the most frequent keys that are looked up apart, so that no task gets all rows of one.
+RUN, FILTER_BITS, HOT = 16, 1 << 24, 512
 
 _rng = np.random.Generator(np.random.PCG64(17))
 GEAR = _rng.integers(0, 2**32, 256, dtype=np.uint32)
-LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-BASE = int(_rng.integers(1, 2**62)) * 2 + 1
-_powers: dict[str, np.ndarray] = {}
 
 
-class Anchors:
-    """Which position of each string is its anchor, for one threshold."""
+class Marks:
+    """Where texts are cut, for one threshold.
+
+    All marks between the first and the last window of a string are chosen inside it. The first
+    lies in its first ``window`` bytes, the last in its last ``window + gram - 1``, so ``span``
+    bytes after its first mark every string still holds every mark.
+    """
 
     def __init__(self, length: int):
         self.length = length
-        self.window = 1 << max(0, int(np.log2(max(1, length * 0.65))))
-        self.gram = min(16, length - self.window + 1)
-        #: Bytes after an anchor that all its strings hold, in two halves.
-        self.half = max(1, (length - self.window + 1) // 2)
-
-    def of(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Anchors of a text, and the first and the last start of the strings of each."""
-        n = len(data) - self.length + 1
-        if n <= 0:
-            return (np.empty(0, np.int64),) * 3
+        self.window = 1 << max(0, int(np.log2(max(1, length / 6))))
+        self.gram = min(16, max(1, length // 8))
+        self.span = length - 2 * self.window - self.gram + 2
+
+    def of(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the marks; first and last start of the strings whose first mark each is
+        (first > last: of none); and how many phrases it is ranked by."""
+        if len(data) < self.length:
+            return (np.empty(0, np.int64),) * 4
         h = GEAR[data]
         grams = h[:len(h) - self.gram + 1].copy()
         for j in range(1, self.gram):
@@ -65,32 +70,18 @@ class Anchors:
         while width < self.window:
             low = np.minimum(low[:-width], low[width:])
             width *= 2
-        chosen = 0xFFFFFFFF - (low[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        chosen = 0xFFFFFFFF - (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
-        return chosen[first], first, np.r_[first[1:], n] - 1
+        last = np.minimum(np.r_[first[1:], len(chosen)] - 1, len(data) - self.length)
+        marks = chosen[first]
+        phrases = np.searchsorted(marks, marks + self.span, "right") - np.arange(len(marks)) - 1
+        return marks, first, last, phrases
 
 
 def _signed(digest: int) -> int:
     return digest - ((digest >> 63) << 64)
 
 
-def _series(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse."""
-    if len(_powers.get("up", ())) < n:
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"], _powers["down"]
-
-
-def string_digests(data: np.ndarray, length: int, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial digest of the string at each start."""
-    up, down = _series(len(data) + 1)
-    sums = np.r_[np.uint64(0), np.cumsum(LETTER[data] * up[:len(data)])]
-    return ((sums[starts + length] - sums[starts]) * down[starts]).view(np.int64)
-
-
 def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """A join on columns where null equals null; the left columns, then the right's others."""
     same = F.lit(True)
@@ -104,6 +95,52 @@ MARK = ["doc_id", "digest"]
 POSITIONS = "doc_id bigint, digest bigint, first int, last int, anchor int, reach bigint"
 
 
+def _shared(rows: DataFrame, on: list[str]) -> DataFrame:
+    """The keys of two rows and more, with their number."""
+    return stored(rows.groupBy(*on).agg(F.count("*").alias("times")).where("times > 1"))
+
+
+def _among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows with one of the keys (``on``, none of them null, and ``times``).
+
+    The HOT most frequent keys are broadcast; no other can hold more than a HOT-th of the rows.
+    """
+    hot = F.broadcast(keys.orderBy(F.desc("times"), *on).limit(HOT).select(*on))
+    others = rows.join(hot, on, "left_anti").join(keys.select(*on), on, "left_semi")
+    return rows.join(hot, on, "left_semi").unionByName(others)
+
+
+def doubled(marks: DataFrame) -> DataFrame:
+    """row, place, core: the marks that are not alone with all the phrases they are ranked by.
+
+    ``marks`` has a row's number, a mark's place in it, its number of phrases and the rank of
+    its first phrase (of its few bytes, where there are no phrases).
+    """
+    alive, done, step = marks, [], 1
+    while True:
+        alive = stored(_among(alive, _shared(alive, ["rank"]), ["rank"]))
+        longest = alive.agg(F.max("phrases")).first()[0]
+        if step == 1:
+            done.append(alive.where("phrases = 0").select("row", "place", F.col("rank").alias("core")))
+        if longest is None or longest < step:
+            break
+        # The rank a step further on; for the last pair, where its phrases end with the mark's.
+        further = alive.where(F.col("phrases") >= step).select(
+            F.col("row").alias("r"), F.col("place").alias("p"), F.col("rank").alias("next"))
+        ahead = F.least(F.col("phrases") - step, F.lit(step))
+        pairs = alive.where(F.col("phrases") >= step).withColumn("p", F.col("place") + ahead)
+        pairs = stored(pairs.join(further.withColumnRenamed("r", "row"), ["row", "p"]))
+        done.append(pairs.where(F.col("phrases") < 2 * step).select(
+            "row", "place", F.xxhash64("phrases", "rank", "next").alias("core")))
+        alive = pairs.where(F.col("phrases") >= 2 * step).select(
+            "row", "place", "phrases", F.xxhash64("rank", "next").alias("rank"))
+        step *= 2
+    settled = done[0]
+    for part in done[1:]:
+        settled = settled.unionByName(part)
+    return stored(_among(settled, _shared(settled, ["core"]), ["core"]))
+
+
 def repeated_strings(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, digest, strings: for documents that hold repeated strings, the ranges (begin,
     end; inclusive) of the starts of all of them.
@@ -111,34 +148,39 @@ def repeated_strings(docs: DataFrame, length: int) -> DataFrame:
     A document is known by its doc_id and the digest of its text; equal rows share them, and
     then all their strings are repeated.
     """
-    alive = stored(map_arrow(docs, _positions(length), POSITIONS + ", half bigint, next bigint"))
-    # Doubling: the rank of the first bytes, then its pair with the rank of the next ones.
-    for rank in (["half"], ["half", "next"]):
-        shared = alive.groupBy(*rank).count().where("count > 1").select(*rank)
-        alive = stored(alive.join(shared, rank, "left_semi"))
-    whole, around = _by_reach(alive, ["half", "next"])
+    marks = stored(map_arrow(
+        docs.withColumn("row", F.monotonically_increasing_id()), _marks(length),
+        "row bigint, doc_id bigint, digest bigint, place int, phrases int, rank int"))
+    ranked = doubled(marks.select("row", "place", "phrases", F.col("rank").cast("bigint").alias("rank")))
+    chosen = ranked.groupBy("row").agg(F.collect_list(F.struct("place", "core")).alias("at"))
+    # Equal rows hold the same marks: one of them stands for all.
+    chosen = stored(chosen.join(marks.select("row", *MARK).distinct(), "row").groupBy(*MARK).agg(
+        F.min_by("at", "row").alias("at")))
+    alive = stored(map_arrow(_texts_with(docs, chosen), _reaches(length), POSITIONS + ", core bigint"))
+    whole, around = _by_reach(alive)
     runs = stored(map_arrow(_texts_with(docs, around), _runs(length), POSITIONS + ", core bigint"))
-    more, around = _by_reach(runs, ["core"])
+    more, around = _by_reach(runs)
     strings = stored(map_arrow(_texts_with(docs, around), _strings(length),
-                               "doc_id bigint, digest bigint, begin int, string bigint"))
-    twice = strings.groupBy("string").count().where("count > 1").select("string")
-    single = strings.join(twice, "string", "left_semi").select(
+                               "doc_id bigint, digest bigint, begin int, string binary"))
+    single = _among(strings, _shared(strings, ["string"]), ["string"]).select(
         *MARK, "begin", F.col("begin").alias("end"))
     return whole.union(more).union(single).groupBy(*MARK).agg(
         F.collect_list(F.struct("begin", "end")).alias("strings"))
 
 
-def _by_reach(rows: DataFrame, core: list[str]) -> tuple[DataFrame, DataFrame]:
+def _by_reach(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The ranges of starts whose whole reach is repeated; and, of each shared core with a reach
     that is alone, one position for each of its reaches, by document."""
-    reach = [*core, "reach"]
+    reach = ["core", "reach"]
     reaches = stored(rows.groupBy(*reach).agg(
-        F.count("*").alias("n"), F.min(F.struct(*MARK, "first", "last", "anchor")).alias("one")))
-    whole = rows.join(reaches.where("n > 1").select(*reach), reach, "left_semi").select(
+        F.count("*").alias("times"),
+        F.min(F.struct(*MARK, "first", "last", "anchor")).alias("one")))
+    whole = _among(rows, reaches.where("times > 1").select(*reach, "times"), reach).select(
         *MARK, F.col("first").alias("begin"), F.col("last").alias("end"))
-    ends = reaches.groupBy(*core).agg(F.min("n").alias("least"), F.sum("n").alias("all")).where(
-        "least = 1 and all > 1").select(*core)
-    return whole, stored(reaches.join(ends, core, "left_semi").select("one.*").groupBy(*MARK).agg(
+    ends = reaches.groupBy("core").agg(
+        F.min("times").alias("least"), F.sum("times").alias("all"), F.count("*").alias("times")).where(
+        "least = 1 and all > 1").select("core", "times")
+    return whole, stored(_among(reaches, stored(ends), ["core"]).select("one.*").groupBy(*MARK).agg(
         F.collect_list(F.struct("first", "last", "anchor")).alias("at")))
 
 
@@ -163,29 +205,50 @@ def _digest(text: bytes) -> int:
     return _signed(xxhash.xxh64_intdigest(text, 9))
 
 
-def _positions(length: int):
-    """Anchors of each text with the ranks of their halves and their reach."""
-    anchors = Anchors(length)
+def _marks(length: int):
+    """The marks of each text with the rank of their first phrase."""
+    cuts = Marks(length)
 
     def run(batches):
-        digest, half = xxhash.xxh3_64_intdigest, anchors.half
+        digest, gram = xxhash.xxh3_64_intdigest, cuts.gram
         for batch in batches:
-            out = []
-            for doc, text in zip(column(batch, "doc_id").to_pylist(), utf8(batch)):
-                if len(text) < length:
+            for row, doc, text in zip(column(batch, "row").to_pylist(),
+                                      column(batch, "doc_id").to_pylist(), utf8(batch)):
+                at, _, _, phrases = cuts.of(np.frombuffer(text, np.uint8))
+                if not len(at):
                     continue
-                own = _digest(text)
-                for a, first, last in zip(*(x.tolist() for x in
-                                            anchors.of(np.frombuffer(text, np.uint8)))):
-                    # Where the anchor lies in its reach counts, too.
-                    reach = digest(text[first:last + length], a - first)
-                    out.append((doc, own, first, last, a, _signed(reach),
-                                _signed(digest(text[a:a + half])),
-                                _signed(digest(text[a + half:a + 2 * half]))))
-                if len(out) > 100_000:
-                    yield _rows(out, "half", "next")
-                    out = []
-            yield _rows(out, "half", "next")
+                ends = np.where(phrases > 0, np.r_[at[1:], at[-1]], at) + gram
+                ranks = [digest(text[a:b]) & 0xFFFFFFFF for a, b in zip(at.tolist(), ends.tolist())]
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(n, row)), pa.array([doc] * n, pa.int64()),
+                    pa.array(np.full(n, _digest(text))), pa.array(np.arange(n, dtype=np.int32)),
+                    pa.array(phrases.astype(np.int32)),
+                    pa.array(np.array(ranks, np.uint32).view(np.int32))],
+                    ["row", "doc_id", "digest", "place", "phrases", "rank"])
+
+    return run
+
+
+def _reaches(length: int):
+    """The chosen marks that are the first of some string, with all bytes of their strings."""
+    cuts = Marks(length)
+
+    def run(batches):
+        digest, out = xxhash.xxh3_64_intdigest, []
+        for doc, own, text, at in _marked(batches):
+            places, first, last, _ = cuts.of(np.frombuffer(text, np.uint8))
+            for x in at:
+                k = x["place"]
+                a, b, e = int(places[k]), int(first[k]), int(last[k])
+                if b <= e:
+                    # Where the mark lies in its reach counts, too.
+                    out.append((doc, own, b, e, a, _signed(digest(text[b:e + length], a - b)),
+                                x["core"]))
+            if len(out) > 100_000:
+                yield _rows(out, "core")
+                out = []
+        yield _rows(out, "core")
 
     return run
 
@@ -256,14 +319,15 @@ def _runs(length: int):
 
 
 def _strings(length: int):
-    """Every string of the marked positions, with its digest."""
+    """Every string of the marked positions, with a digest of 128 bits."""
     def run(batches):
+        digest = xxhash.xxh3_128_digest
         for doc, own, text, at in _marked(batches):
             starts = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in at])
             yield pa.RecordBatch.from_arrays([
                 pa.array([doc] * len(starts), pa.int64()),
                 pa.array(np.full(len(starts), own, np.int64)), pa.array(starts.astype(np.int32)),
-                pa.array(string_digests(np.frombuffer(text, np.uint8), length, starts))],
+                pa.array([digest(text[i:i + length]) for i in starts.tolist()], pa.binary())],
                 ["doc_id", "digest", "begin", "string"])
 
     return run
@@ -303,13 +367,14 @@ def _cut(length: int, keep_text: bool):
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per document, and with ``keep_text`` the
-    bytes that stay, as ``kept``.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed_share (of its bytes; 0 where
+    there are none) per document, and with ``keep_text`` the bytes that stay, as ``kept``.
 
     Texts are UTF-8 bytes, a null text is empty. Every byte goes that lies in a string of
     ``length`` bytes which also starts elsewhere, in the same document or another; strings do
     not reach over documents, may overlap themselves, and are judged on the input. Texts
-    shorter than ``length`` keep everything.
+    shorter than ``length`` keep everything. A text is cut in one piece: a very long one takes
+    some forty bytes of memory a byte.
     """
     ship(docs.sparkSession)
     rows = documents_only(docs)
@@ -320,4 +385,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False)
         _joined(_squeezed(rows, chosen, True), found, MARK, "left"))
     schema = ("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
               "kept_sha256 string" + ", kept binary" * keep_text)
-    return map_arrow(texts, _cut(length, keep_text), schema)
+    share = F.coalesce(F.try_divide("n_removed", "n_bytes"), F.lit(0.0)).alias("removed_share")
+    return map_arrow(texts, _cut(length, keep_text), schema).select(
+        *[c.split()[0] for c in schema.split(", ")[:5]], share, *["kept"] * keep_text)

@@ -204,12 +204,89 @@ def test_repeats(spark, length):
                 gone[i:i + length] = b"\1" * length
         kept = bytes(c for c, g in zip(t, gone) if not g)
         spans = len(re.findall(b"\1+", bytes(gone)))
-        want.append((d, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        want.append((d, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest(),
+                     sum(gone) / len(t) if t else 0.0))
     got = repeats.remove_repeats(documents(spark, rows), length).collect()
     assert sorted(map(key, map(tuple, got))) == sorted(map(key, want))
     assert sum(w[2] for w in want) > 200
 
 
+def brute_removed(texts, length):
+    """The bytes that go, per text."""
+    seen = Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone, until = 0, 0
+        for i in range(len(t) - length + 1):
+            if seen[t[i:i + length]] > 1:
+                gone += i + length - max(i, until)
+                until = i + length
+        out.append(gone)
+    return out
+
+
+def test_repeats_over_many_rounds(spark):
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    fill = ["".join(rng.choice("ijklmnop ") for _ in range(rng.randint(0, 700))) for _ in range(60)]
+    rows = [(d, fill[d] + passage[rng.randint(0, 2500):][:rng.randint(380, 900)] + fill[-1 - d])
+            for d in range(30)]
+    rows += [(100, passage[:400]), (101, passage[:399]), (102, "q" * 5000), (103, fill[7] * 2)]
+    rows += [rows[2], (None, passage), (None, "x" + passage)]
+    want = brute_removed([t.encode() for _, t in rows], 400)
+    got = repeats.remove_repeats(documents(spark, rows), 400).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed) for r in got) == Counter(
+        (d, len(t), g) for (d, t), g in zip(rows, want))
+
+
+def test_equal_strings_are_cut_at_equal_places():
+    rng = random.Random(6)
+    for length in (1, 3, 12, 50, 400):
+        cuts = repeats.Marks(length)
+        core = bytes(rng.choice(b"ab ") for _ in range(length))
+        seen = set()
+        for _ in range(30):
+            before = bytes(rng.choice(b"ab ") for _ in range(rng.randint(0, 2 * length)))
+            text = before + core + bytes(rng.choice(b"ab ") for _ in range(rng.randint(0, length)))
+            at, first, last, phrases = cuts.of(np.frombuffer(text, np.uint8))
+            start = len(before)
+            own = [k for k in range(len(at)) if first[k] <= start <= last[k]]
+            assert len(own) == 1
+            k = own[0]
+            n = int(phrases[k])
+            places = at[k:k + n + 1] - start
+            assert places[0] >= 0 and places[-1] + cuts.gram <= length
+            seen.add(tuple(places.tolist()))
+        assert len(seen) == 1
+
+
+def test_doubling_keeps_what_is_not_alone(spark):
+    rng = random.Random(7)
+    rows = []
+    for row in range(40):
+        letters = [rng.choice([3, 5]) for _ in range(rng.randint(1, 30))]
+        for place in range(len(letters)):
+            n = min(len(letters) - place, 1 + (letters[place] * 7 + sum(letters[place:place + 3])) % 11)
+            rows.append((row, place, n, letters[place]))
+    # A mark's phrases are its own and the next ones; those of later marks reach as far.
+    by = {(r, p): (n, x) for r, p, n, x in rows}
+    reach = {}
+    for (r, p) in sorted(by, reverse=True):
+        n = by[r, p][0]
+        if (r, p + 1) in reach:
+            n = min(n, reach[r, p + 1] + 1)
+        reach[r, p] = n
+    marks = spark.createDataFrame([(r, p, reach[r, p], x) for r, p, _, x in rows],
+                                  "row long, place int, phrases int, rank long")
+    sequences = {(r, p): tuple(by[r, p + i][1] for i in range(reach[r, p])) for r, p in by}
+    times = Counter(sequences.values())
+    got = repeats.doubled(marks).collect()
+    assert {(g.row, g.place) for g in got} == {k for k, v in sequences.items() if times[v] > 1}
+    names = {}
+    for g in got:
+        assert names.setdefault(g.core, sequences[g.row, g.place]) == sequences[g.row, g.place]
+
+
 def test_language_model(spark, rows):
     got = {r.doc_id: r for r in lm.score(documents(spark, rows)).collect()}
     counts = Counter()
