@@ -211,25 +211,38 @@ def _marks(length: int):
 
     def run(batches):
         digest, gram = xxhash.xxh3_64_intdigest, cuts.gram
+        names = ["row", "doc_id", "digest", "place", "phrases", "rank"]
         for batch in batches:
+            out, ready = [], 0
             for row, doc, text in zip(column(batch, "row").to_pylist(),
                                       column(batch, "doc_id").to_pylist(), utf8(batch)):
                 at, _, _, phrases = cuts.of(np.frombuffer(text, np.uint8))
-                if not len(at):
+                n = len(at)
+                if not n:
                     continue
-                ends = np.where(phrases > 0, np.r_[at[1:], at[-1]], at) + gram
+                ends = at + gram
+                ends[:-1] = np.where(phrases[:-1] > 0, ends[1:], ends[:-1])
                 ranks = [digest(text[a:b]) & 0xFFFFFFFF for a, b in zip(at.tolist(), ends.tolist())]
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, row)), pa.array([doc] * n, pa.int64()),
-                    pa.array(np.full(n, _digest(text))), pa.array(np.arange(n, dtype=np.int32)),
-                    pa.array(phrases.astype(np.int32)),
-                    pa.array(np.array(ranks, np.uint32).view(np.int32))],
-                    ["row", "doc_id", "digest", "place", "phrases", "rank"])
+                out.append((np.full(n, row), [doc] * n, np.full(n, _digest(text)),
+                            np.arange(n, dtype=np.int32), phrases.astype(np.int32),
+                            np.array(ranks, np.uint32).view(np.int32)))
+                ready += n
+                if ready > 100_000:
+                    yield _together(out, names)
+                    out, ready = [], 0
+            if out:
+                yield _together(out, names)
 
     return run
 
 
+def _together(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """One batch of the columns of several texts; ids may be null."""
+    columns = [pa.array([x for ids in c for x in ids], pa.int64()) if name == "doc_id"
+               else pa.array(np.concatenate(c)) for name, c in zip(names, zip(*parts))]
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
 def _reaches(length: int):
     """The chosen marks that are the first of some string, with all bytes of their strings."""
     cuts = Marks(length)
