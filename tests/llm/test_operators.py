@@ -260,6 +260,44 @@ def test_equal_strings_are_cut_at_equal_places():
         assert len(seen) == 1
 
 
+@pytest.mark.parametrize("gram", [1, 2, 3, 6, 11, 16])
+def test_polynomials_by_doubling(gram):
+    cuts = repeats.Marks(400)
+    cuts.gram = gram
+    h = np.random.default_rng(gram).integers(0, 2**32, 50, dtype=np.uint32)
+    want = [sum(int(x) * pow(0x9E3779B1, gram - 1 - j) for j, x in enumerate(h[i:i + gram])) % 2**32
+            for i in range(len(h) - gram + 1)]
+    assert cuts._polynomials(h).tolist() == want
+
+
+def test_repeats_rank_few_marks_and_read_texts_thrice(spark, monkeypatch):
+    text = np.random.default_rng(3).integers(0, 256, 100_000, dtype=np.uint8)
+    assert len(repeats.Marks(400).of(text)[0]) < len(text) / 50
+    passes, squeezed = [], repeats._squeezed
+    monkeypatch.setattr(repeats, "_squeezed", lambda docs, chosen=None, wanted=True: (
+        passes.append(wanted), squeezed(docs, chosen, wanted))[1])
+    rows = [(1, "abcdefghij" * 80), (2, "abcdefghij" * 70), (3, None)]
+    assert repeats.remove_repeats(documents(spark, rows), 400).count() == 3
+    assert passes.count(True) == 3  # runs, strings and the cut itself
+
+
+@pytest.mark.parametrize("start", [1, 2, 4, 8])
+def test_first_ranks_name_the_first_phrases(monkeypatch, start):
+    monkeypatch.setattr(repeats, "START", start)
+    rng = random.Random(start)
+    cuts, names = repeats.Marks(60), {}
+    parts = [bytes(rng.choice(b"abcdef ") for _ in range(150)) for _ in range(3)]
+    for _ in range(40):
+        text = b"".join(rng.choice(parts)[rng.randint(0, 30):] for _ in range(4))
+        at, _, _, phrases = cuts.of(np.frombuffer(text, np.uint8))
+        ranks = repeats._ranks(text, at, phrases, cuts.gram)
+        for k, n in enumerate(np.minimum(phrases, start).tolist()):
+            own = (n, text[at[k]:at[k + n] + cuts.gram],
+                   tuple((at[k:k + n + 1] - at[k]).tolist()))
+            assert names.setdefault(int(ranks[k]), own) == own
+    assert len(set(names.values())) == len(names) > 20
+
+
 def test_doubling_keeps_what_is_not_alone(spark):
     rng = random.Random(7)
     rows = []
