@@ -10,10 +10,11 @@ Among words of one number a word has its discounted share of the number's count,
 discount leaves is the probability of an unknown word. Together the probabilities of all known
 words and of one unknown word per shared number add up to 1.
 
-Word counts cover all training documents. The vectors are warmed up on a bounded sample and
-then trained on the rest of the training tokens: each task passes over its own documents, and
-the changes are averaged by a grouping. One training document in 32 is left out of that (but
-counted); the weights of the mixture are fitted on those of the sample.
+Word counts cover all training documents, and so do the vectors. They are trained in rounds: in
+each, every task passes over its own documents, and the changes are averaged by a grouping. The
+first round takes one document in 16 (more of a small table) in few tasks, the second all
+others; one in 32 is left out of both. The weights of the mixture are fitted on all that were
+left out, by sums over them, and then a last round trains the vectors on these, too.
 """
 
 from __future__ import annotations
@@ -34,9 +35,10 @@ from stagewise.llm.common import column, documents_only, map_arrow, ship, stored
 OWN, SHARED, SIZE, CONTEXT = 32768, 64, 16, 3
 #: Most words whose counts every task holds; the others' counts are joined.
 HELD = 1 << 18
-#: Documents of the warm-up, at most about, and the bytes of one; one in LEFT_OUT documents is
-#: kept for the weights of the mixture, which take ROUNDS rounds.
-WARM_UP, WARM_BYTES, LEFT_OUT, ROUNDS = 3000, 1 << 15, 32, 20
+#: One in PARTS documents is in the first round, and more until these have FEW tokens; a task of
+#: it takes about TASK tokens. One in LEFT_OUT documents is kept for the weights of the mixture,
+#: which take ROUNDS rounds.
+PARTS, FEW, TASK, LEFT_OUT, ROUNDS = 16, 1 << 21, 1 << 20, 32, 20
 #: Noise words per minibatch, their weight, tokens of a minibatch, learning rate, first sum of
 #: squares; a change is averaged in steps of 1 / FINE, by thousands of tokens.
 NOISE, NOISE_RATIO, BATCH, RATE, FIRST, FINE = 64, 16.0, 2048, 0.1, 0.1, 1 << 16
@@ -100,11 +102,11 @@ class Vocabulary:
             if held > HELD:
                 break
             least = r["level"]
-        rows = counts.where(level >= least).collect() if least is not None else []
-        rows.sort(key=lambda r: (-r["c"], r["word"]))
+        rows = counts.where(level >= least if least is not None else F.lit(False)).select(
+            "word", "c").orderBy(F.desc("c"), "word").toArrow()
         self.tail = counts.where(level < least) if least is not None else counts
-        self.words = [bytes(r["word"]) for r in rows]
-        self.counts = np.array([r["c"] for r in rows], np.int64)
+        self.words = rows.column("word").to_pylist()
+        self.counts = rows.column("c").to_numpy().astype(np.int64)
         own = [w for w in self.words if w != END][:OWN - 1]
         self.own = {w: k for k, w in enumerate([END, *own])}
         index = {w: k for k, w in enumerate(self.words)}
@@ -234,16 +236,24 @@ class LogBilinear:
         self.table[marks, columns] += RATE * step / np.sqrt(squares + FIRST)
 
 
-def mixture(parts: np.ndarray) -> np.ndarray:
+def mixture(parts) -> np.ndarray:
     """The weights of the columns under which the rows are likeliest (expectation and
-    maximisation)."""
-    weights = np.full(parts.shape[1], 1 / parts.shape[1])
-    for _ in range(ROUNDS if len(parts) else 0):
-        own = parts * weights
-        weights = (own / own.sum(1, keepdims=True)).mean(0)
+    maximisation). ``parts`` are the rows, or a function from weights to the sums of shares."""
+    weights = np.full(CONTEXT + 1, 1 / (CONTEXT + 1))
+    for _ in range(ROUNDS):
+        found = parts(weights) if callable(parts) else shares(parts, weights)
+        if not found.sum():
+            break
+        weights = found / found.sum()
     return weights
 
 
+def shares(parts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What the columns have in the rows' probabilities, summed over the rows."""
+    own = parts * weights
+    return (own / own.sum(1, keepdims=True)).sum(0)
+
+
 def _passes(texts: list[bytes]):
     """Words and lengths of documents, about SLAB tokens at a time."""
     words, lengths = [], []
@@ -318,28 +328,36 @@ def _looked_up(words, lengths, index, slots, base, inner):
             for n, *row, r, a, e in zip(lengths, *sums, rare, begins.tolist(), ends.tolist())]
 
 
-def train(rows: DataFrame, share: np.ndarray, documents: int) -> tuple[LogBilinear, list]:
-    """The model, and the documents for the mixture; ``rows`` are the encoded training
-    documents."""
-    spark = rows.sparkSession
-    every = max(1, documents // WARM_UP)
-    order = F.xxhash64("slots")
-    sample = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) & (
-        F.octet_length("slots") <= WARM_BYTES)).orderBy(order, "slots").limit(
-        2 * WARM_UP).select("slots", "left_out").collect()
+def train(rows: DataFrame, share: np.ndarray, tokens: int) -> tuple[LogBilinear, np.ndarray]:
+    """The model and its sums of squares after all the encoded documents, of about so many
+    tokens. Where the first round takes all of them, so does the second."""
     model = LogBilinear.start(share)
     memory = np.zeros(model.SHAPE, np.float32)
-    rng = np.random.Generator(np.random.PCG64(5))
-    for slot, lengths in _numbered([bytes(r["slots"]) for r in sample if not r["left_out"]]):
-        model.train(contexts(slot, lengths), slot, share, rng, memory)
-    shared = spark.sparkContext.broadcast((model.table, memory, share))
+    first = min(PARTS, max(1, -(-PARTS * FEW // max(1, tokens))))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(PARTS))
+    model, memory = trained(
+        gathered(rows.where(part < first), tokens * first // PARTS), model, memory, share, 1)
+    return trained(rows if first == PARTS else rows.where(part >= first), model, memory, share, 2)
+
+
+def gathered(rows: DataFrame, tokens: int) -> DataFrame:
+    """Documents of about so many tokens in few tasks, in an order of their own."""
+    return rows.select("slots").repartition(max(1, tokens // TASK)).sortWithinPartitions(
+        F.xxhash64("slots"), "slots")
+
+
+def trained(rows: DataFrame, model: LogBilinear, memory: np.ndarray, share: np.ndarray,
+            number: int) -> tuple[LogBilinear, np.ndarray]:
+    """The model and its sums of squares after a round: a pass of each task over its documents,
+    then the means of the changes and of the roots of the sums."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.table, memory, share))
     size = LogBilinear.SHAPE[1]
-    names = [f"x{k}" for k in range(size)]
+    names = [f"{kind}{k}" for kind in "xr" for k in range(size)]
 
     def run(batches):
         start, sums, share = shared.value
-        local, sums = LogBilinear(start.copy()), sums.copy()
-        rng, seen = np.random.Generator(np.random.PCG64([5, TaskContext.get().partitionId()])), 0
+        local, sums, seen = LogBilinear(start.copy()), sums.copy(), 0
+        rng = np.random.Generator(np.random.PCG64([5, number, TaskContext.get().partitionId()]))
         for batch in batches:
             for slot, lengths in _numbered(column(batch, "slots").to_pylist()):
                 local.train(contexts(slot, lengths), slot, share, rng, sums)
@@ -347,22 +365,58 @@ def train(rows: DataFrame, share: np.ndarray, documents: int) -> tuple[LogBiline
         weight = -(-seen // 1024)
         change = np.rint((local.table - start) * FINE).astype(np.int64) * weight
         moved = np.flatnonzero(change.any(1))
+        roots = np.rint(np.sqrt(sums[moved]) * FINE).astype(np.int64) * weight
+        values = np.ascontiguousarray(np.c_[change[moved], roots].T)
         yield pa.RecordBatch.from_arrays(
             [pa.array(moved.astype(np.int32)), pa.array(np.full(len(moved), weight)),
-             *[pa.array(np.ascontiguousarray(change[moved, k])) for k in range(size)]],
-            ["row", "w", *names])
+             *[pa.array(v) for v in values]], ["row", "w", *names])
 
-    parts = map_arrow(rows.where(~F.col("left_out")).select("slots"), run, (
+    parts = map_arrow(rows.select("slots"), run, (
         "row int, w bigint, " + ", ".join(f"{n} bigint" for n in names)))
     # Whole numbers, so that the order of adding up does not matter; a row per slot at most.
-    table = model.table.astype(np.float64)
     averaged = parts.groupBy("row").agg(
-        *[(F.sum(n) / F.sum("w") / FINE).alias(n) for n in names]).toArrow()
+        *[(F.sum(n) / F.sum("w") / FINE).cast("float").alias(n) for n in names]).toArrow()
+    table, memory = model.table.astype(np.float64), memory.copy()
     if averaged.num_rows:
-        change = np.stack([averaged.column(n).to_numpy() for n in names], 1)
-        table[averaged.column("row").to_numpy()] += change
-    return LogBilinear(table.astype(np.float32)), [
-        bytes(r["slots"]) for r in sample if r["left_out"]]
+        moved = averaged.column("row").to_numpy()
+        for k in range(size):
+            table[moved, k] += averaged.column(f"x{k}").to_numpy()
+            memory[moved, k] = averaged.column(f"r{k}").to_numpy() ** 2
+    return LogBilinear(table.astype(np.float32)), memory
+
+
+def fitted_weights(rows: DataFrame, model: LogBilinear, sums: np.ndarray,
+                   share: np.ndarray) -> np.ndarray:
+    """The weights of the mixture under which all the encoded documents are likeliest."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.table, sums, share))
+
+    def likely(batches):
+        table, sums, share = shared.value
+        own = LogBilinear(table)
+        for batch in batches:
+            for slot, lengths in _numbered(column(batch, "slots").to_pylist()):
+                parts = own.probabilities(contexts(slot, lengths), slot, sums, share)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([parts.astype(np.float32).tobytes()], pa.binary())], ["parts"])
+
+    found = stored(map_arrow(rows.select("slots"), likely, "parts binary"))
+    names = [f"x{j}" for j in range(CONTEXT + 1)]
+
+    def summed(weights):
+        def run(batches):
+            total = np.zeros(CONTEXT + 1)
+            for batch in batches:
+                for blob in column(batch, "parts").to_pylist():
+                    parts = np.frombuffer(blob, np.float32).reshape(-1, CONTEXT + 1)
+                    total += shares(parts.astype(np.float64), weights)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x]) for x in np.rint(total * FINE).astype(np.int64).tolist()], names)
+
+        # A row of whole numbers per task.
+        rows = map_arrow(found, run, ", ".join(f"{n} bigint" for n in names)).collect()
+        return np.array(rows, np.float64).reshape(-1, CONTEXT + 1).sum(0)
+
+    return mixture(summed)
 
 
 def log_sums(spark, model: LogBilinear) -> np.ndarray:
@@ -405,12 +459,12 @@ def score(docs: DataFrame) -> DataFrame:
     vocabulary = Vocabulary(word_counts(docs.where(~F.col("held_out"))))
     rows = encoded(docs, vocabulary)
     share = (vocabulary.slot_counts + 0.1) / (vocabulary.slot_counts.sum() + 0.1 * SLOTS)
-    model, tuning = train(rows.where(~F.col("held_out")), share, int(vocabulary.slot_counts[0]))
+    learning, tokens = rows.where(~F.col("held_out")), int(vocabulary.n)
+    model, memory = train(learning.where(~F.col("left_out")), share, tokens)
+    left_out = learning.where("left_out")
+    weights = fitted_weights(left_out, model, log_sums(spark, model), share)
+    model, _ = trained(gathered(left_out, tokens // LEFT_OUT), model, memory, share, 3)
     sums = log_sums(spark, model)
-    weights = mixture(np.concatenate([
-        np.empty((0, CONTEXT + 1)),
-        *[model.probabilities(contexts(slot, lengths), slot, sums, share)
-          for slot, lengths in _numbered(tuning)]]))
     shared = spark.sparkContext.broadcast((model.table, sums, share, weights))
 
     def run(batches):

@@ -378,6 +378,36 @@ def test_language_model_learns_and_repeats(spark):
     assert sorted(lm.score(docs).collect()) == sorted(got)
 
 
+@pytest.mark.parametrize("few", [1, 1 << 21])
+def test_language_model_learns_from_every_training_document(spark, monkeypatch, few):
+    rng = random.Random(4)
+    docs = documents(spark, [
+        (d, " ".join(rng.choices("abcdefgh", k=5 + 20_000 * (d == 7)))) for d in range(400)])
+    rounds, weighed, whole, fit = [], [], lm.trained, lm.fitted_weights
+
+    def trained(rows, *more):
+        rounds.append(Counter(bytes(r.slots) for r in rows.select("slots").collect()))
+        return whole(rows, *more)
+
+    def fitted_weights(rows, model, sums, share):
+        weighed.append(Counter(bytes(r.slots) for r in rows.select("slots").collect()))
+        parts = [model.probabilities(lm.contexts(slot, lengths), slot, sums, share)
+                 for slot, lengths in lm._numbered(weighed[0].elements())]
+        got = fit(rows, model, sums, share)
+        assert got == pytest.approx(lm.mixture(np.concatenate(parts)), abs=1e-4)
+        return got
+
+    monkeypatch.setattr(lm, "FEW", few)
+    monkeypatch.setattr(lm, "trained", trained)
+    monkeypatch.setattr(lm, "fitted_weights", fitted_weights)
+    learning = [r for r in lm.score(docs).collect() if not r.held_out]
+    seen = rounds[1] + rounds[2] + (rounds[0] if few == 1 else Counter())
+    assert sum(seen.values()) == len(learning)
+    assert sum(len(k) * n for k, n in seen.items()) == 2 * sum(r.n_tokens for r in learning)
+    assert weighed == [rounds[2]] and sum(rounds[2].values()) > 0
+    assert few == 1 or rounds[0] == rounds[1]
+
+
 def test_pieces_equal_the_library_and_come_back(spark, rows):
     import sentencepiece
 
