@@ -239,6 +239,15 @@ def test_repeats_over_many_rounds(spark):
         (d, len(t), g) for (d, t), g in zip(rows, want))
 
 
+def test_repeats_hold_few_texts_at_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "HELD", 3)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(n))}) for n in (0, 2, 7)]
+    parts = [p.column(0).to_pylist() for p in repeats._parts(batches)]
+    assert parts == [[0, 1], [0, 1, 2], [3, 4, 5], [6]]
+
+
 def test_equal_strings_are_cut_at_equal_places():
     rng = random.Random(6)
     for length in (1, 3, 12, 50, 400):
