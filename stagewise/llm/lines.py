@@ -13,6 +13,8 @@ character is left, where all members are linked by one star.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,7 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stagewise.llm.common import column, documents_only, map_arrow, ship, stored, utf8
+from stagewise.llm.common import (
+    column,
+    documents_only,
+    map_arrow,
+    parts,
+    ship,
+    stored,
+    utf8,
+)
 from stagewise.llm.components import components
 
 #: Shorter lines (after normalisation) never count as duplicates.
@@ -121,7 +131,7 @@ def doc_key(doc_id: int | None, text: bytes) -> bytes:
 def occurrences(docs: DataFrame, least: int) -> DataFrame:
     """Stored: doc, doc_id, line (number from 0), id of every long enough line."""
     def run(batches):
-        for batch in batches:
+        for batch in chain.from_iterable(map(parts, batches)):
             rows, ids = ([], [], [], []), column(batch, "doc_id").to_pylist()
             texts = utf8(batch)
             for _, row, lines in _line_batches([batch], least):
@@ -144,15 +154,17 @@ def _standing(texts: DataFrame, most: int, least: int) -> DataFrame:
     """Where each line of the documents stands, once per batch."""
     def run(batches):
         for batch in batches:
-            seen, rows = set(), []
-            for _, _, lines in _line_batches([batch], least):
-                for _, x in lines:
-                    if x not in seen:
-                        seen.add(x)
+            seen = set()
+            for part in parts(batch):
+                rows = []
+                for _, _, lines in _line_batches([part], least):
+                    for _, x in lines:
                         own = line_id(x)
-                        rows += [(mark, own, low, high, inside)
-                                 for mark, inside, low, high in keys(x, most)]
-            yield _table(rows, ("key", "id", "low", "high", "indexed"))
+                        if own not in seen:
+                            seen.add(own)
+                            rows += [(mark, own, low, high, inside)
+                                     for mark, inside, low, high in keys(x, most)]
+                yield _table(rows, ("key", "id", "low", "high", "indexed"))
 
     return map_arrow(texts, run, STANDING)
 
@@ -193,17 +205,20 @@ def _texts(docs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = {}
-            for _, _, lines in _line_batches([batch], least):
-                for _, x in lines:
-                    own = line_id(x)
-                    bit = xxhash.xxh64_intdigest(own, seed)
-                    bit = (bit - ((bit >> 63) << 64)) % FILTER_BITS
-                    if chosen.value[bit // 32] >> np.uint32(bit % 32) & 1:
-                        found[own] = x
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())],
-                ["id", "x"])
+            seen = set()
+            for part in parts(batch):
+                found = {}
+                for _, _, lines in _line_batches([part], least):
+                    for _, x in lines:
+                        own = line_id(x)
+                        bit = xxhash.xxh64_intdigest(own, seed)
+                        bit = (bit - ((bit >> 63) << 64)) % FILTER_BITS
+                        if own not in seen and chosen.value[bit // 32] >> np.uint32(bit % 32) & 1:
+                            found[own] = x
+                seen.update(found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(found), pa.binary()),
+                     pa.array(list(found.values()), pa.string())], ["id", "x"])
 
     rows = map_arrow(docs, run, "id binary, x string").join(ids, "id", "left_semi")
     return stored(rows.dropDuplicates(["id"]))
@@ -321,7 +336,7 @@ def dedup_lines(docs: DataFrame, most: int = 1, least: int = LEAST_CHARS) -> Dat
 
     def pack(batches):
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in chain.from_iterable(map(parts, batches)):
             texts = utf8(batch)
             ids = column(batch, "doc_id").to_pylist()
             arrays = batch.columns
@@ -332,7 +347,7 @@ def dedup_lines(docs: DataFrame, most: int = 1, least: int = LEAST_CHARS) -> Dat
 
     def unpack(batches):
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in chain.from_iterable(map(parts, batches)):
             texts = []
             for blob, drop in zip(column(batch, "text").to_pylist(),
                                   column(batch, "__lines").to_pylist()):

@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import column, documents_only, map_arrow, stored, utf8
+from stagewise.llm.common import column, documents_only, map_arrow, parts, stored, utf8
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
@@ -154,7 +154,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches):
         part, local, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer).encode
-        for batch in batches:
+        for batch in chain.from_iterable(map(parts, batches)):
             blobs = [x + end for x in encode(utf8(batch))]
             counts = [len(x) // 4 for x in blobs]
             begins = [local, *accumulate(counts, initial=local)][1:-1] if counts else []

@@ -9,18 +9,20 @@ document's score.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import column, map_arrow, ship, utf8
+from stagewise.llm.common import HELD, column, map_arrow, parts, ship, utf8
 
 #: Labelled documents the field is fitted on, at most: those with the smallest hashes.
 SAMPLE = 6000
 STEPS, RATE, PENALTY = 150, 0.1, 1e-3
 #: Bytes of text whose lines are described at once.
-SLAB = 1 << 22
+SLAB = 1 << 20
 NEWLINE = 10
 
 _CLASSES = np.zeros(256, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 space, 4 stop, 5 mark, 6 other
@@ -172,7 +174,7 @@ def _slabs(texts: list[bytes]):
 
 
 def _describe(batches):
-    for batch in batches:
+    for batch in chain.from_iterable(map(parts, batches)):
         texts = utf8(batch)
         for at, end in _slabs(texts):
             features, sizes, counts = lines_of(texts[at:end])
@@ -192,7 +194,7 @@ def quality_scores(docs: DataFrame, model, *more: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in chain.from_iterable(map(parts, batches)):
             texts, scores = utf8(batch), []
             for at, end in _slabs(texts):
                 if model is None:
@@ -226,11 +228,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     def good(texts):
         import pandas as pd
 
-        raw = [(t or "").encode() for t in texts]
-        if model is None or not raw:
-            return pd.Series([True] * len(raw))
+        if model is None or not len(texts):
+            return pd.Series([True] * len(texts))
         field, scale = model
-        shares = np.concatenate([field.shares(*lines_of(raw[a:b])) for a, b in _slabs(raw)])
+        shares = []
+        for at in range(0, len(texts), HELD):
+            raw = [(t or "").encode() for t in texts[at:at + HELD]]
+            shares += [field.shares(*lines_of(raw[a:b])) for a, b in _slabs(raw)]
+        shares = np.concatenate(shares)
         return pd.Series(1 / (1 + np.exp(-(scale[0] * _logit(shares) + scale[1]))) >= threshold)
 
     return docs.where(F.pandas_udf(good, "boolean")(docs["text"]))

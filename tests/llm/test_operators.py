@@ -634,6 +634,37 @@ def test_lines_against_all_pairs(spark, monkeypatch):
         map(key, want))
 
 
+def test_stages_hold_few_texts_at_once(monkeypatch):
+    import pyarrow as pa
+
+    from stagewise.llm import common
+
+    texts = ["one line\nanother line", None, "one line", "", "another line\nthird", "one line", "x"]
+    batch = pa.RecordBatch.from_pydict(
+        {"doc_id": range(7), "text": [t or "" for t in texts], "label": [0] * 7})
+    held = []
+
+    def bytes_of(part):
+        held.append(part.num_rows)
+        return common.utf8(part)
+
+    for module in (lines, quality):
+        monkeypatch.setattr(module, "utf8", bytes_of)
+    monkeypatch.setattr(lines, "map_arrow", lambda df, run, schema: run)
+    monkeypatch.setattr(lines, "stored", lambda run: run)
+
+    def rows():
+        found = [run([batch, batch.slice(0, 0)]) for run in (
+            lines._standing(None, 1, 5), lines.occurrences(None, 5), quality._describe)]
+        return [[r for part in parts for r in part.to_pylist()] for parts in found]
+
+    whole = rows()
+    held.clear()
+    monkeypatch.setattr(common, "HELD", 3, raising=False)
+    assert rows() == whole  # the same line is written once per batch, not per part
+    assert max(held) == 3
+
+
 def test_bounded_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
