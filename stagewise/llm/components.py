@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     map-side minima and two joins with a table of one row per node. The minima of nodes that
     have more than a hundredth of all edges (there are at most two hundred) are broadcast, so
     the edges of a hub are never brought together. The number of rounds grows with the
-    logarithm of the longest chain.
+    logarithm of the longest chain. Minima and stars are stored one by one: in one plan each
+    use of them would be planned again, with all that it is made from.
     """
     current = stored(edges.where("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -25,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or state[0] == 0:
             break
         before = state
-        current = stored(_small_star(_large_star(current, state[0]), state[0]))
+        current = stored(_small_star(stored(_large_star(current, state[0])), state[0]))
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         current.select("v", "v").distinct())
 
@@ -44,13 +45,14 @@ def _with_least(edges: DataFrame, least: DataFrame, count: int) -> DataFrame:
 
 def _large_star(edges: DataFrame, count: int) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+    least = stored(both.groupBy("u").agg(
+        F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("n")))
     return _with_least(both, least, count).where("v > u").select(
         F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame, count: int) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
     rest = _with_least(edges, least, count).where("v <> m").select(
         F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.union(least.select("u", F.col("m"))).distinct()

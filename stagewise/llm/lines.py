@@ -193,8 +193,8 @@ def _filter(ids: DataFrame) -> np.ndarray:
     words = ids.select(bit.alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits"))
     out = np.zeros(FILTER_BITS // 32, np.uint32)
-    for r in words.collect():  # FILTER_BITS / 32 at most
-        out[r["word"]] = r["bits"]
+    found = words.toArrow()  # FILTER_BITS / 32 rows at most, some bytes each
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
     return out
 
 

@@ -248,6 +248,23 @@ def test_repeats_hold_few_texts_at_once(monkeypatch):
     assert parts == [[0, 1], [0, 1, 2], [3, 4, 5], [6]]
 
 
+@pytest.mark.parametrize("module, name", [(lines, "id")])
+def test_filters_reach_the_driver_as_arrays(spark, monkeypatch, module, name):
+    kind = "binary" if name == "id" else "long"
+    df = spark.createDataFrame([(b"%d" % k if name == "id" else k * 31 - 5000,)
+                                for k in range(400)], f"{name} {kind}")
+    bit = F.xxhash64("id") if name == "id" else F.col("digest")
+    want = {r[0] for r in df.select(F.pmod(bit, F.lit(module.FILTER_BITS))).collect()}
+
+    def collect(self):
+        raise AssertionError("rows as objects")
+
+    monkeypatch.setattr(type(df), "collect", collect)
+    bits = np.unpackbits(module._filter(df).view(np.uint8), bitorder="little")
+    assert set(np.flatnonzero(bits).tolist()) == want
+    assert not module._filter(df.limit(0)).any()
+
+
 def test_equal_strings_are_cut_at_equal_places():
     rng = random.Random(6)
     for length in (1, 3, 12, 50, 400):
@@ -597,6 +614,19 @@ def test_components_with_a_hub(spark):
     assert got == {**{i: 0 for i in range(300)}, **{1000 + i: 1000 for i in range(41)}}
 
 
+def test_components_plan_minima_and_stars_once(spark, monkeypatch):
+    from stagewise.llm import components
+
+    joins, real = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df: (
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")),
+        real(df))[1])
+    pairs = [(i, i + 1) for i in range(20)]
+    got = components.components(spark.createDataFrame(pairs, "u long, v long"))
+    assert {(r.node, r.component) for r in got.collect()} == {(i, 0) for i in range(21)}
+    assert 0 < max(joins) <= 3
+
+
 def test_lines_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(lines, "PAIRED", 3)  # so that shared segments are refined
     rng = random.Random(8)
