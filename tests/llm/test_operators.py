@@ -248,7 +248,38 @@ def test_repeats_hold_few_texts_at_once(monkeypatch):
     assert parts == [[0, 1], [0, 1, 2], [3, 4, 5], [6]]
 
 
-@pytest.mark.parametrize("module, name", [(lines, "id")])
+def test_batches_are_small_inside_only(spark):
+    import pyarrow as pa
+
+    from stagewise.llm.common import BATCH_ROWS, small_batches
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    df = spark.range(0, 100, 1, 1).mapInArrow(sizes, "n long")
+    before = spark.conf.get(BATCH_ROWS)
+    with small_batches(spark, 30):
+        assert max(r.n for r in df.collect()) <= 30
+        with small_batches(spark, 50):
+            assert spark.conf.get(BATCH_ROWS) == "30"
+    assert spark.conf.get(BATCH_ROWS) == before
+
+
+def test_repeats_hand_python_few_texts_at_once(spark, monkeypatch):
+    from stagewise.llm.common import BATCH_ROWS
+
+    seen, real, before = [], repeats.stored, spark.conf.get(BATCH_ROWS)
+    monkeypatch.setattr(repeats, "stored", lambda df: (
+        seen.append(int(spark.conf.get(BATCH_ROWS))), real(df))[1])
+    rows = [(1, "abcdefghij" * 80), (2, "abcdefghij" * 70), (3, None)]
+    got = repeats.remove_repeats(documents(spark, rows), 400)
+    assert seen and max(seen) <= repeats.HELD < int(before)
+    assert spark.conf.get(BATCH_ROWS) == before
+    assert sorted((r.doc_id, r.n_removed) for r in got.collect()) == [(1, 800), (2, 700), (3, 0)]
+
+
+@pytest.mark.parametrize("module, name", [(lines, "id"), (repeats, "digest")])
 def test_filters_reach_the_driver_as_arrays(spark, monkeypatch, module, name):
     kind = "binary" if name == "id" else "long"
     df = spark.createDataFrame([(b"%d" % k if name == "id" else k * 31 - 5000,)
