@@ -20,16 +20,15 @@ left out, by sums over them, and then a last round trains the vectors on these,
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import column, documents_only, map_arrow, ship, stored, utf8
+from stagewise.llm.common import column, documents_only, map_arrow, ship, stored
 
 #: Words with a slot of their own, slots the others share, size of a vector, words before.
 OWN, SHARED, SIZE, CONTEXT = 32768, 64, 16, 3
@@ -44,17 +43,32 @@ PARTS, FEW, TASK, LEFT_OUT, ROUNDS = 16, 1 << 21, 1 << 20, 32, 20
 NOISE, NOISE_RATIO, BATCH, RATE, FIRST, FINE = 64, 16.0, 2048, 0.1, 0.1, 1 << 16
 #: Rows of the table of vectors that are normalised at once.
 ROWS = 64
-#: Distinct words that a task counts before it passes them on; tokens scored at once.
-COUNTED, SLAB = 200_000, 1 << 17
+#: Words that a task counts before it passes them on; tokens scored at once; bytes of the texts
+#: that are cut into words at once.
+COUNTED, SLAB, CUT = 1 << 20, 1 << 17, 1 << 23
 END = b""
 SLOTS = OWN + SHARED
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Lower-cased words, then the end."""
-    words = text.lower().split()
-    words.append(END)
-    return words
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of documents, an end after each document's, and how many it has."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    # White space at the end leaves an empty word, and so does a text without words.
+    none, space = pa.scalar("", texts.type), pa.scalar(" ", texts.type)
+    closed = pc.binary_join_element_wise(trimmed, none, space)
+    found = pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, none), none, closed))
+    large = pa.types.is_large_string(texts.type)
+    words = found.flatten().cast(pa.large_binary() if large else pa.binary())
+    return words, pc.list_value_length(found).to_numpy().astype(np.int64)
+
+
+def cuts(batch: pa.RecordBatch):
+    """The batch in parts whose texts have about CUT bytes."""
+    sizes = pc.binary_length(column(batch, "text")).to_numpy().astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // CUT
+    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for a, e in zip(edges, edges[1:]):
+        yield batch.slice(a, e - a)
 
 
 def held_out(doc_id):
@@ -65,26 +79,34 @@ def shared_slot(word: bytes) -> int:
     return OWN + zlib.crc32(word[-3:]) % SHARED
 
 
+def shared_slots(words: pa.Array) -> np.ndarray:
+    ends = pc.binary_slice(words, -3).dictionary_encode()
+    own = np.array([shared_slot(w) for w in ends.dictionary.to_pylist()], np.int64)
+    return own[ends.indices.to_numpy()]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """Stored table: word, c over all given documents."""
     def run(batches):
-        found = Counter()
+        held, size = [], 0
         for batch in batches:
-            for text in utf8(batch):
-                found.update(tokens(text))
-                if len(found) > COUNTED:
-                    yield _counted(found)
-                    found = Counter()
-        yield _counted(found)
+            for part in cuts(batch):
+                held.append(tokens(column(part, "text"))[0])
+                size += len(held[-1])
+                if size > COUNTED:
+                    yield _counted(held)
+                    held, size = [], 0
+        if held:
+            yield _counted(held)
 
     parts = map_arrow(docs.select("text"), run, "word binary, c bigint")
     return stored(parts.groupBy("word").agg(F.sum("c").alias("c")))
 
 
-def _counted(found: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([
-        pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())],
-        ["word", "c"])
+def _counted(held: list[pa.Array]) -> pa.RecordBatch:
+    found = pa.chunked_array(held).value_counts()
+    return pa.RecordBatch.from_arrays(
+        [found.field("values").cast(pa.binary()), found.field("counts")], ["word", "c"])
 
 
 class Vocabulary:
@@ -138,12 +160,13 @@ class Vocabulary:
             alone, 1.0, (self.counts - self.discount[self.slots]) / np.maximum(total, 1)))
 
 
-def slots_of(words: list[bytes], index: dict, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def slots_of(words: pa.Array, held: pa.Array, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place in the list of held words (-1: none) and slot of each word."""
-    place = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
-    slot = slots[place] if len(slots) else np.zeros(len(words), np.int64)
-    for k in np.flatnonzero(place < 0).tolist():
-        slot[k] = shared_slot(words[k])
+    found = pc.index_in(words, value_set=held.cast(words.type))
+    place = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+    slot = np.append(slots, 0)[place]
+    missing = np.flatnonzero(place < 0)
+    slot[missing] = shared_slots(words.take(pa.array(missing)))
     return place, slot
 
 
@@ -193,10 +216,11 @@ class LogBilinear:
         """Per token the probability of its slot by the counts and by each place."""
         out = np.empty((len(slot), CONTEXT + 1))
         out[:, 0] = share[slot]
-        target, bias = self.targets[slot], self.bias[slot]
+        target, bias = np.ascontiguousarray(self.targets).take(slot, 0), self.bias[slot]
         for j in range(CONTEXT):
             own = before[:, j]
-            scores = np.einsum("ij,ij->i", self.vectors[own] * self.places[j], target) + bias
+            rows = (self.vectors * self.places[j]).take(own, 0)
+            scores = np.einsum("ij,ij->i", rows, target) + bias
             out[:, j + 1] = np.exp(scores - sums[own, j])
         return out
 
@@ -210,30 +234,44 @@ class LogBilinear:
             j = turn % CONTEXT
             own, t = before[a:a + BATCH, j], slot[a:a + BATCH]
             n = np.searchsorted(edges, rng.random(NOISE) * edges[-1]).clip(0, SLOTS - 1)
-            rows, target, noise = self.vectors[own], self.targets[t], self.targets[n]
+            # Whole rows are faster to take than parts of rows.
+            rows, noise = self.table.take(own, 0)[:, :SIZE], self.targets[n]
+            at = self.table.take(t, 0)
+            target = at[:, SIZE:2 * SIZE]
             place = self.places[j].copy()
             hidden = rows * place
-            good = (hidden * target).sum(1) + self.bias[t] - offset[t]
-            false = hidden @ noise.T + (self.bias[n] - offset[n])
+            good = (hidden * target).sum(1) + at[:, 2 * SIZE] - offset[t]
+            down = hidden @ noise.T
+            down += self.bias[n] - offset[n]
+            np.exp(np.negative(down, out=down), out=down)
+            down += 1
+            np.divide(-NOISE_RATIO / NOISE, down, out=down)
             up = 1 / (1 + np.exp(good))
-            down = (-NOISE_RATIO / NOISE) / (1 + np.exp(-false))
-            back = up[:, None] * target + down @ noise
+            back = up[:, None] * target
+            back += down @ noise
             self._step(memory, np.array([SLOTS + 1 + j]), slice(0, SIZE),
                        (back * rows).sum(0, keepdims=True) / len(t))
             self._step(memory, own, slice(0, SIZE), back * place)
-            moved = np.r_[t, n]
-            self._step(memory, moved, slice(SIZE, None), np.c_[
-                np.r_[up[:, None] * hidden, down.T @ hidden], np.r_[up, down.sum(0)]])
+            moved = np.empty((len(t) + NOISE, SIZE + 1), np.float32)
+            np.multiply(up[:, None], hidden, out=moved[:len(t), :SIZE])
+            moved[len(t):, :SIZE] = down.T @ hidden
+            moved[:len(t), SIZE], moved[len(t):, SIZE] = up, down.sum(0)
+            self._step(memory, np.concatenate([t, n]), slice(SIZE, None), moved)
 
     def _step(self, memory, rows: np.ndarray, columns: slice, values: np.ndarray) -> None:
         """A step along the sum of the values of each row, repeated rows included."""
-        order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
-        begins = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        marks, step = ordered[begins], np.add.reduceat(values[order], begins)
-        squares = memory[marks, columns] + step * step
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # two bytes: by radix
+        ordered = rows.take(order)
+        begins = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+        begins = np.concatenate([[0], begins])
+        marks, step = ordered[begins], np.add.reduceat(values.take(order, 0), begins)
+        squares = step * step
+        squares += memory[marks, columns]
         memory[marks, columns] = squares
-        self.table[marks, columns] += RATE * step / np.sqrt(squares + FIRST)
+        squares += FIRST
+        step *= RATE
+        step /= np.sqrt(squares, out=squares)
+        self.table[marks, columns] += step
 
 
 def mixture(parts) -> np.ndarray:
@@ -254,20 +292,6 @@ def shares(parts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return (own / own.sum(1, keepdims=True)).sum(0)
 
 
-def _passes(texts: list[bytes]):
-    """Words and lengths of documents, about SLAB tokens at a time."""
-    words, lengths = [], []
-    for text in texts:
-        own = tokens(text)
-        words += own
-        lengths.append(len(own))
-        if len(words) > SLAB:
-            yield words, lengths
-            words, lengths = [], []
-    if words:
-        yield words, lengths
-
-
 def _numbered(blobs):
     """Slots and lengths of stored documents, about SLAB tokens at a time."""
     held, size = [], 0
@@ -285,22 +309,17 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Stored table: the documents' words as slots, two bytes each, with what the counts say of
     the words that every task holds, and how often the other words occur."""
     shared = docs.sparkSession.sparkContext.broadcast(
-        (vocabulary.words, vocabulary.slots, vocabulary.base, vocabulary.inner))
+        (pa.array(vocabulary.words, pa.binary()), vocabulary.slots, vocabulary.base,
+         vocabulary.inner))
 
     def run(batches):
-        held_words, slots, base, inner = shared.value
-        index = {w: k for k, w in enumerate(held_words)}
         for batch in batches:
-            out = []
-            for words, lengths in _passes(utf8(batch)):
-                out += _looked_up(words, lengths, index, slots, base, inner)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(),
-                     pa.map_(pa.binary(), pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([
-                column(batch, "doc_id"), column(batch, "held_out"), column(batch, "left_out"),
-                *[pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 6, kinds)]],
-                ["doc_id", "held_out", "left_out", "n_tokens", "held", "base", "inner", "rare",
-                 "slots"])
+            for part in cuts(batch):
+                yield pa.RecordBatch.from_arrays(
+                    [column(part, "doc_id"), column(part, "held_out"), column(part, "left_out"),
+                     *_looked_up(column(part, "text"), *shared.value)],
+                    ["doc_id", "held_out", "left_out", "n_tokens", "held", "base", "inner",
+                     "rare", "slots"])
 
     return stored(map_arrow(docs, run, (
         "doc_id bigint, held_out boolean, left_out boolean, n_tokens bigint, held bigint, "
@@ -308,24 +327,25 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         "row", F.monotonically_increasing_id()))
 
 
-def _looked_up(words, lengths, index, slots, base, inner):
-    place, slot = slots_of(words, index, slots)
+def _looked_up(texts: pa.Array, held_words: pa.Array, slots, base, inner) -> list[pa.Array]:
+    words, lengths = tokens(texts)
+    place, slot = slots_of(words, held_words, slots)
     held = place >= 0
-    if len(base):
-        base, inner = np.where(held, base[place], 0.0), np.where(held, inner[place], 0.0)
-    else:
-        base = inner = np.zeros(len(words))
     ends = np.cumsum(lengths)
-    begins = np.r_[0, ends[:-1]]
-    sums = [np.add.reduceat(x, begins).tolist() for x in (held.astype(np.int64), base, inner)]
-    rare = [[] for _ in lengths]
+    begins = ends - lengths
+    sums = [pa.array(np.add.reduceat(x, begins)) for x in (
+        held.astype(np.int64), np.append(base, 0.0)[place], np.append(inner, 0.0)[place])]
+    numbers = pa.Array.from_buffers(pa.binary(), len(texts), [
+        None, pa.py_buffer(np.r_[0, 2 * ends].astype(np.int32)), pa.py_buffer(slot.astype("<u2"))])
     missing = np.flatnonzero(~held)
     owner = np.searchsorted(begins, missing, side="right") - 1
-    for k, d in zip(missing.tolist(), owner.tolist()):
-        rare[d].append(words[k])
-    numbers = slot.astype("<u2").tobytes()
-    return [(n, *row, list(Counter(r).items()), numbers[2 * a:2 * e])
-            for n, *row, r, a, e in zip(lengths, *sums, rare, begins.tolist(), ends.tolist())]
+    rare = words.take(pa.array(missing)).cast(pa.binary()).dictionary_encode()
+    kinds = max(1, len(rare.dictionary))
+    pairs, times = np.unique(owner * kinds + rare.indices.to_numpy(), return_counts=True)
+    edges = np.searchsorted(pairs, np.arange(len(texts) + 1) * kinds).astype(np.int32)
+    counted = pa.MapArray.from_arrays(
+        pa.array(edges), rare.dictionary.take(pa.array(pairs % kinds)), pa.array(times))
+    return [pa.array(lengths), *sums, counted, numbers]
 
 
 def train(rows: DataFrame, share: np.ndarray, tokens: int) -> tuple[LogBilinear, np.ndarray]:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -399,6 +400,39 @@ def test_language_model(spark, rows):
         assert r.score < 0
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_language_model_cuts_and_looks_up_words_as_arrays(monkeypatch, kind):
+    monkeypatch.setattr(lm, "CUT", 64)
+    rng = random.Random(5)
+    signs = " \t\n\x0b\x0c\r\x00\x1c\x1f\x85aAbBZ\u00e9\u0130\u3000\u00a0\U0001f389"
+    texts = ["", " ", "\x00", "a" * 300] + [
+        "".join(rng.choices(signs, k=rng.randrange(12))) for _ in range(2000)]
+    plain = [t.encode().lower().split() + [b""] for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, kind)], ["text"])
+    parts = list(lm.cuts(batch))
+    assert len(parts) > 10 and sum((x.column(0).to_pylist() for x in parts), []) == texts
+    assert [x.num_rows for x in lm.cuts(batch.slice(0, 0))] == [0]
+
+    held = [b"a", b"", b"ab", b"zz"]
+    slots, base, inner = np.array([3, 0, lm.OWN, 9]), np.arange(4.0), np.arange(4.0) / 8
+    for known in (4, 0):  # without training documents no word is held
+        index = {w: k for k, w in enumerate(held[:known])}
+        got = [row for part in parts for row in zip(*(x.to_pylist() for x in lm._looked_up(
+            part.column(0), pa.array(held[:known], pa.binary()), slots[:known], base[:known],
+            inner[:known])))]
+        for words, (n, own, b, i, rare, numbers) in zip(plain, got, strict=True):
+            at = [index[w] for w in words if w in index]
+            assert (n, own, b, i) == (len(words), len(at), base[at].sum(), inner[at].sum())
+            assert dict(rare) == Counter(w for w in words if w not in index)
+            assert np.frombuffer(numbers, "<u2").tolist() == [
+                slots[index[w]] if w in index else lm.shared_slot(w) for w in words]
+    counts = Counter()
+    for part in parts:
+        for w, c in zip(*(x.to_pylist() for x in lm._counted([lm.tokens(part.column(0))[0]]))):
+            counts[w] += c
+    assert counts == sum(map(Counter, plain), Counter())
+
+
 def test_probabilities_of_all_words_add_up_to_one(spark, monkeypatch):
     share = np.arange(1.0, lm.SLOTS + 1) / np.arange(1.0, lm.SLOTS + 1).sum()
     model = lm.LogBilinear.start(share)
