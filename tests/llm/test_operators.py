@@ -836,6 +836,64 @@ def test_neighbours_with_an_index_that_prunes(spark, monkeypatch):
     assert lengths[0] < 800  # a fifth of the entries
 
 
+def test_neighbours_pass_on_the_reach_of_a_walk(spark, monkeypatch):
+    """Not its cells, and no entry once more for each crowd of queries."""
+    monkeypatch.setattr(neighbours, "ASKED", 20)
+    monkeypatch.setattr(neighbours, "SEEN", 2000)
+    schemas, map_arrow = [], neighbours.map_arrow
+    monkeypatch.setattr(neighbours, "map_arrow", lambda df, f, schema: (
+        schemas.append(schema), map_arrow(df, f, schema))[1])
+    rng = np.random.Generator(np.random.PCG64(5))
+    vectors = np.unique(rng.integers(-2, 3, (1500, 5)), axis=0) * 1.0  # many ties
+    vectors = rng.permutation(vectors)
+    vectors[77] *= 1e6  # much longer than the others
+    rows = [(i, v) for i, v in enumerate(vectors.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, 6).collect()
+    rows = [r for r in rows if any(r[1])]
+    assert sorted(map(tuple, got)) == near_by_force(rows, 6, lambda q: q % 20 == 0)
+    assert not [s for s in schemas if "cells" in s or "part " in s]
+
+
+def in_order(one, two):
+    total = 0.0  # sum() corrects what rounding loses
+    for a, b in zip(one.tolist(), two.tolist()):
+        total += a * b
+    return total
+
+
+def test_best_entries_of_a_walk_by_force(monkeypatch):
+    monkeypatch.setattr(neighbours, "PAIRS", 400)  # so that all is done in many parts
+    monkeypatch.setattr(neighbours, "WIDE", 30)
+    rng = np.random.Generator(np.random.PCG64(6))
+    vectors = np.concatenate([rng.normal(size=(900, 7)), np.ones((100, 7)) + rng.normal(
+        size=(100, 7)) * 1e-9])  # the last differ less than single precision tells
+    index = neighbours.Index.__new__(neighbours.Index)
+    index.longest2, index.size = (vectors ** 2).sum(1).max(), 8
+    index.books = [neighbours._codebook(h, 8, k) for k, h in enumerate(index._halves(vectors))]
+    one, two = index.codes(vectors)
+    order = np.argsort(one * 8 + two, kind="stable")
+    cells, ids, vectors = (one * 8 + two)[order], order, vectors[order]
+    counts, asked = np.bincount(cells, minlength=64), np.r_[:60, 930:1000]
+    reach = index.reach(vectors[asked], counts, 300)
+    known = (ids, one[order], two[order])
+    low = neighbours.Best(index, ids[asked], vectors[asked], reach, None, 5).bounds(vectors, *known)
+    best = neighbours.Best(index, ids[asked], vectors[asked], reach, low, 5)
+    for begin in range(0, 1000, 170):
+        some = slice(begin, begin + 170)
+        best.see(ids[some], vectors[some], ids[some], np.ones(len(ids[some]), bool), cells[some])
+    got = sorted((int(q), -s, int(e)) for part in best.found() for q, _, e, s in zip(*part))
+    want = []
+    far, wide = index._distances(vectors[asked], query=True)
+    for q, place in enumerate(asked):
+        walked = far[q][one[order]] + wide[q][two[order]] <= best.reach[q]
+        assert 300 <= walked.sum() < 900
+        exact = [(-in_order(vectors[place], v), int(i))
+                 for v, i, w in zip(vectors, ids, walked) if w and i != ids[place]]
+        want += [(q, s, i) for s, i in sorted(exact)[:5]]
+    assert got == sorted(want)
+
+
 def test_quality(spark):
     rng = random.Random(3)
     good = [(d, "\n".join("The river was calm and the boats lay still." for _ in range(3)), 1)
