@@ -648,6 +648,76 @@ def test_secrets_in_layers():
         assert not [s for s in secrets.scan(masked)[1] if s[1] == 0]
 
 
+def layers_in_layers():
+    """Texts with what compressed data or 16-bit text in them came from, and the secret's span."""
+    import base64
+    import bz2
+    import gzip
+    import lzma
+
+    hidden = b"password=hunter22"
+    wide, packed = hidden.decode().encode("utf-16-le"), gzip.compress(hidden * 3)
+    for inner in (gzip.compress(packed), zlib.compress(bz2.compress(hidden * 3)),
+                  lzma.compress(bytes(600) + packed), gzip.compress(b"\xfe" * 9 + wide),
+                  gzip.compress(gzip.compress(gzip.compress(wide)))):
+        blob = base64.b64encode(inner).decode()
+        yield blob, 0, len(blob.rstrip("="))
+        yield inner.hex(), 0, 2 * len(inner)
+    # Escaped, not in a blob.
+    yield "- " + "".join(f"%{c:02X}" for c in packed), 2, 2 + 3 * len(packed)
+    yield "- " + "".join(f"\\x{c:02x}" for c in wide), 2, 2 + 4 * (len(wide) - 1)
+    # Fewer zeros than half of the other bytes.
+    for order in ("utf-16-le", "utf-16-be"):
+        raw = bytes(range(1, 256)) * 2 + hidden.decode().encode(order)
+        yield base64.b64encode(raw).decode(), 510 * 4 // 3, 544 * 4 // 3
+    raw = ("ж" * 60 + hidden.decode() + "ж" * 60).encode("utf-16-le")
+    yield base64.b64encode(raw).decode(), 120 * 4 // 3, 154 * 4 // 3
+    blob = base64.b64encode(hidden.decode().encode("utf-32-le")).decode()
+    yield blob, 0, 66 * 4 // 3
+    small = zlib.compressobj(9, zlib.DEFLATED, 10)
+    blob = base64.b64encode(small.compress(hidden) + small.flush()).decode()
+    yield blob, 0, len(blob.rstrip("="))
+
+
+def test_secrets_in_layers_of_layers():
+    for text, start, end in layers_in_layers():
+        base, found = secrets.scan(text)
+        spans = [(a, b) for a, kind, b in found if kind == 0]
+        assert any(a - 2 <= start <= a + 2 and b - 3 <= end <= b + 3 for a, b in spans), (text, spans)
+
+
+@pytest.mark.parametrize("wrap", [
+    lambda b, inner: inner, lambda b, inner: b.b64encode(inner), lambda b, inner: b.encodebytes(inner),
+    lambda b, inner: inner.hex().encode()])
+def test_streams_go_on_after_a_piece(monkeypatch, wrap):
+    """The inner stream is longer than a piece, and its secret is at its end."""
+    import base64
+
+    monkeypatch.setattr(secrets, "PIECE", 1 << 14)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 8)
+    rng = random.Random(5)
+    words = [bytes(rng.choice(b"ghijklmn") for _ in range(5)) for _ in range(5000)]
+    body = b" ".join(rng.choice(words) for _ in range(30_000)) + b" password=hunter22 ."
+    inner = zlib.compress(body)
+    assert len(inner) > 3 * secrets.PIECE
+    blob = base64.b64encode(zlib.compress(b"? " * 9000 + wrap(base64, inner) + b" ?" * 9000)).decode()
+    found = [s for s in secrets.scan("- " + blob)[1] if s[1] == 0]
+    assert found and all(s == (2, 0, 2 + len(blob.rstrip("="))) for s in found)
+
+
+def test_gaps_and_cycles_make_few_layers(monkeypatch):
+    import base64
+    import gzip
+
+    looked, find = [], secrets.find
+    monkeypatch.setattr(secrets, "find", lambda text: looked.append(text) or find(text))
+    wide = "password=hunter22".encode("utf-16-le")
+    for raw in (bytes(200_000), wide + bytes(100_000) + wide, gzip.compress(bytes(300_000) + wide)):
+        looked.clear()
+        secrets.scan(base64.b64encode(raw).decode())
+        assert len(looked) < 100
+
+
 def test_unfolded_data_has_no_limit(monkeypatch):
     import base64
 
