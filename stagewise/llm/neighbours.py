@@ -339,6 +339,9 @@ class Best:
             reach + 2e-6 * (index.longest2 + squares)).astype("f4")
         with np.errstate(all="ignore"):
             lengths = np.sqrt(squares)
+            # Squares out of range tell nothing: no score is ruled out then.
+            known = (1e-250 < squares) & (squares < 1e250) & (1e-250 < index.longest2 < 1e250)
+            lengths = np.where(known, lengths, np.nan)
             self.short = (vectors / lengths[:, None]).astype("f4")
             self.scale = 1 / (lengths * np.sqrt(index.longest2))
         self.error = (vectors.shape[1] + 8) * 2.0 ** -23
@@ -351,7 +354,7 @@ class Best:
     def _scaled(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(all="ignore"):
             scaled = vectors / np.sqrt(self.index.longest2)
-            return scaled.astype("f4"), self.error * np.sqrt((scaled ** 2).sum(1))
+            return scaled.astype("f4"), self.error * np.sqrt((scaled ** 2).sum(1)) + 1e-36
 
     def bounds(self, points: np.ndarray, ids: np.ndarray, one, two) -> np.ndarray:
         """What the best k of these vectors, each with one of its ids and its codewords, reach

@@ -964,6 +964,30 @@ def test_best_entries_of_a_walk_by_force(monkeypatch):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("size", [1e-162, 1e-30, 1e150])
+def test_best_entries_whatever_their_size(size):
+    rng = np.random.Generator(np.random.PCG64(7))
+    vectors = rng.normal(size=(300, 4)) * size
+    vectors[5] *= 1e3
+    index = neighbours.Index.__new__(neighbours.Index)
+    index.longest2, index.size = (vectors ** 2).sum(1).max(), 4
+    index.books = [np.zeros((4, 2)), np.zeros((4, 3))]
+    ids, cells, far = np.arange(300), np.zeros(300, np.int64), np.full(20, np.inf)
+    known = (ids, cells, cells)
+    low = neighbours.Best(index, ids[:20], vectors[:20], far, None, 3).bounds(vectors, *known)
+    best = neighbours.Best(index, ids[:20], vectors[:20], far, low, 3)
+    for begin in range(0, 300, 100):
+        some = slice(begin, begin + 100)
+        best.see(ids[some], vectors[some], ids[some], cells[some] == 0, cells[some])
+        best._cut()
+    got = sorted((int(q), int(e)) for part in best.found() for q, _, e, _ in zip(*part))
+    want = []
+    for q in range(20):
+        exact = sorted((-in_order(vectors[q], v), i) for i, v in enumerate(vectors) if i != q)
+        want += [(q, i) for _, i in exact[:3]]
+    assert got == sorted(want)
+
+
 def test_quality(spark):
     rng = random.Random(3)
     good = [(d, "\n".join("The river was calm and the boats lay still." for _ in range(3)), 1)
